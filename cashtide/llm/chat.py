@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 TURN, TEXT, LOSS, END = "<|turn|>", "<|text|>", "<|loss|>", "<|end|>\n"
 TAIL = r"(\||/?s>|/?INST\]|/?<?/?SYS>>)"
 #: A word joiner after the opening sign breaks a control string; one more is added where some stand already.
-JOINER = "⁠"
+JOINER = "\u2060"
 
 
 def escaped(c: Column) -> Column:

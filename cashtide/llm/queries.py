@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing
+from . import chat, langid, licenses, mixing, packing, pii
 from .common import table
 
 
@@ -39,8 +39,20 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op4_chat_formatting, op5_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op4_chat_formatting, op5_mixing, op6_pii, op7_language_id, op8_packing)}
 
 
 def _license_sql() -> str:
