@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, licenses, mixing, packing, pii
+from . import chat, embeddup, jaccard, langid, licenses, mixing, packing, pii, topk
 from .common import table
 
 
@@ -58,8 +58,26 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
-    found = (op1_license_scan, op4_chat_formatting, op5_mixing, op6_pii, op7_language_id, op8_packing, op9_jaccard_join)
+    found = (
+        op1_license_scan,
+        op3_exact_topk,
+        op4_chat_formatting,
+        op5_mixing,
+        op6_pii,
+        op7_language_id,
+        op8_packing,
+        op9_jaccard_join,
+        op10_embedding_near_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -115,5 +133,13 @@ SELECT doc_id, size, source_size, target,
   (whole * size + greatest(0, least(size, floor(target - whole * source_size + 0.5) - before)))::BIGINT AS taken FROM r"""
 
 
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_license_scan": _license_sql(), "op4_chat_formatting": _CHAT_SQL, "op5_mixing": _MIX_SQL}
+    return {"op3_exact_topk": _TOPK_SQL, "op1_license_scan": _license_sql(), "op4_chat_formatting": _CHAT_SQL, "op5_mixing": _MIX_SQL}
