@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Families of closely related languages; a language not named here is a family of its own.
 FAMILIES = {
@@ -125,14 +126,9 @@ def _decide(x: np.ndarray, keys: list, machines: dict) -> tuple[int, float]:
     return best, 1.0 / (1.0 + float(np.exp(-np.clip(2.0 * low[best], -30, 30))))
 
 
-def predicted(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of `docs`, from its whole text alone, one row per input row.
-
-    Null texts, texts without a letter and an untrained model give `und` with score 0. One task holds one
-    Arrow batch of texts at a time.
-    """
+def decider(model: dict):
+    """The function text -> (language, score). Its weights travel inside it: bounded by the number of languages."""
     langs, families = model["langs"], model["families"]
-    # the weight matrices travel once, inside the function; their size is bounded by the number of languages
 
     def one(text: str | None) -> tuple[str, float]:
         if text is None or not langs or not _LETTER.search(text):
@@ -142,6 +138,17 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
         k, q = _decide(x, families[f], model["within"][f])
         return langs[k], p * q
 
+    return one
+
+
+def predicted(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of `docs`, from its whole text alone, one row per input row.
+
+    Null texts, texts without a letter and an untrained model give `und` with score 0. One task holds one
+    Arrow batch of texts at a time.
+    """
+    one = decider(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(t.as_py()) for t in b.column("text")]
@@ -163,3 +170,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return predicted(d, model).select(
         "doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+def labelled(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs` with the column _pred, the predicted language; for filters that keep the whole row."""
+    decide, names = decider(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array([decide(t.as_py())[0] for t in b.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, "_pred"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_pred", T.StringType())]))

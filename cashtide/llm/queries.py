@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddup, jaccard, langid, licenses, mixing, packing, pii, topk
+from . import chat, embeddup, jaccard, langid, licenses, mixing, packing, pii, quality, topk
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -69,6 +73,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_license_scan,
+        op2_quality,
         op3_exact_topk,
         op4_chat_formatting,
         op5_mixing,
