@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of a leaf; rows of a block of queries and of a block of data; rows of the seed sample.
-LEAF, QUERY_BLOCK, DATA_BLOCK, SEED = 64, 2048, 8192, 2048
+LEAF, QUERY_BLOCK, DATA_BLOCK, SEED = 128, 2048, 8192, 2048
 
 
 class CoverTree:
@@ -66,8 +66,11 @@ def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.nd
     the worst k-th score of the query group. Both sides' children are visited best bound first."""
     tq, tc = CoverTree(queries), CoverTree(data)
     n = len(queries)
+    # score and place among the sorted ids in one number, so that ties fall to smaller ids; `ids` may repeat
+    sort = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[sort] = np.arange(len(ids))[::-1]
     best = np.full((n, k), -(1 << 62), np.int64)
-    who = np.full((n, k), np.iinfo(np.int64).max, np.int64)
     worst = floor.copy()
     group = np.array([worst[tq.order[a:b]].min() for a, b in tq.span])
     parent = np.full(len(tq.centre), -1)
@@ -84,14 +87,14 @@ def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.nd
         a, b = tq.span[q]
         rows, cols = tq.order[a:b], tc.order[slice(*tc.span[c])]
         s = np.rint(queries[rows] @ data[cols].T).astype(np.int64)
-        s[own[rows][:, None] == ids[cols][None, :]] = -(1 << 62)
-        for i in np.flatnonzero((s >= worst[rows][:, None]).any(axis=1)).tolist():
-            r = rows[i]
-            take = s[i] >= worst[r]
-            score, name = np.concatenate((best[r], s[i][take])), np.concatenate((who[r], ids[cols][take]))
-            first = np.lexsort((name, -score))[:k]
-            best[r], who[r] = score[first], name[first]
-            worst[r] = max(floor[r], best[r, -1])
+        s[own[rows][:, None] == ids[cols][None, :]] = -(1 << 40)
+        some = s.max(axis=1) >= worst[rows]
+        if some.any():
+            rows = rows[some]
+            found = np.concatenate((best[rows], s[some] * (1 << 20) + place[cols]), axis=1)
+            best[rows] = np.partition(found, -k, axis=1)[:, -k:]
+            worst[rows] = np.maximum(floor[rows], best[rows].min(axis=1) >> 20)
+            rows = tq.order[a:b]
         group[q] = worst[rows].min()
         up = parent[q]
         while up >= 0:
@@ -113,7 +116,8 @@ def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.nd
         m = bounds(qs, cs)
         x, y = np.nonzero(m >= group[qs][:, None])
         todo += sorted((float(m[i, j]), qs[i], cs[j]) for i, j in zip(x, y, strict=True))
-    return best, who
+    best = -np.sort(-best, axis=1)
+    return best >> 20, ids[sort][len(ids) - 1 - (best & ((1 << 20) - 1)).clip(0, len(ids) - 1)] if len(ids) else best
 
 
 def quantised(rows: DataFrame, scale: float) -> DataFrame:
@@ -181,18 +185,19 @@ def search(rows: DataFrame, is_query, k: int = 20, scale: float = 64.0) -> DataF
                 row = {n: b.column(n)[i].as_py() for n in b.schema.names}
                 own, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
                 x, y = (np.frombuffer(row[f"{n}_v"], "<f8").reshape(len(m), -1) for n, m in (("q", own), ("c", ids)))
-                floor = np.full(len(own), -(1 << 61), np.int64)
+                floor = np.full(len(own), -(1 << 39), np.int64)
                 if row["width"] in seeds and len(seeds[row["width"]][0]) > k:
                     names, sx = seeds[row["width"]]
                     s = np.rint(x @ sx.T)
                     s[own[:, None] == names[None, :]] = -np.inf
                     low = np.partition(s, -k, axis=1)[:, -k]
-                    floor = np.where(np.isfinite(low), low, -(1 << 61)).astype(np.int64)
+                    floor = np.where(np.isfinite(low), low, -(1 << 39)).astype(np.int64)
                 best, who = dual_tree(x, own, y, ids, k, floor)
-                real = (best > -(1 << 61)) & (best >= floor[:, None])
+                real = (best > -(1 << 39)) & (best >= floor[:, None])
                 n = real.sum(axis=1)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(own, n)), "vec_id": pa.array(who[real]), "score": pa.array(best[real])})
 
-    lists = pairs.repartition(F.col("q"), F.col("c")).mapInArrow(run, "query_id long, vec_id long, score long")
+    tasks = min(4096, max(1, -(-total // 20 // QUERY_BLOCK)) * max(1, -(-total // DATA_BLOCK)))
+    lists = pairs.repartition(tasks, "q", "c").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
