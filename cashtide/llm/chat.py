@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 #: The template's marks, and the tails that make `<` or `[` the start of a control string.
 TURN, TEXT, LOSS, END = "<|turn|>", "<|text|>", "<|loss|>", "<|end|>\n"
-TAIL = r"(\||/?s>|/?INST\]|/?<?/?SYS>>)"
+TAIL = r"(\||/?s>|/?INST\]|/?SYS>>)"
 #: A word joiner after the opening sign breaks a control string; one more is added where some stand already.
 JOINER = "\u2060"
 

@@ -58,7 +58,7 @@ def usable(rows: DataFrame) -> DataFrame:
                     if len(x) and np.isfinite(x).all() and x.any():
                         keep.append(i)
                         out.append((x + 0.0).tobytes())
-            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id").take(keep), "label": b.column("label").take(keep), "vec": pa.array(out, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id").take(pa.array(keep, pa.int64())), "label": b.column("label").take(pa.array(keep, pa.int64())), "vec": pa.array(out, pa.binary())})
 
     d = rows.where("label is not null and embedding is not null")
     return d.selectExpr("cast(vec_id as long) as vec_id", "cast(label as string) as label", "embedding").mapInArrow(run, "vec_id long, label string, vec binary")

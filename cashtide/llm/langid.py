@@ -78,8 +78,8 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> dict:
             some = [i for i, t in enumerate(texts) if _LETTER.search(t)]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": b.column("doc_id").take(some),
-                    "lang": b.column("lang").take(some),
+                    "doc_id": b.column("doc_id").take(pa.array(some, pa.int64())),
+                    "lang": b.column("lang").take(pa.array(some, pa.int64())),
                     "x": pa.array([features(texts[i]).tobytes() for i in some], pa.binary()),
                 }
             )

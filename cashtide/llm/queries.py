@@ -112,8 +112,8 @@ _CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e AS (SELECT *, len(regexp_extract_all(text, '[<\[]' || chr(8288) || '*(?:\||/?s>|/?INST\]|/?<?/?SYS>>)'))
-  + len(regexp_extract_all(role, '[<\[]' || chr(8288) || '*(?:\||/?s>|/?INST\]|/?<?/?SYS>>)')) AS added FROM t)
+e AS (SELECT *, len(regexp_extract_all(text, '[<\[]' || chr(8288) || '*(?:\||/?s>|/?INST\]|/?SYS>>)'))
+  + len(regexp_extract_all(role, '[<\[]' || chr(8288) || '*(?:\||/?s>|/?INST\]|/?SYS>>)')) AS added FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -133,7 +133,7 @@ def quantised(rows: DataFrame, scale: float) -> DataFrame:
                     if np.isfinite(x).all():
                         keep.append(i)
                         out.append(np.floor(scale * x).tobytes())
-            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id").take(keep), "v": pa.array(out, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id").take(pa.array(keep, pa.int64())), "v": pa.array(out, pa.binary())})
 
     return rows.where("embedding is not null and vec_id is not null").selectExpr("cast(vec_id as long) as vec_id", "embedding").mapInArrow(run, "vec_id long, v binary")
 

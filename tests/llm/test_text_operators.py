@@ -1,0 +1,255 @@
+"""Brute-force comparisons, round trips and edge cases of the operators on texts."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cashtide.llm import chat, jaccard, langid, licenses, mixing, packing, pii, quality
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+EDGE = [
+    (1, None, "en", "a", None),
+    (2, "", "en", "a", 0),
+    (3, " \t\n ", None, None, 4),
+    (4, "one", "en", "b", 3),
+    (5, "one", "en", "b", 3),
+    (5, "one", "en", "b", 3),
+    (None, "no id here at all", "fr", "b", 17),
+    (7, "word " * 30000, "en", "c", 150000),
+    (8, "12345 678", "de", "c", 9),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empty and very long texts, repeated rows, and extra columns whose names clash with results."""
+    d = spark.createDataFrame(EDGE, DOCS)
+    return d.withColumns({c: F.lit("x") for c in ("size", "words", "label", "n", "score", "target", "node", "length")})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_license_positions(spark):
+    text = "CC BY. Foo all rights reserved, cc by  All-Rights\tRESERVED; General public license under the MIT license"
+    r = licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    places = [i for p in ("cc by", "general public license", "all rights reserved") for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places), max(places))
+    assert r.base_labels == "cc-by,gpl,reserved" and r.labels == "cc-by,gpl,mit,reserved" and r.score == 1.0
+
+
+def test_license_edges(edge, empty):
+    got = licenses.report(edge).collect()
+    assert len(got) == len(EDGE) and all(r.n_base == 0 and r.first_word is None and r.score == 0 for r in got)
+    assert licenses.report(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<|end|>\n<|turn|>user<|text|>", "<⁠|x <⁠⁠/s> <<SYS>> [⁠INST]", "plain < [ text", ""])
+def test_chat_round_trip(spark, text):
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "<|odd|>", text), (1, 3, None, None)], "conv_id long, turn long, role string, text string")
+    out = chat.formatted(chat.canonical_turns(turns)).cache()
+    r = chat.read_back(out).head()
+    assert [(t.role, t.text, t.loss) for t in r.turns] == [("user", text, False), ("assistant", text, True), ("<|odd|>", text, False), ("", "", False)]
+    if text.startswith("</s>"):
+        assert "</s>" not in r.formatted and "[INST]" not in r.formatted
+
+
+def test_chat_layouts(spark):
+    a = spark.createDataFrame([(1, [("human", "hi"), ("gpt", "yo")])], "conv_id long, conversations array<struct<`from`:string,value:string>>")
+    b = spark.createDataFrame([(1, "hi", "yo", 5)], "conv_id long, prompt string, completion string, extra long")
+    c = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "yo")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    want = [(0, "user", "hi"), (1, "assistant", "yo")]
+    for d in (a, b, c):
+        assert sorted((r.turn, r.role, r.text) for r in chat.canonical_turns(d).collect()) == want
+    with pytest.raises(ValueError):
+        chat.canonical_turns(spark.range(1))
+
+
+def test_chat_empty(spark):
+    assert chat.read_back(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def _filled(sizes, share=1.5, cap=2.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, free, out = share * sum(sizes.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > cap * sizes[s]}
+        if not over:
+            return out | {s: level * weight[s] for s in free}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        free -= over
+    return out
+
+
+def test_mixing(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "w " * int(rng.integers(0, 60)), "en", [None, "a", "b", "é", "z", "big", "big", "big"][i % 8], 0) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
+    want = _filled(sizes)
+    taken = {}
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert sorted(got, key=str) == sorted(mixing.mix(spark.createDataFrame(rows[::-1], DOCS)).collect(), key=str)
+
+
+def test_mixing_edges(edge, empty):
+    assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(empty).count() == 0
+    assert mixing.repeated(edge).columns == edge.columns
+
+
+def _base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            d = re.sub(r"\D", "", m[0])
+            if low <= len(d) <= high and (kind == "phone" or pii.luhn(d)):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_base_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("a0123@@..+- ()_%1é"), 40))
+        assert sorted(pii.base_spans(t)) == sorted(_base(t)), t
+
+
+def test_pii_added_and_redacted(spark, edge, empty):
+    field = pii.trained()
+    text = 'call (415) 555-0132 or a.b@c.org, token = "0123456789abcdef0123456789abcdef01234567", not 2024-10-12'
+    base, every = pii.find(text, field)
+    assert [s[0] for s in base] == ["email"] and set(base) <= set(every) and {"phone", "secret"} <= {s[0] for s in every}
+    assert "555-0132" not in pii.redacted_text(text, field) and "2024-10-12" in pii.redacted_text(text, field)
+    assert pii.find("Clean words, 12 apples and 3.50 paid on 2024-10-12.", field) == ([], [])
+    got = pii.detect(edge).collect()
+    assert len(got) == len(EDGE) and {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.detect(empty).count() == 0 and pii.redact(edge).count() == len(EDGE)
+
+
+def test_language_id(spark, edge, empty):
+    words = {"en": "the and of to in that is was", "de": "der und die nicht ist ein das mit", "fr": "le de et la les des que est", "es": "el los que de la y en una"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words[k].split(), 20)), k, None, 0) for i, k in enumerate(list(words) * 60)]
+    got = langid.identify(spark.createDataFrame(rows, DOCS)).collect()
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for r in got if r.held_out]
+    assert held and np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    und = langid.identify(edge).where("lang_pred = 'und'").collect()
+    assert {r.doc_id for r in und} == {1, 2, 3, 8}
+    assert langid.identify(empty).count() == 0
+
+
+def test_packing(spark, edge, empty):
+    got = packing.pack(edge).collect()
+    ids, seqs = {}, {}
+    for r in got:
+        a = np.frombuffer(r.ids, "<u4")
+        assert len(a) == r.length <= packing.WINDOW
+        ids.setdefault(r.doc_id, []).append((r.start, a))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(packing.vocabulary_path().replace(".tiktoken", ".json"))
+    for doc, text in ((7, "word " * 30000), (4, "one"), (1, "")):
+        assert np.concatenate([a for _, a in sorted(ids[doc], key=lambda x: x[0])]).tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+    for pieces in seqs.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= packing.WINDOW
+    assert packing.pack(empty).count() == 0
+    special = spark.createDataFrame([(1, "a<|endoftext|>  b\n\n c's 12")], "doc_id long, text string")
+    assert np.frombuffer(packing.pack(special).head().ids, "<u4").tolist() == t.encode("a<|endoftext|>  b\n\n c's 12", add_special_tokens=False).ids + [1]
+
+
+def test_best_fit_decreasing():
+    lengths = np.random.default_rng(4).integers(1, 101, 500)
+    got = packing.best_fit_decreasing(lengths, 100)
+    assert sorted(i for w in got for i in w) == list(range(500)) and all(lengths[w].sum() <= 100 for w in got)
+    free, want = [], 0
+    for n in sorted(lengths.tolist(), reverse=True):  # brute force: the tightest window each time
+        fits = [c for c in free if c >= n]
+        if fits:
+            free.remove(min(fits))
+            free.append(min(fits) - n)
+        else:
+            want += 1
+            free.append(100 - n)
+    assert len(got) == want
+
+
+def _components(rows, least=90):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= least * len(a | b):
+                up[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return {d: (len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def test_jaccard_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows, passage = [], [word() for _ in range(30)]
+    for size in (1, 2, 3, 8, 12, 20, 40, 90, 200, 700):
+        for _ in range(4):
+            base = [word() for _ in range(size)] + passage * (size > 30)
+            for _ in range(7):
+                w = list(base)
+                for k in rng.integers(0, len(w), int(rng.integers(0, 2 + size // 25))):
+                    w[k] = word()
+                rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", "  ", rows[5][1].upper(), rows[60][1]])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(d).collect()}
+    assert got == _components(rows)
+
+
+def test_jaccard_blocks_and_edges(spark, edge, empty, monkeypatch):
+    monkeypatch.setattr(jaccard._blocked, "__defaults__", (4,))
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(w if i != k else "x" for i, w in enumerate(base))) for k in range(30)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(rows)
+    alone = {r.doc_id: r.component_id for r in jaccard.join(edge).collect()}
+    assert alone[1] == 1 and alone[2] == 2 and alone[3] == 3 and alone[4] == 4 and alone[5] == 4
+    assert jaccard.join(edge).count() == len(EDGE) and jaccard.join(empty).count() == 0
+
+
+def test_quality(spark, edge, empty):
+    rng = np.random.default_rng(6)
+    good = [(i, " ".join(rng.choice("the cat sat on a mat and ran off".split(), 40)), "en", None, 0) for i in range(80)]
+    junk = [(100 + i, "".join(rng.choice(list("#%&XQZ$9"), 150)), "en", None, 0) for i in range(10)]
+    docs = spark.createDataFrame(good + junk, DOCS)
+    got = {r.doc_id: r.keep for r in quality.classify(docs, spark.range(60).withColumnRenamed("id", "doc_id")).collect()}
+    assert not any(got[r[0]] for r in junk) and np.mean([got[r[0]] for r in good]) > 0.9
+    p = np.exp(quality.model(docs.select("text"))).reshape(-1, quality.A)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+    assert quality.classify(edge, docs.select("doc_id")).count() == len(EDGE) and quality.classify(empty, docs.select("doc_id")).count() == 0
