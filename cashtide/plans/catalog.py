@@ -1,13 +1,300 @@
-"""Registry of the engine's own queries and of their SQL."""
+"""The engine's own queries: each runs an operator over the adapter views of the whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import dates
+from ..operators import balances, findings, ledger, projection, reconcile, recurring, spending
+from ..sources import adapters
+from . import oracle
+
 FLAGSHIP = "spending_by_category"
+YEAR = ("1998-01-01", "1998-12-31")
+START, HORIZON = "1998-01-01", 365
+#: Amounts of the test tables are in the hundred thousands, so pairs need wide tolerances to exist at all.
+WIDE = reconcile.Options(amount_abs="50000.00", amount_pct="0.500")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Money as doubles, dates and times as ISO text, whole numbers as long: what both engines print alike."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, T.DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
+            c = c.cast("long")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.instances(spark, d).withColumn("name", F.concat(F.lit("Brand "), F.element_at(F.split("obligation_id", ":"), 2)))
+
+
+def starting(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.accounts(spark, d).select(F.col("account_id").alias("entity_id"), F.col("balance").alias("starting"))
+
+
+def window_events(spark: SparkSession, d: str) -> DataFrame:
+    return projection.events(adapters.instances(spark, d), START, HORIZON)
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.candidates(named(spark, d), adapters.transactions(spark, d), WIDE)
+
+
+def matches(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.best(pairs(spark, d)).where("match_type <> 'below_threshold'")
+
+
+def spending_by_category(spark, d):
+    return spending.summarize(adapters.transactions(spark, d), *YEAR)
+
+
+def spending_by_merchant(spark, d):
+    return spending.summarize(adapters.transactions(spark, d), *YEAR, by="merchant", top_n=1000)
+
+
+def spending_by_month(spark, d):
+    return spending.monthly(adapters.transactions(spark, d), "1995-01-01", "2001-12-31")
+
+
+def spending_samples(spark, d):
+    return spending.samples(adapters.transactions(spark, d), *YEAR, by="merchant")
+
+
+def list_transactions(spark, d):
+    return spending.listing(adapters.transactions(spark, d), adapters.accounts(spark, d), *YEAR, query="widget", min_amount=1000, include_pending=False, limit=100)
+
+
+def latest_balance(spark, d):
+    return balances.latest(adapters.snapshots(spark, d))
+
+
+def asof_balance(spark, d):
+    return balances.latest(adapters.snapshots(spark, d), "2024-01-15")
+
+
+def balance_coverage(spark, d):
+    return balances.coverage(adapters.accounts(spark, d), adapters.snapshots(spark, d), "2024-01-31")
+
+
+def project_running_balance(spark, d):
+    return projection.running(window_events(spark, d), starting(spark, d)).select("entity_id", "id", "seq", "signed", "balance")
+
+
+def project_trough(spark, d):
+    return projection.trough(window_events(spark, d), starting(spark, d), START)
+
+
+def project_capped_fold(spark, d):
+    return projection.capped_trough(window_events(spark, d), starting(spark, d), START)
+
+
+def past_due_carry(spark, d):
+    settled = matches(spark, d).select(F.col("instance_id").alias("id"))
+    return projection.past_due(adapters.instances(spark, d), START, settled).select("id", "entity_id", "due_date", "amount")
+
+
+def roll_forward(spark, d):
+    snaps = adapters.accounts(spark, d).select(F.col("account_id").alias("entity_id"), "balance", F.lit("1997-10-01").cast("date").alias("snapshot_date"))
+    return projection.roll_forward(adapters.instances(spark, d), snaps, START)
+
+
+def trough_band(spark, d):
+    ev = window_events(spark, d)
+    return projection.band(ev, projection.trough(ev, starting(spark, d), START))
+
+
+def recon_candidates(spark, d):
+    return pairs(spark, d).select("instance_id", "transaction_id", "days", "delta", "amount_score", "date_score", "merchant_score", "score", "match_type")
+
+
+def recon_best(spark, d):
+    return reconcile.best(pairs(spark, d)).select("instance_id", "transaction_id", "score", "match_type")
+
+
+def recon_greedy(spark, d):
+    return reconcile.greedy(pairs(spark, d), WIDE)
+
+
+def recon_shared_groups(spark, d):
+    exact = reconcile.Options(window=30, amount_abs="500.00", amount_pct="0.010")
+    return reconcile.shared(named(spark, d), adapters.transactions(spark, d), exact)
+
+
+def recon_unmatched(spark, d):
+    return reconcile.unmatched(adapters.instances(spark, d), matches(spark, d), "1998-06-30")
+
+
+def prior_amount_change(spark, d):
+    paid = adapters.instances(spark, d).select("obligation_id", F.col("id").alias("instance_id"), "due_date", F.col("amount").alias("observed"), F.col("discretionary").alias("grouped"))
+    return reconcile.price_changes(paid).select("instance_id", "previous", "changed")
+
+
+def post_cancellation(spark, d):
+    ended = (
+        named(spark, d)
+        .groupBy("obligation_id", "entity_id", "name", "direction")
+        .agg(F.max(F.struct("due_date", "id", "amount")).alias("m"))
+        .select("obligation_id", "entity_id", "name", "direction", F.col("m.amount").alias("last_amount"), F.col("m.due_date").alias("cancelled_on"))
+    )
+    return reconcile.after_cancellation(ended, adapters.transactions(spark, d), matches(spark, d), WIDE).drop("entity_id")
+
+
+def recurring_stats(spark, d):
+    s = recurring.statistics(adapters.transactions(spark, d), adapters.accounts(spark, d))
+    return s.select("account_id", "merchant_key", "class", "n", F.round("mean", 6).alias("mean"), F.round("median_amount", 6).alias("median_amount"), "low", "high", F.round("cv", 6).alias("cv"), "median_gap", "months_covered", "span_months")
+
+
+def _recurring(spark, d):
+    return recurring.triage(recurring.candidates(recurring.statistics(adapters.transactions(spark, d), adapters.accounts(spark, d))))
+
+
+def recurring_triage(spark, d):
+    return _recurring(spark, d).select("account_id", "merchant_key", "cadence", "method", "confidence", "candidate_type", F.round("priority", 6).alias("priority"), "disposition")
+
+
+def apply_schedule(spark, d):
+    return recurring.schedule(_recurring(spark, d).where("confidence in ('medium', 'high')")).select("account_id", "merchant_key", "due_date")
+
+
+def drift_payment(spark, d):
+    loose = reconcile.Options(amount_abs="50000.00", amount_pct="0.900")
+    return findings.payment_drift(named(spark, d), adapters.transactions(spark, d), "1998-06-30", WIDE, loose)
+
+
+def stale_estimates(spark, d):
+    return findings.stale_estimates(adapters.instances(spark, d), "1998-06-30")
+
+
+def arrived_deposits(spark, d):
+    return findings.arrived_deposits(adapters.transactions(spark, d), adapters.accounts(spark, d), matches(spark, d), "2000-06-30")
+
+
+def guardrail_floor(spark, d):
+    return findings.cash_floor(projection.trough(window_events(spark, d), starting(spark, d), START), HORIZON)
+
+
+def debt_avalanche(spark, d):
+    a = adapters.accounts(spark, d).where("kind in ('card', 'loan')")
+    return findings.avalanche(
+        a.select(F.col("account_id").alias("id"), F.col("org").alias("entity_id"), (F.col("account_id") % 30 + 5).cast("decimal(5,2)").alias("apr"), "balance", (F.col("kind") == "card").alias("is_revolving"))
+    )
+
+
+def goal_pace(spark, d):
+    s = adapters.read(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    goals = s.select(
+        k.alias("id"), F.lit("5000.00").cast(adapters.MONEY).alias("target"), F.col("s_acctbal").cast(adapters.MONEY).alias("progress"), F.lit("2024-01-01").cast("date").alias("created"),
+        F.when(k % 10 != 0, F.date_add(F.lit("2024-05-01").cast("date"), (k * 37 % 400).cast("int"))).alias("deadline"), (F.col("s_nationkey") % 2 == 0).alias("trackable"),
+    )
+    return findings.goal_pace(goals, "2024-06-01")
+
+
+def _statements(spark, d):
+    i = adapters.instances(spark, d)
+    urgent = F.element_at(F.split("obligation_id", ":"), 2) == "1-URGENT"
+    return i.where(urgent).select("id", F.col("entity_id").alias("target"), F.col("due_date").alias("closes")), i.where(~urgent & (F.col("direction") == "outflow")).select("id", F.col("entity_id").alias("target"), "due_date", "amount")
+
+
+def statement_cycles(spark, d):
+    return findings.cycles(_statements(spark, d)[0])
+
+
+def statement_rollup(spark, d):
+    statements, inputs = _statements(spark, d)
+    return findings.rollup(inputs, statements)
+
+
+def verify_duplicates(spark, d):
+    return findings.duplicate_instances(adapters.instances(spark, d))
+
+
+def verify_signs(spark, d):
+    return findings.wrong_signs(adapters.snapshots(spark, d).withColumnRenamed("balance", "amount")).select("id", "amount")
+
+
+def verify_coverage_horizon(spark, d):
+    return findings.short_horizon(adapters.instances(spark, d), START)
+
+
+def status_color(spark, d):
+    t = projection.trough(window_events(spark, d), starting(spark, d), START)
+    b = projection.band(window_events(spark, d), t).select("entity_id", "low", "breach")
+    stale = balances.aged(balances.latest(adapters.snapshots(spark, d)), "2024-01-31").select(F.col("account_id").alias("entity_id"), F.col("stale").alias("stale_balance"))
+    e = b.join(stale, "entity_id", "left").select(
+        "entity_id", "low", "breach", F.lit(False).alias("verify_error"), F.coalesce("stale_balance", F.lit(False)).alias("stale_balance"),
+        F.when(F.col("low") < -500000, 3).when(F.col("low") < 0, 1).otherwise(0).alias("worst_guardrail"), F.lit(0).alias("material_estimate"), F.lit(False).alias("open_risk"),
+    )
+    return findings.status_color(e)
+
+
+def surface_queue(spark, d):
+    f = findings.payment_drift(named(spark, d), adapters.transactions(spark, d), "1998-06-30", WIDE, reconcile.Options(amount_abs="50000.00", amount_pct="0.900"))
+    items = f.select("id", F.col("finding_type").alias("kind"), findings.severity_rank(F.col("severity")).alias("severity_rank"), F.when(F.col("finding_type") == "amount_changed", 2).otherwise(1).alias("kind_rank"))
+    return ledger.ranked_queue(items, 50)
+
+
+def snapshot_diff(spark, d):
+    s = adapters.snapshots(spark, d)
+    return ledger.snapshot_diff(balances.latest(s, "2024-01-02"), balances.latest(s, "2024-01-20"), ["account_id"], ["balance", "source"])
+
+
+def emission_actions(spark, d):
+    o = adapters.read(spark, d, "orders").withColumn("surface_key", F.concat(F.lit("pay:"), F.col("o_orderkey").cast("string")))
+    status = adapters.by_value(F.col("o_orderstatus"), {"F": "completed", "P": "open"}, "retired")
+    old = o.where("o_orderkey % 3 <> 0").select("surface_key", status.alias("status"), F.col("o_orderpriority").alias("content_hash"))
+    new = o.where("o_orderkey % 2 = 0").select("surface_key", F.when(F.col("o_totalprice") > 200000, "1-URGENT").otherwise(F.col("o_orderpriority")).alias("content_hash"))
+    return ledger.emission_actions(new, old, o.where("o_orderkey % 10 = 4").select("surface_key"))
+
+
+def subject_winners(spark, d):
+    i = adapters.instances(spark, d).where("status <> 'paid'")
+    items = i.select("id", F.when(F.col("direction") == "outflow", F.col("entity_id")).alias("subject"), F.when(F.col("discretionary"), 1).otherwise(0).alias("rank"), F.col("id").alias("position"))
+    return ledger.winners(items).select("id", "subject", "rank")
+
+
+def synthetic_ids(spark, d):
+    t = adapters.transactions(spark, d).withColumn("position", F.col("id"))
+    return ledger.synthetic_ids(t).select("id", "ordinal", "synthetic_id")
+
+
+def memory_search(spark, d):
+    docs = adapters.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = adapters.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return ledger.memory_search(docs, asked)
+
+
+def income_semi_monthly(spark, d):
+    return dates.semi_monthly(spark, (15, 31), "2026-01-01", "2026-12-31")
+
+
+def business_days(spark, d):
+    return dates.calendar(spark, "2026-01-01", "2027-12-31")
+
+
+_ALL = (
+    spending_by_category, spending_by_merchant, spending_by_month, spending_samples, list_transactions, latest_balance, asof_balance, balance_coverage,
+    project_running_balance, project_trough, project_capped_fold, past_due_carry, roll_forward, trough_band, recon_candidates, recon_best, recon_greedy, recon_shared_groups,
+    recon_unmatched, prior_amount_change, post_cancellation, recurring_stats, recurring_triage, apply_schedule, drift_payment, stale_estimates, arrived_deposits,
+    guardrail_floor, debt_avalanche, goal_pace, statement_cycles, statement_rollup, verify_duplicates, verify_signs, verify_coverage_horizon, status_color,
+    surface_queue, snapshot_diff, emission_actions, subject_winners, synthetic_ids, memory_search, income_semi_monthly, business_days,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracle.sql()
