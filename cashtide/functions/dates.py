@@ -80,3 +80,11 @@ def semi_monthly(spark: SparkSession, days: tuple[int, ...], start: str, through
         .where((F.col("pay_date") >= F.lit(start).cast("date")) & (F.col("pay_date") <= F.lit(through).cast("date")))
         .distinct()
     )
+
+
+def every_two_weeks(spark: SparkSession, anchor: str, start: str, through: str) -> DataFrame:
+    """(pay_date): every 14th day from `anchor` on, moved back to a business day, where that lies in the range."""
+    cal = calendar(spark, start, through).select("day", "previous_business")
+    due = spark.sql("select explode(sequence(date(:a), date(:b), interval 14 day)) as day", {"a": anchor, "b": through})
+    moved = due.join(F.broadcast(cal), "day").select(F.col("previous_business").alias("pay_date"))  # one row a day of the asked range
+    return moved.where((F.col("pay_date") >= F.lit(start).cast("date")) & (F.col("pay_date") <= F.lit(through).cast("date"))).distinct()

@@ -77,6 +77,11 @@ def cash_floor(troughs: DataFrame, window_days: int, floor: int = FLOOR) -> Data
     return troughs.where(F.col("low") < floor).select("entity_id", "low", F.lit("high" if window_days <= 7 else "medium").alias("severity"))
 
 
+def drift_sum(findings: DataFrame, threshold: int = 200) -> DataFrame:
+    """entity_id, total, n of entities whose drift findings add up, signs apart, to more than the threshold."""
+    return findings.groupBy("entity_id").agg(F.sum(F.abs("impact")).alias("total"), F.count("*").alias("n")).where(F.col("total") > threshold)
+
+
 def avalanche(debts: DataFrame) -> DataFrame:
     """entity_id, id, rank, monthly_interest of revolving debts with a balance, dearest first.
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import dates
-from ..operators import balances, findings, ledger, projection, reconcile, recurring, spending
+from ..functions import dates, text
+from ..operators import audit, balances, estimates, findings, ledger, projection, reconcile, recurring, spending
 from ..sources import adapters
 from . import oracle
 
@@ -283,7 +283,111 @@ def business_days(spark, d):
     return dates.calendar(spark, "2026-01-01", "2027-12-31")
 
 
+def income_biweekly(spark, d):
+    return dates.every_two_weeks(spark, "2026-01-02", "2026-01-01", "2026-12-31")
+
+
+def working_account(spark, d):
+    return audit.working_account(adapters.accounts(spark, d), hint="0000007")
+
+
+def guardrail_drift_sum(spark, d):
+    return findings.drift_sum(drift_payment(spark, d))
+
+
+def check_suggestions(spark, d):
+    i, number = adapters.instances(spark, d), F.element_at(F.split("id", "-"), 1)
+    taken = matches(spark, d)
+    bills = i.where("direction = 'outflow' and status = 'expected' and due_date <= '2000-12-31'").join(taken.select(F.col("instance_id").alias("id")), "id", "left_anti")
+    drawn = adapters.transactions(spark, d).where("not pending").withColumn("description", F.concat(F.lit("CHECK #"), number))
+    drawn = drawn.join(adapters.accounts(spark, d).where("kind = 'checking'"), "account_id", "left_semi").join(taken.select(F.col("transaction_id").alias("id")), "id", "left_anti")
+    paid = i.where("status = 'paid'").select("obligation_id", F.col("entity_id").alias("account_id"))
+    return estimates.check_suggestions(bills, drawn, paid, amount_abs="50000.00", amount_pct="0.500")
+
+
+def brand_of(c):
+    """One of the 25 brands' merchant keys for an account."""
+    return F.concat(F.lit("brand_"), (c % 5 + 1).cast("string"), (F.floor(c / 5) % 5 + 1).cast("string"))
+
+
+def _estimated(spark, d):
+    live = adapters.instances(spark, d).where("status <> 'paid'").groupBy("obligation_id", F.col("entity_id").alias("account_id"), "cadence")
+    rows = live.agg(F.median(F.col("amount").cast("double")).alias("amount"), F.bool_and((F.col("amount_status") == "estimated") & (F.col("direction") == "outflow")).alias("fit"))
+    return rows.where("fit").withColumn("merchant_key", brand_of(F.col("account_id")))
+
+
+def dormant_accounts(spark, d):
+    held = adapters.accounts(spark, d).select("account_id", F.when(F.col("account_id") % 3 != 0, F.col("balance")).otherwise(0).alias("balance"))
+    return estimates.dormant(_estimated(spark, d), held, adapters.transactions(spark, d), "1998-06-30").select("obligation_id", "account_id")
+
+
+def contradicted_estimates(spark, d):
+    return estimates.contradicted(_estimated(spark, d), adapters.transactions(spark, d), "1998-06-30", days=270, floor=500000.0)
+
+
+def estimate_provenance(spark, d):
+    i = adapters.instances(spark, d).where("amount_status = 'estimated' and status <> 'paid'")
+    rows = i.select("id", F.col("entity_id").alias("account_id"), brand_of(F.col("entity_id")).alias("merchant_key"), "due_date")
+    return estimates.provenance(rows, adapters.transactions(spark, d).select("account_id", text.slug(F.col("payee")).alias("merchant_key"), "posted"))
+
+
+#: Notes by order key modulo 6, as the test tables have none.
+NOTES = ("Quarterly now", "account closed", "placeholder, was weekly or bi-weekly", "no longer active", "annually; estimate", "")
+
+
+def note_contradictions(spark, d):
+    note = F.element_at(F.array(*[F.lit(n) for n in NOTES]), (F.col("id") % 6 + 1).cast("int"))
+    return estimates.note_conflicts(adapters.instances(spark, d).withColumn("note", note))
+
+
+def backfill_dates(spark, d):
+    return estimates.backfill(adapters.instances(spark, d), "1997-06-30", 600)
+
+
+def unexpected_recurring(spark, d):
+    label = F.concat(F.when(F.col("confidence") == "high", "Brand ").otherwise("Plan "), "obligation_id")
+    held = adapters.instances(spark, d).where("status <> 'paid'").select("entity_id", label.alias("label"))
+    found = estimates.unexpected(_recurring(spark, d).where("disposition = 'surface'"), held)
+    return found.select("account_id", "merchant_key", F.round("impact", 6).alias("impact"), F.round("monthly", 6).alias("monthly"))
+
+
+def verify_statement_identity(spark, d):
+    again = statement_rollup(spark, d).where("cycle_id is not null")
+    stored = again.withColumn("input_sum", F.when(F.col("cycle_id") % 7 == 0, F.col("input_sum") + 1).otherwise(F.col("input_sum")))
+    return findings.rolled_sums_differ(stored, again).select("cycle_id", "input_sum", F.col("sum2").alias("recomputed"))
+
+
+def verify_projection_identity(spark, d):
+    ev = window_events(spark, d)
+    return audit.projection_identity(ev, projection.trough(ev, starting(spark, d), START))
+
+
+def verify_overlap(spark, d):
+    grade = F.substring(F.element_at(F.split("obligation_id", ":"), 2), 1, 1)
+    name = F.concat(F.lit("Lease plan no "), F.when(grade == "3", "2").otherwise(grade))
+    return audit.overlaps(adapters.instances(spark, d).withColumn("name", name).withColumn("kind", F.col("direction")))
+
+
+def grounding_checks(spark, d):
+    facts = adapters.accounts(spark, d).select(F.col("account_id").alias("key"), F.col("balance").alias("value"))
+    off = F.when(F.col("key") % 5 == 0, F.lit("0.02").cast(adapters.MONEY)).otherwise(F.lit("0.01").cast(adapters.MONEY))
+    return audit.grounding(facts.select(F.when(F.col("key") % 7 == 0, -F.col("key") - 1).otherwise(F.col("key")).alias("key"), (F.col("value") + off).cast(adapters.MONEY).alias("value")), facts)
+
+
+def grounding_counts(spark, d):
+    i = adapters.instances(spark, d)
+    return audit.count_differences(i.where("id % 9 <> 0"), i.where("id % 8 <> 0"), ["entity_id", "direction"])
+
+
+def migration_dedup(spark, d):
+    t = adapters.transactions(spark, d)
+    rows = t.select("id", F.col("account_id").alias("entity_id"), F.when(F.col("amount") < 0, "outflow").otherwise("inflow").alias("direction"), F.col("posted").alias("on_date"), F.abs("amount").alias("amount"), F.col("payee").alias("label"))
+    return audit.already_modeled(rows, named(spark, d), amount_pct="0.600")
+
+
 _ALL = (
+    income_biweekly, working_account, guardrail_drift_sum, check_suggestions, dormant_accounts, contradicted_estimates, estimate_provenance, note_contradictions, backfill_dates,
+    unexpected_recurring, verify_statement_identity, verify_projection_identity, verify_overlap, grounding_checks, grounding_counts, migration_dedup,
     spending_by_category, spending_by_merchant, spending_by_month, spending_samples, list_transactions, latest_balance, asof_balance, balance_coverage,
     project_running_balance, project_trough, project_capped_fold, past_due_carry, roll_forward, trough_band, recon_candidates, recon_best, recon_greedy, recon_shared_groups,
     recon_unmatched, prior_amount_change, post_cancellation, recurring_stats, recurring_triage, apply_schedule, drift_payment, stale_estimates, arrived_deposits,

@@ -95,7 +95,56 @@ _BAND = """SELECT t.entity_id, t.low, coalesce(sum(d), 0) AS downside, t.low - c
   SELECT entity_id, due_date, round(amount * CASE confidence WHEN 'low' THEN 0.20 ELSE 0.35 END, 2)::DECIMAL(18,2) AS d FROM ev WHERE direction = 'outflow' AND estimated) e
   ON e.entity_id = t.entity_id AND e.due_date <= t.low_date GROUP BY t.entity_id, t.low"""
 
+_ESTIMATED = """SELECT obligation_id, entity_id AS account_id, median(amount::DOUBLE) AS amount, CASE any_value(confidence) WHEN 'very_low' THEN 4.345::DOUBLE ELSE 2.173::DOUBLE END AS factor,
+  'brand_' || (entity_id % 5 + 1) || (entity_id // 5 % 5 + 1) AS merchant_key FROM inst WHERE status <> 'paid' GROUP BY ALL HAVING bool_and(estimated AND direction = 'outflow')"""
+
 BODY = {
+    "income_biweekly": "SELECT DISTINCT previous_business::VARCHAR AS pay_date FROM bus WHERE day BETWEEN DATE '2026-01-02' AND DATE '2026-12-31' AND (day - DATE '2026-01-02') % 14 = 0 AND previous_business >= DATE '2026-01-01'",
+    "working_account": "SELECT org, account_id, name FROM acc QUALIFY row_number() OVER (PARTITION BY org ORDER BY CASE WHEN contains(lower(name), '0000007') THEN 1 WHEN kind = 'checking' THEN 2 ELSE 3 END, account_id) = 1",
+    "guardrail_drift_sum": "SELECT entity_id, sum(abs(impact::DECIMAL(18,2)))::DOUBLE AS total, count(*) AS n FROM drifts GROUP BY 1 HAVING total > 200",
+    "check_suggestions": """SELECT substr(sha256(i || chr(0) || t), 1, 24) AS suggestion_id, i AS instance_id, t AS transaction_id, round(0.9::DOUBLE * b + 0.1::DOUBLE / count(*) OVER (PARTITION BY t), 3) AS score, count(*) OVER (PARTITION BY t) > 1 AS ambiguous FROM (
+  SELECT i.id AS i, t.id AS t, round(0.5::DOUBLE * (1 - delta::DOUBLE / tol::DOUBLE) + 0.3::DOUBLE * (1 - abs(t.posted - i.due_date) / 7.0::DOUBLE) + h + h, 3) AS b
+  FROM (SELECT *, greatest(50000.00, amount * 0.5) AS tol, CASE WHEN obligation_id IN (SELECT obligation_id FROM inst WHERE status = 'paid') THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS h FROM inst) i
+  JOIN txn t ON t.account_id = i.entity_id AND t.posted BETWEEN i.due_date - 7 AND i.due_date + 7, LATERAL (SELECT abs(-t.amount - i.amount) AS delta) x
+  WHERE i.direction = 'outflow' AND i.status = 'expected' AND i.due_date <= DATE '2000-12-31' AND t.amount < 0 AND NOT t.pending AND delta <= tol
+    AND t.account_id IN (SELECT account_id FROM acc WHERE kind = 'checking') AND i.id NOT IN (SELECT instance_id FROM match) AND t.id NOT IN (SELECT transaction_id FROM match))""",
+    "dormant_accounts": f"SELECT obligation_id, account_id FROM ({_ESTIMATED}) e WHERE account_id % 3 = 0 AND account_id NOT IN (SELECT account_id FROM txn WHERE posted BETWEEN DATE '1998-06-30' - 60 AND DATE '1998-06-30')",
+    "contradicted_estimates": f"""SELECT obligation_id, modeled, observed, CASE WHEN observed <= 5 THEN 'dormant' ELSE 'rewrite' END AS resolution, CASE WHEN observed > 5 THEN round((observed / factor)::DECIMAL(20,6), 2)::DOUBLE END AS new_amount FROM (
+  SELECT e.*, round((amount * factor)::DECIMAL(20,6), 2)::DOUBLE AS modeled, round((coalesce(total, 0) / 9.0::DOUBLE)::DECIMAL(20,6), 2)::DOUBLE AS observed, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1 FROM ({_ESTIMATED}) e LEFT JOIN (
+    SELECT account_id, trim(regexp_replace(lower(payee), '[^a-z0-9]+', '_', 'g'), '_') AS merchant_key, sum(-amount)::DOUBLE AS total, sum(-amount) FILTER (DATE '1998-06-30' - posted < 30)::DOUBLE AS m0,
+      sum(-amount) FILTER (DATE '1998-06-30' - posted BETWEEN 30 AND 59)::DOUBLE AS m1 FROM txn WHERE amount < 0 AND posted BETWEEN DATE '1998-06-30' - 270 AND DATE '1998-06-30' GROUP BY ALL) s USING (account_id, merchant_key)
+  WHERE account_id IN (SELECT account_id FROM txn WHERE posted BETWEEN DATE '1998-06-30' - 270 AND DATE '1998-06-30'))
+  WHERE modeled >= greatest(500000::DOUBLE, observed * 2) AND modeled >= greatest(500000::DOUBLE, m0 * 2) AND modeled >= greatest(500000::DOUBLE, m1 * 2)""",
+    "estimate_provenance": """SELECT id, coalesce(len(m), 0) AS n_covered, len(miss) AS n_missing, list_min(miss)::VARCHAR AS first_missing, coalesce(len(miss) = 0, false) AS complete FROM (
+  SELECT id, m, CASE WHEN m IS NOT NULL THEN list_filter(list_transform(range(0, date_diff('month', list_min(m), due_date) + 1), lambda k: (list_min(m) + to_months(k::INT))::DATE), lambda x: NOT list_contains(m, x))[1:60] END AS miss
+  FROM (SELECT *, 'brand_' || (entity_id % 5 + 1) || (entity_id // 5 % 5 + 1) AS merchant_key FROM inst) i LEFT JOIN (
+    SELECT account_id, trim(regexp_replace(lower(payee), '[^a-z0-9]+', '_', 'g'), '_') AS merchant_key, list(DISTINCT date_trunc('month', posted)::DATE) AS m FROM txn GROUP BY ALL) e ON e.account_id = i.entity_id AND e.merchant_key = i.merchant_key
+  WHERE estimated AND status <> 'paid')""",
+    "note_contradictions": r"""SELECT id, field, note_says, record_says FROM (
+  WITH n AS (SELECT id, status, estimated, CASE confidence WHEN 'very_low' THEN 'weekly' WHEN 'low' THEN 'biweekly' WHEN 'high' THEN 'quarterly' ELSE 'monthly' END AS cadence,
+    ['quarterly now', 'account closed', 'placeholder, was weekly or bi-weekly', 'no longer active', 'annually; estimate', ''][id % 6 + 1] AS note FROM inst)
+  SELECT DISTINCT id, 'cadence' AS field, canon AS note_says, cadence AS record_says FROM n JOIN (VALUES ('weekly', 'weekly'), ('bi-weekly', 'biweekly'), ('monthly', 'monthly'), ('quarterly', 'quarterly'), ('annually', 'annual')) v(word, canon)
+    ON regexp_matches(note, '(^|\W)' || word || '(\W|$)') AND canon <> cadence
+  UNION ALL SELECT id, 'status', CASE WHEN contains(note, 'closed') THEN 'closed' ELSE 'no longer active' END, status FROM n WHERE status <> 'paid' AND (contains(note, 'closed') OR contains(note, 'no longer'))
+  UNION ALL SELECT id, 'amount_status', CASE WHEN contains(note, 'estimate') THEN 'estimate' ELSE 'placeholder' END, 'confirmed' FROM n WHERE NOT estimated AND (contains(note, 'estimate') OR contains(note, 'placeholder')))""",
+    "backfill_dates": """SELECT obligation_id, back::VARCHAR AS due_date, amount::DOUBLE AS amount FROM (
+  SELECT obligation_id, amount, unnest(list_transform(range(1, 700), lambda k: CASE confidence WHEN 'very_low' THEN due_date - (7 * k)::INT WHEN 'low' THEN due_date - (14 * k)::INT ELSE (due_date - to_months(k::INT))::DATE END)) AS back
+  FROM inst WHERE direction = 'outflow' AND confidence <> 'high' QUALIFY row_number() OVER (PARTITION BY obligation_id ORDER BY due_date, id) = 1) WHERE back >= DATE '1997-06-30' - 600 AND back < DATE '1997-06-30'""",
+    "unexpected_recurring": """SELECT account_id, merchant_key, round(priority, 6) AS impact, round(priority / CASE candidate_type WHEN 'variable_spend' THEN 0.3::DOUBLE WHEN 'card_statement_input' THEN 0.9::DOUBLE WHEN 'direct_checking_outflow' THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END, 6) AS monthly
+  FROM prio WHERE NOT (months_covered < 2 AND NOT regular) AND candidate_type NOT IN ('review_only') AND NOT (candidate_type = 'variable_spend' AND (regular OR confidence = 'low'))
+    AND account_id NOT IN (SELECT entity_id FROM inst WHERE status <> 'paid' AND confidence = 'high')""",
+    "verify_statement_identity": """SELECT cycle_id, (s + 1)::DOUBLE AS input_sum, s::DOUBLE AS recomputed FROM (
+  SELECT s.id AS cycle_id, coalesce(sum(i.amount), 0) AS s FROM (SELECT *, coalesce(lag(due_date) OVER w, DATE '1900-01-01') AS before, lead(due_date) OVER w AS after, lag(id) OVER w AS prev FROM inst WHERE confidence = 'very_low' WINDOW w AS (PARTITION BY entity_id ORDER BY due_date, id)) s
+  LEFT JOIN inst i ON i.entity_id = s.entity_id AND i.direction = 'outflow' AND i.confidence <> 'very_low' AND i.due_date > s.before AND i.due_date <= s.due_date GROUP BY 1) WHERE cycle_id % 7 = 0""",
+    "verify_projection_identity": "SELECT t.entity_id, t.ending::DOUBLE AS ending, (t.starting + coalesce(m, 0))::DOUBLE AS recomputed, abs(t.ending - t.starting - coalesce(m, 0)) <= 0.01 AS holds FROM tro t LEFT JOIN (SELECT entity_id, sum(signed) AS m FROM ev GROUP BY 1) e ON e.entity_id = t.entity_id",
+    "verify_overlap": """SELECT a.obligation_id AS obligation_a, b.obligation_id AS obligation_b, len(list_intersect(a.months, b.months)) AS n_months, a.g = b.g AS exact FROM ob a JOIN ob b
+  ON a.entity_id = b.entity_id AND a.direction = b.direction AND a.obligation_id < b.obligation_id AND len(list_intersect(a.months, b.months)) > 0 AND (a.g = b.g OR abs(a.mid - b.mid) <= greatest(a.mid, b.mid) * 0.15::DOUBLE)""",
+    "grounding_checks": """SELECT CASE WHEN account_id % 7 = 0 THEN -account_id - 1 ELSE account_id END AS key, (balance + CASE WHEN account_id % 5 = 0 THEN 0.02 ELSE 0.01 END)::DOUBLE AS claimed, CASE WHEN account_id % 7 <> 0 THEN balance::DOUBLE END AS found,
+  CASE WHEN account_id % 7 = 0 THEN 'unsupported' WHEN account_id % 5 = 0 THEN 'mismatch' ELSE 'grounded' END AS verdict FROM acc""",
+    "grounding_counts": "SELECT entity_id, direction, count(*) FILTER (id % 9 <> 0) AS n_claimed, count(*) FILTER (id % 8 <> 0) AS n_found FROM inst GROUP BY ALL HAVING n_claimed <> n_found",
+    "migration_dedup": """SELECT t.id, i.instance_id, CASE WHEN i.instance_id IS NULL THEN 'new' ELSE 'already_modeled' END AS verdict FROM words_t t LEFT JOIN (
+  SELECT t.id, arg_min(i.id, (i.due_date, i.id)) AS instance_id FROM words_t t JOIN words_i i ON i.entity_id = t.account_id AND i.direction = t.direction AND i.due_date BETWEEN t.posted - 7 AND t.posted + 7
+    AND abs(t.observed - i.amount) <= greatest(5.00, greatest(t.observed, i.amount) * 0.6) AND len(list_intersect(i.words, list_filter(regexp_split_to_array(lower(t.payee), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+')))) > 0 GROUP BY 1) i ON i.id = t.id""",
     "spending_by_category": f"SELECT category AS key, sum(spend)::DOUBLE AS total, count(*) AS n FROM spend WHERE {YEAR} GROUP BY 1 ORDER BY total DESC, key LIMIT 10",
     "spending_by_merchant": f"SELECT merchant AS key, sum(spend)::DOUBLE AS total, count(*) AS n FROM spend WHERE {YEAR} GROUP BY 1",
     "spending_by_month": "SELECT month, total::DOUBLE AS total, n, (total - lag(total) OVER (ORDER BY month))::DOUBLE AS change FROM (SELECT month, sum(spend) AS total, count(*) AS n FROM spend WHERE posted BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' AND category NOT IN ('Transfers', 'Income') GROUP BY 1)",
@@ -148,8 +197,11 @@ BODY = {
     "business_days": "SELECT day::VARCHAR AS day, is_business, previous_business::VARCHAR AS previous_business FROM bus WHERE day >= DATE '2026-01-01'",
 }
 
-#: Sequential operators: one step of a recursion per event, or per hit.
+#: Further tables: one step of a recursion per event, or per hit, and obligations with their upper-median amounts.
 STEPS = {
+    "verify_overlap": """
+ob AS (SELECT entity_id, obligation_id, direction, CASE any_value(name) WHEN 'Brand 3-MEDIUM' THEN '2' ELSE any_value(name)[7:7] END AS g, list(DISTINCT date_trunc('month', due_date)) AS months,
+  list_sort(list(amount::DOUBLE))[count(*) // 2 + 1] AS mid FROM inst WHERE status <> 'paid' GROUP BY ALL)""",
     "project_capped_fold": """
 fold AS (SELECT account_id AS entity_id, balance AS starting, 0::BIGINT AS seq, balance, balance AS low, DATE '1998-01-01' AS low_date FROM acc
   UNION ALL SELECT entity_id, starting, seq, b, least(b, low), CASE WHEN b < low THEN due_date ELSE low_date END FROM (

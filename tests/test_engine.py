@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cashtide.functions import dates, text
-from cashtide.operators import balances, findings, ledger, projection, reconcile
+from cashtide.operators import audit, balances, estimates, findings, ledger, projection, reconcile
 from cashtide.plans import catalog
 from cashtide.sources import ingest
 from cashtide.streaming import balances as stream_balances
@@ -158,3 +158,54 @@ def test_stream_keeps_latest(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     stream_balances.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {(r["account_id"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()} == {(1, 2), (2, 3)}
+
+
+def test_notes_against_records(spark):
+    rows = [(1, "Quarterly now", "monthly", "expected", "estimated"), (2, "account CLOSED", "monthly", "paid", "estimated"), (3, "no longer active", "monthly", "expected", None),
+            (4, "a guess", "annual", "expected", "confirmed"), (5, "yearly", "annual", "expected", "confirmed"), (6, None, None, None, None), (7, "disclosed", "monthly", "expected", "confirmed")]
+    got = estimates.note_conflicts(spark.createDataFrame(rows, "id long, note string, cadence string, status string, amount_status string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "cadence", "quarterly", "monthly"), (3, "status", "no longer active", "expected"), (4, "amount_status", "guess", "confirmed")]
+
+
+def test_check_suggestion_scores(spark):
+    bills = [(1, 9, "rent", date(2026, 6, 1), D("300"))]
+    checks = [("t", 9, date(2026, 6, 3), D("-302"), "Check # 17"), ("u", 9, date(2026, 6, 3), D("-302"), "Checking 17"), ("v", 9, date(2026, 6, 20), D("-300"), "CHECK 3")]
+    b = lambda rows: spark.createDataFrame(rows, f"id long, entity_id long, obligation_id string, due_date date, amount {MONEY}")
+    c = spark.createDataFrame(checks, f"id string, account_id long, posted date, amount {MONEY}, description string")
+    paid = spark.createDataFrame([("rent", 9)] * 3, "obligation_id string, account_id long")
+    got = estimates.check_suggestions(b(bills), c, paid).collect()
+    assert [(r["instance_id"], r["transaction_id"], r["score"], r["ambiguous"]) for r in got] == [(1, "t", 0.803, False)]
+    both = estimates.check_suggestions(b(bills + [(2, 9, "rent", date(2026, 6, 1), D("300"))]), c, paid).collect()
+    assert [(r["score"], r["ambiguous"]) for r in both] == [(0.753, True)] * 2
+
+
+def test_contradicted_and_dormant(spark):
+    e = spark.createDataFrame([("a", 1, "gym", "monthly", 400.0), ("b", 1, "tv", "monthly", 400.0), ("c", 2, "gym", "monthly", 400.0), ("d", 1, "food", "monthly", 400.0)], "obligation_id string, account_id long, merchant_key string, cadence string, amount double")
+    t = [(1, date(2026, 6, 20), D("-100"), "TV"), (1, date(2026, 5, 20), D("-100"), "TV"), (1, date(2026, 6, 20), D("-390"), "Food"), (1, date(2026, 1, 1), D("-900"), "gym")]
+    t = spark.createDataFrame(t, f"account_id long, posted date, amount {MONEY}, payee string")
+    got = {r["obligation_id"]: (r["observed"], r["resolution"], r["new_amount"]) for r in estimates.contradicted(e, t, "2026-06-30").collect()}
+    assert got == {"a": (0.0, "dormant", None), "b": (66.67, "rewrite", 66.67)}
+    held = spark.createDataFrame([(1, D("0")), (2, D("0"))], f"account_id long, balance {MONEY}")
+    assert [r["obligation_id"] for r in estimates.dormant(e, held, t, "2026-06-30").collect()] == ["c"]
+
+
+def test_provenance_and_backfill(spark):
+    e = spark.createDataFrame([(1, 1, "gym", date(2026, 5, 9)), (2, 1, "none", date(2026, 5, 9)), (3, 1, "gym", date(2025, 5, 9))], "id long, account_id long, merchant_key string, due_date date")
+    seen = spark.createDataFrame([(1, "gym", date(2026, 1, 31)), (1, "gym", date(2026, 3, 1)), (1, "gym", date(2026, 3, 9))], "account_id long, merchant_key string, posted date")
+    got = sorted(tuple(r) for r in estimates.provenance(e, seen).collect())
+    assert got == [(1, 2, 3, date(2026, 2, 1), False), (2, 0, None, None, False), (3, 2, 0, None, True)]
+    i = spark.createDataFrame([(1, "rent", date(2026, 5, 31), D("10"), "outflow", "monthly"), (2, "rent", date(2026, 6, 30), D("10"), "outflow", "monthly"), (3, "pay", date(2026, 5, 31), D("1"), "inflow", "weekly")], f"id long, obligation_id string, due_date date, amount {MONEY}, direction string, cadence string")
+    assert sorted(r["due_date"] for r in estimates.backfill(i, "2026-06-01").collect()) == [date(2026, 3, 31), date(2026, 4, 30)]
+
+
+def test_audits(spark):
+    i = [(1, "a", "Old lease", "rent", date(2026, 6, 1), D("100"), "expected"), (1, "b", "old lease ", "rent", date(2026, 6, 9), D("900"), "expected"), (1, "c", "Old leases", "rent", date(2026, 6, 9), D("100"), "expected"),
+         (1, "d", "Old lease", "rent", date(2026, 7, 9), D("100"), "expected"), (2, "e", "Old lease", "rent", date(2026, 6, 9), D("100"), "expected"), (1, "f", "the old lease", "rent", date(2026, 6, 9), D("110"), "expected")]
+    got = audit.overlaps(spark.createDataFrame(i, f"entity_id long, obligation_id string, name string, kind string, due_date date, amount {MONEY}, status string"))
+    assert sorted((r["obligation_a"], r["obligation_b"], r["exact"]) for r in got.collect()) == [("a", "b", True), ("a", "f", False)]
+    f = spark.createDataFrame([("x", D("1.00")), ("y", None)], f"key string, value {MONEY}")
+    c = spark.createDataFrame([("x", D("1.01")), ("x", D("1.02")), ("y", D("1")), ("z", D("1"))], f"key string, value {MONEY}")
+    assert sorted((r["key"], r["verdict"]) for r in audit.grounding(c, f).collect()) == [("x", "grounded"), ("x", "mismatch"), ("y", "mismatch"), ("z", "unsupported")]
+    rows = spark.createDataFrame([(1, 1, "outflow", date(2026, 6, 5), D("100"), "Old lease"), (2, 1, "outflow", None, D("1"), "x"), (3, 1, "inflow", date(2026, 6, 5), D("100"), "Old lease")], f"id long, entity_id long, direction string, on_date date, amount {MONEY}, label string")
+    known = spark.createDataFrame([(8, 1, "outflow", date(2026, 6, 12), D("104"), "lease"), (7, 1, "outflow", date(2026, 6, 12), D("104"), "lease")], f"id long, entity_id long, direction string, due_date date, amount {MONEY}, name string")
+    assert sorted(tuple(r) for r in audit.already_modeled(rows, known).collect()) == [(1, 7, "already_modeled"), (2, None, "needs_review"), (3, None, "new")]
