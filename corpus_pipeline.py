@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (words in threes, Jaccard 0.9 or more)."""
-    groups = jaccard.join(docs).where("doc_id = component_id or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
+    """Keeps the smallest doc_id of each group of near copies (words in fives, Jaccard 0.8 or more)."""
+    groups = jaccard.join(docs, Fraction(4, 5), 5).where("doc_id = component_id or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
     return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -26,3 +26,27 @@ def test_stages(spark, tmp_path):
     t = packing.Tokenizer(packing.vocabulary_path())
     text = {r.doc_id: r.text for r in two.collect()}
     assert got and all(np.frombuffer(r.ids, "<u4").tolist() == (t.ids(text[r.doc_id]) + [1])[r.start : r.start + r.length] for r in got)
+
+
+def test_near_copies_are_those_of_five_words_at_four_fifths(spark, tmp_path):
+    """Appended, scattered, inserted and turned copies around the limit, against all pairs."""
+    texts = []
+    for n in (12, 45, 100, 500):
+        base = [f"{n}w{k}" for k in range(n)]
+        texts.append(base)
+        texts += [base + [f"{n}x{share}y{k}" for k in range(n * share // 100)] for share in (12, 18, 24, 30)]
+        texts += [[f"{n}e{edits}" if k % (n // edits) == n // edits // 2 else w for k, w in enumerate(base)] for edits in (1, 2, 9, 11, 14) if edits < n // 5]
+        texts += [base[: n // 2] + [f"{n}i"] + base[n // 2 :], base[n // 2 :] + base[: n // 2]]
+    up, between = list(range(len(texts))), 0
+    sets = {w: [{tuple(t[k : k + w]) for k in range(len(t) - w + 1)} for t in texts] for w in (3, 5)}
+    for i in range(len(texts)):
+        for j in range(i):
+            (a, b), (c, d) = (sets[5][i], sets[5][j]), (sets[3][i], sets[3][j])
+            if 5 * len(a & b) >= 4 * len(a | b):
+                between += 10 * len(c & d) < 9 * len(c | d)
+                x, y = up[i], up[j]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    assert between > 20
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted(set(up))
