@@ -69,8 +69,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Stretches of text that may hold something: chunks with a digit or @, joined by single blanks.
-_ISLAND = re.compile(r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@(][^\s]*)*")
+#: What every shape but an obfuscated email has in it: a digit, an @ or a run of 16 letters.
+_HINT = re.compile(r"[0-9@]|[A-Za-z]{16}")
+_AT_MARK = re.compile(r"@|\(at\)|\[at\]")
+_HOST = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
+_SPACE = re.compile(r"\s")
+#: What may stand between two chunks of one shape.
+_JOINT = re.compile(r"[ ().-]+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
@@ -86,9 +91,10 @@ _SHAPES = {
     "number": re.compile(r"[0-9]+(?:[.,][0-9]+)*"),
 }
 _SAID = re.compile(r"(token|secret|passw(?:or)?d|api[_ -]?key|key)\W{0,4}\Z", re.I)
+_STOP = re.compile(r"[^\s]\. ")
 FEATURES = (
     *(f"is {k}" for k in _SHAPES), "bias", "one token", "luhn", "13-19 digits", "9-15 digits", "7 digits or more", "parts over 255",
-    "letters and digits", "edge before", "edge after", "said", "blank at an end", "long",
+    "letters and digits", "letters alone", "capitals", "sentence end", "mention", "edge before", "edge after", "said", "blank at an end", "long",
 )
 _AT = {k: i for i, k in enumerate(FEATURES)}
 
@@ -107,6 +113,10 @@ def span_features(text: str, a: int, b: int) -> list[int]:
         "7 digits or more": n >= 7,
         "parts over 255": any(len(p) < 9 and p.isdigit() and p.isascii() and int(p) > 255 for p in s.split(".")),
         "letters and digits": alpha and n > 3,
+        "letters alone": n == 0,
+        "capitals": b - a >= 16 and s.isalnum() and s.isupper(),
+        "sentence end": _STOP.search(s) is not None,
+        "mention": " @" in s and "@ " not in s,
         "edge before": a > 0 and (text[a - 1].isalnum() or text[a - 1] in "-./@_"),
         "edge after": b < len(text) and (text[b].isalnum() or (text[b] in "-/@_." and b + 1 < len(text) and text[b + 1].isalnum())),
         "said": _SAID.search(text, max(0, a - 16), a) is not None,
@@ -116,13 +126,38 @@ def span_features(text: str, a: int, b: int) -> list[int]:
     return out + [_AT[k] for k, v in tests.items() if v]
 
 
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Chunks between white space that have a hint, and emails with blanks in them with the chunks they touch."""
+
+    def chunk(a: int, b: int) -> tuple[int, int]:
+        while a and not text[a - 1].isspace():
+            a -= 1
+        m = _SPACE.search(text, b)
+        return a, m.start() if m else len(text)
+
+    at = 0
+    while m := _HINT.search(text, at):
+        low, at = chunk(m.start(), m.end())
+        yield low, at
+    done = 0
+    for m in _AT_MARK.finditer(text):
+        if m.start() >= done and (host := _HOST.match(text, m.end())):
+            blank = m.start() > 1 and text[m.start() - 1] == " "
+            low, done = chunk(m.start() - blank, host.end())
+            yield low, done
+
+
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token bounds of each stretch worth decoding: an @, seven digits, or a long mix of letters and digits."""
-    for m in _ISLAND.finditer(text):
-        s = m[0]
-        if "@" not in s and sum("0" <= c <= "9" for c in s) < 7:
-            continue
-        tokens = [(m.start() + t.start(), m.start() + t.end()) for t in _TOKEN.finditer(s)]
+    """Token bounds of each stretch worth decoding: all that a shape of a kind may match lies within one."""
+    merged: list[list[int]] = []
+    for a, b in sorted(_stretches(text)):
+        last = merged[-1][1] if merged else -1
+        if merged and (a <= last or a - last <= SEGMENT and _JOINT.fullmatch(text, last, a)):
+            merged[-1][1] = max(last, b)
+        else:
+            merged.append([a, b])
+    for a, b in merged:
+        tokens = [t.span() for t in _TOKEN.finditer(text, a, b)]
         for k in range(0, len(tokens), ISLAND):
             yield tokens[k : k + ISLAND]
 
@@ -241,7 +276,8 @@ def _examples(rng: random.Random, count: int) -> Iterator[tuple[str, list[tuple[
         lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: f"{digits(8)}", lambda: f"{digits(12)}", lambda: f"{digits(20)}",
         lambda: f"{digits(3)}.{rng.randint(256, 999)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"@{word()}{digits(1)}",
         lambda: f"{word()}{digits(7)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(4)} {digits(4)} {digits(4)}", lambda: f"{word()}-{digits(10)}-{word()}",
-        lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}x",
+        lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}x", lambda: digits(rng.randint(1, 4)), lambda: f"{word()}{digits(2)}",
+        lambda: (word() + word() + word() + word()).ljust(18, "e"), lambda: "".join(word().title() for _ in range(5)).ljust(18, "s"),
     ]
     for _ in range(count):
         text, spans = word() + " ", []
@@ -278,11 +314,10 @@ def find(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], li
     base = base_spans(text)
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     more = []
-    if _TRIGGER.search(text):
-        for tokens in islands(text):
-            for k, a, b in field.best(text, tokens):
-                if all(b <= x or a >= y for _, x, y in base):
-                    more.append((k, a, b))
+    for tokens in islands(text):
+        for k, a, b in field.best(text, tokens):
+            if all(b <= x or a >= y for _, x, y in base):
+                more.append((k, a, b))
     return sorted(base, key=order), sorted(base + more, key=order)
 
 
@@ -321,7 +356,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redacted_text(text: str | None, field: Field) -> str | None:
     """The text with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return text
     out, at = [], 0
     for k, a, b in sorted(find(text, field)[1], key=lambda s: (s[1], -s[2])):
