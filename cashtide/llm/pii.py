@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 #: Kinds in the order in which spans are listed; the last one is found by the field alone.
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Longest segment in tokens, and longest island in tokens that is decoded at once (longer ones go in slices).
-SEGMENT, ISLAND = 44, 160
+#: Longest segment in tokens.
+SEGMENT = 44
 
 _TRIGGER = re.compile(r"[0-9@+]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -157,23 +157,24 @@ def islands(text: str) -> Iterator[list[tuple[int, int]]]:
         else:
             merged.append([a, b])
     for a, b in merged:
-        tokens = [t.span() for t in _TOKEN.finditer(text, a, b)]
-        for k in range(0, len(tokens), ISLAND):
-            yield tokens[k : k + ISLAND]
+        yield [t.span() for t in _TOKEN.finditer(text, a, b)]
+
+
+def _segments(text: str, tokens: list[tuple[int, int]], i: int) -> Iterator[tuple[int, list[int]]]:
+    """Features of every segment from token i on that may be an entity: (past the last token, indexes)."""
+    a = tokens[i][0]
+    if not (text[a].isalnum() or text[a] in "+("):
+        return
+    for j in range(i + 1, min(len(tokens), i + SEGMENT) + 1):
+        b = tokens[j - 1][1]
+        f = span_features(text, a, b) if text[b - 1].isalnum() else None
+        if f and len(f) > 1 and f[1] < len(_SHAPES):  # a segment of no known shape stays outside
+            yield j, f
 
 
 def _lattice(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], list[int]]:
-    """Features of every segment that may be an entity: (first token, past the last) -> indexes."""
-    out = {}
-    for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
-        for j in range(i + 1, min(len(tokens), i + SEGMENT) + 1):
-            b = tokens[j - 1][1]
-            f = span_features(text, a, b) if text[b - 1].isalnum() else None
-            if f and len(f) > 1 and f[1] < len(_SHAPES):  # a segment of no known shape stays outside
-                out[i, j] = f
-    return out
+    """All segments of an island: (first token, past the last) -> indexes."""
+    return {(i, j): f for i in range(len(tokens)) for j, f in _segments(text, tokens, i)}
 
 
 class Field:
@@ -187,31 +188,35 @@ class Field:
         return {k: self.w[:, f].sum(axis=1) for k, f in lattice.items()}
 
     def best(self, text: str, tokens) -> list[tuple[str, int, int]]:
-        """Viterbi over segments: boundaries and kinds jointly."""
-        lattice = _lattice(text, tokens)
-        if not lattice:
-            return []
-        by_end: dict[int, list] = {}
-        for (i, j), s in self.scores(lattice).items():
-            by_end.setdefault(j, []).append((i, s))
+        """Viterbi over segments of a whole island: boundaries and kinds jointly.
+
+        Segments and scores are held for a window of SEGMENT tokens; of the rest only the way back stays."""
         n, m = len(tokens), len(KINDS) + 1
-        top, back = np.full((n + 1, m), -np.inf), {}
-        top[0, 0] = 0.0
+        back, was = np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int8)
+        top = np.full(m, -np.inf)
+        top[0] = 0.0
+        reach: dict[int, np.ndarray] = {}
+        ends: dict[int, list[tuple[int, np.ndarray]]] = {}
         for j in range(1, n + 1):
-            for i, s in [(j - 1, None), *by_end.get(j, ())]:
-                reach = top[i][:, None] + self.t
-                come = reach.argmax(axis=0)
-                for y in [0] if s is None else range(1, m):
-                    v = reach[come[y], y] + (0.0 if s is None else s[y - 1])
-                    if v > top[j, y]:
-                        top[j, y] = v
-                        back[j, y] = (i, int(come[y]))
-        j, y, out = n, int(top[n].argmax()), []
+            i = j - 1
+            ways = top[:, None] + self.t
+            was[i] = ways.argmax(axis=0)  # the best label before each label of a segment that starts at i
+            reach[i] = ways.max(axis=0)
+            reach.pop(i - SEGMENT, None)
+            for k, f in _segments(text, tokens, i):
+                ends.setdefault(k, []).append((i, self.w[:, f].sum(axis=1)))
+            top = np.full(m, -np.inf)
+            top[0], back[j, 0] = reach[i][0], i
+            for k, s in ends.pop(j, ()):
+                v = reach[k][1:] + s
+                better = np.flatnonzero(v > top[1:]) + 1
+                top[better], back[j, better] = v[better - 1], k
+        j, y, out = n, int(top.argmax()), []
         while j:
-            i, was = back[j, y]
+            i = int(back[j, y])
             if y:
                 out.append((KINDS[y - 1], tokens[i][0], tokens[j - 1][1]))
-            j, y = i, was
+            j, y = i, int(was[i, y])
         return out
 
     def learn(self, tokens, lattice, truth: dict[tuple[int, int], int], rate: float) -> None:
@@ -332,8 +337,8 @@ def detect(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans and the list of all spans of every row, from its whole text.
 
     One row per input row, nothing shuffled. Null and empty texts have no spans (the digest of an empty
-    string). Positions are code points, ends exclusive. Extra columns are ignored. The DP is bounded: segments
-    of SEGMENT tokens, islands decoded in slices of ISLAND tokens, so very long texts stay linear.
+    string). Positions are code points, ends exclusive. Extra columns are ignored. Segments have at most
+    SEGMENT tokens and islands are decoded whole, in a rolling window, so very long texts stay linear.
     """
     field = trained()
 

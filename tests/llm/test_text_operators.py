@@ -162,6 +162,18 @@ def test_pii_decodes_every_shape_that_it_is_trained_on():
             assert any(i[0][0] <= a and b <= i[-1][1] for i in pii.islands(text)), text[a:b]
 
 
+def test_pii_spans_are_found_wherever_an_island_has_them():
+    field = pii.trained()
+    for kind, piece in (("phone", "(415) 555-0132"), ("secret", "AKBCDEFGHJKL2MNPQ3RS"), ("email", "joe (at) host42 (dot) org")):
+        for k in (*range(30, 61), 200, 1000):
+            text = "a1;" * k + piece + ";a1" * 60
+            assert len(list(pii.islands(text))) == 1
+            assert (kind, 3 * k, 3 * k + len(piece)) in pii.find(text, field)[1], (piece, k)
+    phones = [f"{200 + k}-555-{1000 + 7 * k}" for k in range(300)]
+    text = ",".join(phones)
+    assert pii.redacted_text(text, field) == ",".join(["<PHONE>"] * 300)
+
+
 def test_language_id(spark, edge, empty):
     words = {"en": "the and of to in that is was", "de": "der und die nicht ist ein das mit", "fr": "le de et la les des que est", "es": "el los que de la y en una"}
     rng = np.random.default_rng(3)
