@@ -221,7 +221,7 @@ def _blocked(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """doc_id, n, node (hash of the set; null when it is empty), vec and keys (null where the task had the set already)."""
+    """_row, doc_id, n, node (hash of the set; null when it is empty), vec and keys (null where the task had the set already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -238,10 +238,10 @@ def _prepared(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
                 vecs.append(count_vector(u).tobytes() if fresh else None)
                 keys.append(part_keys(u, t) if fresh else None)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column("doc_id"), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64()), "vec": pa.array(vecs, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                {"_row": b.column("_row"), "doc_id": b.column("doc_id"), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64()), "vec": pa.array(vecs, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, vec binary, keys array<long>")
+    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, n long, node long, vec binary, keys array<long>")
 
 
 def _near_by_counts(tasks: DataFrame, t: float) -> DataFrame:
@@ -308,23 +308,26 @@ def _verified(tasks: DataFrame, width: int, t: Fraction) -> DataFrame:
     return tasks.select("task", "node", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, threshold: Fraction = Fraction(9, 10), width: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs`.
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs`, saved, with a number of its own for each row in the column _row: ids may be null or repeated."""
+    return saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def linked(rows: DataFrame, threshold: Fraction, width: int) -> tuple[DataFrame, DataFrame]:
+    """For rows of numbered(): (_row, doc_id, n, node) of each, node being null without words; and (node, component)
+    of every node, a component being the nodes that similarity of `threshold` or more connects.
 
     1. One pass makes each text's set of shingle hashes, its count vector and its part keys (see part_keys);
        equal sets become one node, named by a 64-bit hash of the set.
     2. Nodes that share a key meet in buckets; each bucket's tree of count vectors bounds overlaps and leaves the
        connected candidates. Buckets with the same members are treated once; large ones are dealt by blocks.
-    3. Candidates' texts are read again and verified exactly within their groups, again dealt by blocks.
+    3. Candidates' texts, one row's for each node, are read again and verified exactly within their groups, again
+       dealt by blocks.
     Every pair with the similarity meets in step 2 and its bound holds, so no link between different texts is
     lost; a group of n copies yields n - 1 links, never its pairs.
-
-    Null or empty texts and texts without words have n_shingles 0 and are linked with nothing. Repeated rows
-    each get a row. Repeated doc_ids with different texts are told apart by text. Extra columns are ignored.
     """
     t = Fraction(threshold)
-    d = docs.select("doc_id", "text")
-    ready = saved(_prepared(d, width, t))
+    ready = saved(_prepared(rows, width, t))
     by_key = Window.partitionBy("key")
     met = (
         ready.where("keys is not null")
@@ -336,14 +339,36 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(9, 10), width: int = 3)
     vecs = ready.where("vec is not null").groupBy("node").agg(F.first("vec").alias("vec"))
     near = _near_by_counts(_blocked(met, "bucket").select("task", "node").distinct().join(vecs, "node"), float(t))
     groups = components(near)
-    owners = ready.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = groups.join(owners, "node").join(d, "doc_id")
+    owners = ready.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
+    texts = groups.join(owners, "node").join(rows.select("_row", "text"), "_row")
     exact = components(_verified(_blocked(texts, "component"), width, t))
-    per_node = owners.join(exact, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("doc_id").alias("low"))
+    named = owners.join(exact, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return ready.select("_row", "doc_id", "n", "node"), named
+
+
+def join(docs: DataFrame, threshold: Fraction = Fraction(9, 10), width: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id of its component, of every row of `docs`; see linked().
+
+    Null or empty texts and texts without words have n_shingles 0 and are linked with nothing. Repeated rows
+    each get a row. Texts are told apart by row, so null and repeated doc_ids link like any others; a component
+    without any doc_id has a null component_id. Extra columns are ignored.
+    """
+    ready, named = linked(numbered(docs.select("doc_id", "text")), threshold, width)
+    per_node = ready.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(named, "node")
     smallest = per_node.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = per_node.join(smallest, "component").select("node", "component_id")
+    of_node = per_node.join(smallest, "component").select("node", "component_id")
     return (
-        ready.select("doc_id", "n", "node")
-        .join(named, "node", "left")
+        ready.join(of_node, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """The rows of `docs` but those that have a near copy before them: of each component stays the row of the smallest
+    doc_id, nulls last, and of several such rows one. Rows without words stay."""
+    rows = numbered(docs)
+    ready, named = linked(rows, threshold, width)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    per_node = ready.where("node is not null").groupBy("node").agg(first).join(named, "node")
+    kept = per_node.groupBy("component").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(kept.unionAll(ready.where("node is null").select("_row")), "_row", "left_semi").select(*docs.columns)

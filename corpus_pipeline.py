@@ -19,9 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (words in fives, Jaccard 0.8 or more)."""
-    groups = jaccard.join(docs, Fraction(4, 5), 5).where("doc_id = component_id or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each group of near copies (words in fives, Jaccard 0.8 or more): that of the smallest doc_id, nulls last."""
+    return jaccard.one_of_each(docs, Fraction(4, 5), 5)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,21 @@ def test_near_copies_are_those_of_five_words_at_four_fifths(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
     kept = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect())
     assert kept == sorted(set(up))
+
+
+def test_near_copies_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows, not ids, are told apart: one row of each group stays, null ids last."""
+    base = {k: [f"{k}{i}" for i in range(60)] for k in "abcdef"}
+    near = {k: " ".join([*w, f"{k}near"]) for k, w in base.items()}
+    base = {k: " ".join(w) for k, w in base.items()}
+    rows = [(None, base["a"]), (4, near["a"]), (None, base["b"]), (None, near["b"]), (7, base["c"]), (7, base["c"]), (7, near["c"])]
+    rows += [(9, base["d"]), (9, base["e"]), (3, near["d"]), (2, near["e"]), (None, base["f"]), (None, None), (None, ""), (12, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()]
+    text = {t[0]: 0 for t in base.values()}
+    for _, t in kept:
+        if t and t.strip():
+            text[t[0]] += 1
+    assert set(text.values()) == {1}
+    assert {(4, near["a"]), (3, near["d"]), (2, near["e"]), (None, base["f"]), (None, None), (None, ""), (12, " ")} <= set(kept)
+    assert {i for i, t in kept if t and t[0] in "bc"} == {None, 7} and len(kept) == 9

@@ -275,6 +275,16 @@ def test_jaccard_blocks_and_edges(spark, edge, empty, monkeypatch):
     assert jaccard.join(edge).count() == len(EDGE) and jaccard.join(empty).count() == 0
 
 
+def test_jaccard_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, two, three = (" ".join([*words, *[f"x{k}" for k in range(n)]]) for n in (0, 5, 10))
+    other = " ".join(f"z{k}" for k in range(60))
+    near = other + " end"
+    rows = [(5, one), (None, two), (3, three), (8, other), (8, one + " end"), (1, near), (None, "alone by itself"), (None, "alone by itself")]
+    got = sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(58, 5, 3), (63, 0, 3), (68, 3, 3), (58, 8, 1), (59, 8, 3), (59, 1, 1), (1, 0, 0), (1, 0, 0)])
+
+
 def test_quality(spark, edge, empty):
     rng = np.random.default_rng(6)
     good = [(i, " ".join(rng.choice("the cat sat on a mat and ran off".split(), 40)), "en", None, 0) for i in range(80)]
