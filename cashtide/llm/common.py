@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +39,26 @@ def word_count(c: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, BLANK_RUN))).cast("long")
 
 
+def finite_vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, start, end, x): the rows of a batch whose list is not null and holds neither nulls nor non-finite
+    numbers, and their bounds in x, the batch's numbers as doubles."""
+    offsets = column.offsets.to_numpy()
+    x = column.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False) & (bad[offsets[1:]] == bad[offsets[:-1]]))
+    return rows, offsets[rows], offsets[rows + 1], x
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (as in tests), one is set first."""
+    """A new folder below spark.checkpoint.dir, or below the checkpoint folder that the context was given.
+
+    Without either it is an error, but in local mode: a folder of each machine's own would lose rows on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "/tmp/checkpoints"
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="cashtide-")
     return f"{base.rstrip('/')}/cashtide-{uuid.uuid4().hex}"
 
 

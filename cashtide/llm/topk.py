@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a leaf; rows of a block of queries and of a block of data; rows of the seed sample.
-LEAF, QUERY_BLOCK, DATA_BLOCK, SEED = 128, 2048, 8192, 2048
+from .common import finite_vectors, saved
+
+#: Points of a leaf; rows that one search takes; rows of a cell's block; cells, tasks and rows of the seed sample at most.
+LEAF, QUERY_BLOCK, CELL, MOST_CELLS, MOST_TASKS, SEED = 128, 2048, 4096, 1024, 4096, 2048
+#: Scores that doubles and packed numbers hold are below LIMIT; a block's rows are below PLACES; no score; the largest long.
+LIMIT, PLACES, NONE, MOST = 1 << 40, 1 << 21, -(1 << 62), (1 << 63) - 1
 
 
 class CoverTree:
@@ -59,20 +64,39 @@ class CoverTree:
         return me
 
 
-def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray):
-    """Per query its k largest (score, smaller id first) among `data`, its own id excluded, scores >= floor only.
+class Kth:
+    """The k best (score, place) of each of n queries so far; a place is the rank of a row's id, so ties fall to
+    smaller ids. Scores and places share one 64-bit number: scores stay below LIMIT, see `small`."""
+
+    def __init__(self, n: int, k: int, floor: np.ndarray):
+        self.best, self.floor, self.worst = np.full((n, k), NONE, np.int64), floor, floor.copy()
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, places: np.ndarray, mine: np.ndarray) -> None:
+        packed = np.where(mine, NONE, scores * PLACES + (PLACES - 1 - places))
+        k = self.best.shape[1]
+        self.best[rows] = np.partition(np.concatenate((self.best[rows], packed), axis=1), -k, axis=1)[:, -k:]
+        self.worst[rows] = np.maximum(self.floor[rows], self.best[rows].min(axis=1) // PLACES)
+
+
+def small(queries: np.ndarray, data: np.ndarray) -> bool:
+    """Whether every product of these rows is below LIMIT, so that doubles hold it exactly."""
+    norm = lambda x: float(np.sqrt((x * x).sum(axis=1)).max(initial=0.0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return norm(queries) * norm(data) < LIMIT
+
+
+def dual_tree(queries: np.ndarray, own: np.ndarray, tree: CoverTree, ids: np.ndarray, k: int, floor: np.ndarray):
+    """(query row, data row, score) of each query's k largest scores among the tree's rows, ties to smaller ids, rows
+    of its own id excluded, and scores below its floor left out. `ids` may repeat.
 
     A pair of nodes can hold a product of at most q.c + |q| rc + |c| rq + rq rc. It is pruned when that is below
     the worst k-th score of the query group. Both sides' children are visited best bound first."""
-    tq, tc = CoverTree(queries), CoverTree(data)
-    n = len(queries)
-    # score and place among the sorted ids in one number, so that ties fall to smaller ids; `ids` may repeat
+    tq, tc, data = CoverTree(queries), tree, tree.x
     sort = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
-    place[sort] = np.arange(len(ids))[::-1]
-    best = np.full((n, k), -(1 << 62), np.int64)
-    worst = floor.copy()
-    group = np.array([worst[tq.order[a:b]].min() for a, b in tq.span])
+    place[sort] = np.arange(len(ids))
+    kth = Kth(len(queries), k, floor)
+    group = np.array([kth.worst[tq.order[a:b]].min() for a, b in tq.span])
     parent = np.full(len(tq.centre), -1)
     for p, cs in enumerate(tq.children):
         parent[cs] = p
@@ -81,21 +105,15 @@ def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.nd
     rq, rc = np.array(tq.radius), np.array(tc.radius)
 
     def bounds(q: list[int], c: list[int]) -> np.ndarray:
-        return qc[q] @ cc[c].T + qn[q][:, None] * rc[c][None, :] + cn[c][None, :] * rq[q][:, None] + rq[q][:, None] * rc[c][None, :] + 1e-6
+        return reach(qc[q], qn[q], rq[q], cc[c], cn[c], rc[c])
 
     def base(q: int, c: int) -> None:
-        a, b = tq.span[q]
-        rows, cols = tq.order[a:b], tc.order[slice(*tc.span[c])]
+        rows, cols = tq.order[slice(*tq.span[q])], tc.order[slice(*tc.span[c])]
         s = np.rint(queries[rows] @ data[cols].T).astype(np.int64)
-        s[own[rows][:, None] == ids[cols][None, :]] = -(1 << 40)
-        some = s.max(axis=1) >= worst[rows]
-        if some.any():
-            rows = rows[some]
-            found = np.concatenate((best[rows], s[some] * (1 << 20) + place[cols]), axis=1)
-            best[rows] = np.partition(found, -k, axis=1)[:, -k:]
-            worst[rows] = np.maximum(floor[rows], best[rows].min(axis=1) >> 20)
-            rows = tq.order[a:b]
-        group[q] = worst[rows].min()
+        some = np.flatnonzero(s.max(axis=1) >= kth.worst[rows])
+        if len(some):
+            kth.add(rows[some], s[some], place[cols], own[rows[some]][:, None] == ids[cols][None, :])
+        group[q] = kth.worst[rows].min()
         up = parent[q]
         while up >= 0:
             low = group[tq.children[up]].min()
@@ -103,7 +121,7 @@ def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.nd
                 break
             group[up], up = low, parent[up]
 
-    todo = [(np.inf, 0, 0)] if n and len(data) else []
+    todo = [(np.inf, 0, 0)] if len(queries) and len(data) else []
     while todo:
         bound, q, c = todo.pop()
         if bound < group[q]:
@@ -116,88 +134,166 @@ def dual_tree(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.nd
         m = bounds(qs, cs)
         x, y = np.nonzero(m >= group[qs][:, None])
         todo += sorted((float(m[i, j]), qs[i], cs[j]) for i, j in zip(x, y, strict=True))
-    best = -np.sort(-best, axis=1)
-    return best >> 20, ids[sort][len(ids) - 1 - (best & ((1 << 20) - 1)).clip(0, len(ids) - 1)] if len(ids) else best
+    q, _ = np.nonzero((kth.best > NONE) & (kth.best // PLACES >= floor[:, None]))
+    found = kth.best[(kth.best > NONE) & (kth.best // PLACES >= floor[:, None])]
+    return q, sort[PLACES - 1 - found % PLACES], found // PLACES
+
+
+def reach(qc, qn, rq, cc, cn, rc) -> np.ndarray:
+    """The largest product that balls around qc and cc may hold, one row per query ball, rounded up."""
+    b = qc @ cc.T + qn[:, None] * rc[None, :] + cn[None, :] * rq[:, None] + rq[:, None] * rc[None, :]
+    return b + 1e-6 + 1e-12 * (qn + rq)[:, None] * (cn + rc)[None, :]
+
+
+def exact(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int):
+    """What dual_tree returns, for components so large that doubles would round: in Python's integers, query by
+    query. A score outside the range of a long becomes the nearest long."""
+    whole = [[int(c) for c in row] for row in data]
+    out = []
+    for i, x in enumerate(queries):
+        q = [int(c) for c in x]
+        some = [(-min(max(sum(a * b for a, b in zip(q, row, strict=True)), -MOST), MOST), int(ids[j]), j) for j, row in enumerate(whole) if ids[j] != own[i]]
+        out += [(i, j, -s) for s, _, j in heapq.nsmallest(k, some)]
+    q, j, s = zip(*out, strict=True) if out else ((), (), ())
+    return np.array(q, np.int64), np.array(j, np.int64), np.array(s, np.int64)
 
 
 def quantised(rows: DataFrame, scale: float) -> DataFrame:
-    """vec_id and v: floor(scale * x) of every component as little-endian doubles; vectors that are null or hold
-    null or non-finite components take no part."""
+    """vec_id, width and v: floor(scale * x) of every component, as little-endian 32-bit integers where all fit, else
+    as doubles; vectors that are null or hold null or non-finite components take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, out = [], []
-            for i, v in enumerate(b.column("embedding").to_pylist()):
-                if v is not None and None not in v:
-                    x = np.array(v, np.float64)
-                    if np.isfinite(x).all():
-                        keep.append(i)
-                        out.append(np.floor(scale * x).tobytes())
-            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id").take(pa.array(keep, pa.int64())), "v": pa.array(out, pa.binary())})
+            keep, start, end, x = finite_vectors(b.column("embedding"))
+            x = np.floor(scale * x)
+            large = np.concatenate(([0], np.cumsum(~(np.abs(x) < 1 << 31))))
+            out, short = [], np.where(np.abs(x) < 1 << 31, x, 0.0).astype("<i4")
+            for i, j in zip(start.tolist(), end.tolist(), strict=True):
+                out.append((x if large[j] > large[i] else short)[i:j].tobytes())
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id").take(pa.array(keep)), "width": pa.array(end - start, pa.int32()), "v": pa.array(out, pa.binary())})
 
-    return rows.where("embedding is not null and vec_id is not null").selectExpr("cast(vec_id as long) as vec_id", "embedding").mapInArrow(run, "vec_id long, v binary")
+    return rows.where("embedding is not null and vec_id is not null").selectExpr("cast(vec_id as long) as vec_id", "embedding").mapInArrow(run, "vec_id long, width int, v binary")
 
 
-def _block(rows: DataFrame, size: int, name: str, total: int) -> DataFrame:
-    """One row per block of about `size` rows, dealt by a hash: ids and vectors as bytes."""
-    n = max(1, -(-total // size))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int"))
+def matrix(vs: list[bytes], width: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<i4" if len(v) == 4 * width else "<f8").astype(np.float64) for v in vs])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        for b in batches:
-            for k, i, v in zip(b.column(name).to_pylist(), b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                held.setdefault((k, len(v)), []).append((i, v))
-        for (k, width), got in held.items():
-            got.sort()
-            yield pa.RecordBatch.from_pydict(
-                {name: pa.array([k], pa.int32()), "width": pa.array([width], pa.int32()), f"{name}_ids": [np.array([g[0] for g in got], "<i8").tobytes()], f"{name}_v": [b"".join(g[1] for g in got)]}
-            )
 
-    return dealt.repartition(n, name).mapInArrow(run, f"{name} int, width int, {name}_ids binary, {name}_v binary")
+def pivots(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n rows of x, each the one furthest from those before: the top level of the cover."""
+    picks, near = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(picks) < n and near.max() > 0:
+        picks.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[picks[-1]]) ** 2).sum(axis=1))
+    return x[picks]
 
 
 def search(rows: DataFrame, is_query, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k best integer inner products of each query with every other row.
 
-    Queries and data are dealt into blocks; each pair of a query block and a data block is one dual-tree search,
-    and the blocks' lists are merged per query. A fixed sample of SEED rows first gives each query a score that
-    its k-th best cannot fall below, so most node pairs are pruned from the start; it changes no result. The
-    query set grows with the data, so blocks move by shuffle and nothing but that sample is broadcast. Ties go to
-    smaller vec_id; queries with fewer than k other rows return those. Rows with a repeated vec_id are each a
-    row of the data, and none is a candidate of its own id; their lists as queries are the same and merge.
+    1. A sample of SEED rows gives the pivots of the top level (one per CELL rows, MOST_CELLS at most) and, for
+       each query, a score that its k-th best cannot fall below. It decides nothing else.
+    2. Every row goes to its nearest pivot's cell. Per cell the driver gets one row: counts, radii, lowest floor.
+       Cell pairs whose radii rule out the floor of the cell's queries are pruned before any vector moves.
+    3. Each cell's rows go, in blocks of about CELL, to one task each; every query goes to the blocks left to it.
+       A task builds its block's cover tree once and searches it with trees over the queries, QUERY_BLOCK at a time.
+    4. The blocks' lists are merged per query.
+
+    Ties go to smaller vec_id; queries with fewer than k other rows return those. Only vectors of equal length are
+    compared. Rows without vec_id take no part. Rows with a repeated vec_id are each a candidate, and none is one of
+    its own id; the list of such an id is the best of all its different vectors. Scores are exact; beyond the range
+    of a long the nearest long. Empty table: empty result. Extra columns are ignored.
     """
     data = quantised(rows, scale)
-    total = data.count()
-    asked = data.where(is_query).dropDuplicates(["vec_id"])
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED).collect() if total > 4 * SEED else []
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for width in {len(r["v"]) for r in sample}:
-        some = [r for r in sample if len(r["v"]) == width]
-        seeds[width] = (np.array([r["vec_id"] for r in some]), np.stack([np.frombuffer(r["v"], "<f8") for r in some]))
-    q = _block(asked, QUERY_BLOCK, "q", -(-total // 20))
-    c = _block(data, DATA_BLOCK, "c", total)
-    pairs = q.join(c, "width")
+    total = rows.where("embedding is not null and vec_id is not null").count()
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SEED).collect()
+    seeds, tops, first = {}, {}, 0
+    for width in sorted({r["width"] for r in sample}):
+        some = [r for r in sample if r["width"] == width]
+        x = matrix([r["v"] for r in some], width)
+        seeds[width] = (np.array([r["vec_id"] for r in some]), x)
+        share = len(some) / len(sample)
+        tops[width] = (first, pivots(x, max(1, min(MOST_CELLS, int(share * total) // CELL))))
+        first += len(tops[width][1])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, widths, vs, asked = (b.column(c).to_pylist() for c in ("vec_id", "width", "v", "asked"))
+            cell, far, floor = [0] * len(ids), [0.0] * len(ids), [None] * len(ids)
+            for width in set(widths):
+                at = [i for i, w in enumerate(widths) if w == width]
+                x = matrix([vs[i] for i in at], width)
+                start, tops_x = tops.get(width, (-1 - width, np.zeros((1, width))))
+                d = (tops_x * tops_x).sum(axis=1)[None, :] - 2.0 * (x @ tops_x.T)
+                near = d.argmin(axis=1)
+                gap = np.sqrt(((x - tops_x[near]) ** 2).sum(axis=1))
+                for i, c, g in zip(at, near.tolist(), gap.tolist(), strict=True):
+                    cell[i], far[i] = start + c, g
+                names, sx = seeds.get(width, (np.zeros(0), np.zeros((0, width))))
+                q = [n for n, i in enumerate(at) if asked[i]]
+                if q and len(sx) > k and small(x[q], sx):
+                    s = np.rint(x[q] @ sx.T)
+                    s[np.array([ids[at[n]] for n in q])[:, None] == names[None, :]] = -np.inf
+                    for n, low in zip(q, np.partition(s, -k, axis=1)[:, -k].tolist(), strict=True):
+                        floor[at[n]] = low if np.isfinite(low) else None
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64()), pa.array(floor, pa.float64())], names=[*b.schema.names, "cell", "far", "floor"])
+
+    flagged = data.withColumn("asked", F.coalesce(is_query, F.lit(False)))
+    placed = saved(flagged.mapInArrow(place, "vec_id long, width int, v binary, asked boolean, cell int, far double, floor double"))
+    low = F.min(F.when(F.col("asked"), F.coalesce("floor", F.lit(float("-inf")))))
+    stats = placed.groupBy("cell", "width").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.max(F.when(F.col("asked"), F.col("far"))).alias("rq"), low.alias("low")).collect()
+    targets = []
+    for width in {s["width"] for s in stats}:
+        start, x = tops.get(width, (-1 - width, np.zeros((1, width))))
+        c = [s for s in stats if s["width"] == width]
+        q = [s for s in c if s["rq"] is not None]
+        if q:
+            norm = np.sqrt((x * x).sum(axis=1))
+            i, j = [s["cell"] - start for s in q], [s["cell"] - start for s in c]
+            m = reach(x[i], norm[i], np.array([s["rq"] for s in q]), x[j], norm[j], np.array([s["r"] for s in c]))
+            for s, bounds in zip(q, m, strict=True):
+                for t, bound in zip(c, bounds.tolist(), strict=True):
+                    if not bound < s["low"]:
+                        targets.append((s["cell"], t["cell"], -(-t["n"] // CELL)))
+    spark = rows.sparkSession
+    pairs = spark.createDataFrame(targets, "own_cell int, cell int, parts int")  # MOST_CELLS^2 rows at most
+    parts = spark.createDataFrame([(s["cell"], -(-s["n"] // CELL)) for s in stats], "cell int, parts int")
+    dealt = placed.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(parts), "cell")
+    blocks = dealt.select("cell", F.pmod(F.xxhash64("_n"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "width", "vec_id", "v", "floor")
+    asked = placed.where("asked").dropDuplicates(["vec_id", "v"]).withColumnRenamed("cell", "own_cell").join(F.broadcast(pairs), "own_cell")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "width", "vec_id", "v", "floor")
+    n = max(1, min(MOST_TASKS, sum(-(-s["n"] // CELL) for s in stats)))
+    tasks = blocks.unionByName(asked).repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple = ()
+        block: list = []
+        asked: list = []
+        tree, ids = None, np.zeros(0, np.int64)
+
+        def found() -> pa.RecordBatch:
+            nonlocal tree, ids
+            width = at[2]
+            if tree is None:
+                ids, tree = np.array([h[0] for h in block]), CoverTree(matrix([h[1] for h in block], width))
+            own, x = np.array([h[0] for h in asked]), matrix([h[1] for h in asked], width)
+            floor = np.array([-LIMIT if h[2] is None else int(h[2]) for h in asked], np.int64)
+            i, j, s = dual_tree(x, own, tree, ids, k, floor) if small(x, tree.x) else exact(x, own, tree.x, ids, k)
+            asked.clear()
+            return pa.RecordBatch.from_pydict({"query_id": pa.array(own[i], pa.int64()), "vec_id": pa.array(ids[j], pa.int64()), "score": pa.array(s, pa.int64())})
+
         for b in batches:
-            for i in range(b.num_rows):
-                row = {n: b.column(n)[i].as_py() for n in b.schema.names}
-                own, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
-                x, y = (np.frombuffer(row[f"{n}_v"], "<f8").reshape(len(m), -1) for n, m in (("q", own), ("c", ids)))
-                floor = np.full(len(own), -(1 << 39), np.int64)
-                if row["width"] in seeds and len(seeds[row["width"]][0]) > k:
-                    names, sx = seeds[row["width"]]
-                    s = np.rint(x @ sx.T)
-                    s[own[:, None] == names[None, :]] = -np.inf
-                    low = np.partition(s, -k, axis=1)[:, -k]
-                    floor = np.where(np.isfinite(low), low, -(1 << 39)).astype(np.int64)
-                best, who = dual_tree(x, own, y, ids, k, floor)
-                real = (best > -(1 << 39)) & (best >= floor[:, None])
-                n = real.sum(axis=1)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(own, n)), "vec_id": pa.array(who[real]), "score": pa.array(best[real])})
-
-    tasks = min(4096, max(1, -(-total // 20 // QUERY_BLOCK)) * max(1, -(-total // DATA_BLOCK)))
-    lists = pairs.repartition(tasks, "q", "c").mapInArrow(run, "query_id long, vec_id long, score long")
+            for cell, part, width, side, *row in zip(*[b.column(c).to_pylist() for c in ("cell", "part", "width", "side", "vec_id", "v", "floor")], strict=True):
+                if (cell, part, width) != at:
+                    if block and asked:
+                        yield found()
+                    at, block, asked, tree = (cell, part, width), [], [], None
+                (asked if side else block).append(row)
+                if block and len(asked) >= QUERY_BLOCK:
+                    yield found()
+        if block and asked:
+            yield found()
+
+    lists = tasks.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
