@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import finite_vectors, saved
 
 #: Points of a leaf; rows that one search takes; rows of a cell's block; cells, tasks and rows of the seed sample at most.
-LEAF, QUERY_BLOCK, CELL, MOST_CELLS, MOST_TASKS, SEED = 128, 2048, 4096, 1024, 4096, 2048
+LEAF, QUERY_BLOCK, CELL, MOST_CELLS, MOST_TASKS, SEED = 512, 2048, 4096, 1024, 4096, 2048
 #: Scores that doubles and packed numbers hold are below LIMIT; a block's rows are below PLACES; no score; the largest long.
 LIMIT, PLACES, NONE, MOST = 1 << 40, 1 << 21, -(1 << 62), (1 << 63) - 1
 
