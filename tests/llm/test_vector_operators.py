@@ -71,3 +71,34 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (100, 100), (None, 3), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("boxes", [2, 256])
+def test_near_duplicates_of_null_and_repeated_ids(spark, monkeypatch, boxes):
+    monkeypatch.setattr(embeddup, "BOXES", boxes)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 5))
+    x = centres[rng.integers(0, 8, 150)] + 0.2 * rng.normal(size=(150, 5))
+    ids = [None if i % 11 == 0 else i % 60 for i in range(150)]
+    rows = [(k, None if i % 17 == 3 else v.tolist(), 1 if i % 4 else 2) for i, (k, v) in enumerate(zip(ids, x, strict=True))]
+    n = np.sqrt((x * x).sum(axis=1))
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T / np.outer(n, n) >= 0.93) & (label[:, None] == label[None, :])
+    lost = [i for i, r in enumerate(rows) if r[1] is None]
+    near[lost], near[:, lost] = False, False
+    np.fill_diagonal(near, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.array([min([comp[i], *comp[near[i]]]) for i in range(len(x))])
+    want = []
+    for i, k in enumerate(ids):
+        low = min((ids[j] for j in range(len(x)) if comp[j] == comp[i] and ids[j] is not None), default=None)
+        want.append((k, int(near[i].sum()), low, k == low))
+    got = embeddup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=8)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_near_duplicates_of_mixed_lengths_and_extreme_sizes(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, 2.0, 3.0], 1), (4, [1.0, 2.0, 3.1], 1), (5, [1.0], 1), (6, [-2.0, 1.0], 1), (7, [], 1)]
+    got = embeddup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
