@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,40 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Size of the set of `likely`: 4 MB.
+BITS = 1 << 25
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without: bool = False) -> DataFrame:
+    """The rows whose `key` may be in `keys`, or (without) those whose key certainly is not: one bit per hashed key in
+    a set of fixed size. Null keys are certainly not in it.
+
+    An exact join of the first part has to follow. What is gathered is bits / 8 bytes, however many keys there are;
+    with very many it rules out less, which costs shuffle but no result."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    parts = (
+        keys.where(F.col(key).isNotNull()).select((place + 1).alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("k"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        .toLocalIterator()
+    )
+    found = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        b = np.frombuffer(bytes(r["bits"]), np.uint8)
+        found[(r["k"] - 1) * 4096 :][: len(b)] = b
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column("_place").fill_null(-1).to_numpy()
+            hit = ((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) & (p >= 0)
+            yield b.select(names).filter(pa.array(hit != without))
+
+    where = F.when(F.col(key).isNotNull(), place).alias("_place")
+    return rows.select(*names, where).mapInArrow(run, rows.schema)
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of a table of links: (node, component), component being the smallest node reachable.
 

@@ -12,10 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, likely, saved
 
-#: Coordinates of a count vector, members of a leaf, and how many sets meet in one task at most.
-GROUPS, LEAF, BLOCK = 64, 16, 256
+#: Coordinates of a count vector, members of a leaf; sets and bytes that meet in one block, about; sets that every
+#: block of a large group has in common.
+GROUPS, LEAF, BLOCK, BLOCK_BYTES, PIVOTS = 64, 16, 256, 1 << 25, 4
+#: Keys that a task holds before it sends them; shards for each shuffle partition.
+FLUSH, SHARDS = 1 << 20, 8
 #: Size bands grow by this factor; of a band's parts, about a quarter are spare and the smallest are left out.
 BAND = 1.5
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -204,65 +207,170 @@ def _stars(nodes: list[int], u: Union) -> Iterator[tuple[int, int]]:
             root[r] = n
 
 
-def _blocked(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """Deals each group to tasks of at most about two blocks: a group of up to `block` rows to one task, a larger
-    one block by block, every pair of its blocks to a task of its own. Adds the column task."""
-    counts = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
-    n = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(17)), F.col("_blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.xxhash64(key, F.least(o, F.col("_mine")), F.greatest(o, F.col("_mine"))))
-    return (
-        rows.join(counts, F.col(key) == F.col("_k"))
-        .withColumn("_blocks", n)
-        .withColumn("_mine", mine)
-        .withColumn("task", F.explode(others))
-        .drop("_k", "_n", "_blocks", "_mine")
+def _connect(members: DataFrame, group: str, payload: str, connect) -> DataFrame:
+    """Links (a, b) that connect, within each group, the nodes that the relation behind `connect` connects.
+
+    1. A group of up to BLOCK members is one task; a larger one is dealt into blocks by hash, and PIVOTS of its members
+       go to every block, so blocks of near copies hang together.
+    2. Members of large groups that step 1 left outside their group's largest part meet all blocks once more.
+    So a group of near copies costs about one look a member, and only what stays apart is compared with all."""
+    n = F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK)), F.ceil(F.col("_bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", payload)).alias(f"p{k}") for k in range(PIVOTS)]
+    sizes = members.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.sum(F.length(payload)).alias("_bytes"))
+    large = saved(sizes.withColumn("blocks", n).where("blocks > 1").select("_g", "blocks"))
+    mine = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
+    dealt = members.join(large, F.col(group) == F.col("_g"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", mine)
+    none = F.lit(None).cast("long").alias("label")
+    first = dealt.select(F.xxhash64(group, "block").alias("task"), "node", payload, none)
+    if large.isEmpty():
+        return saved(connect(first))
+    shared = members.join(large, F.col(group) == F.col("_g")).groupBy("_g", "blocks").agg(*picks)
+    shared = shared.select("_g", "blocks", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
+    shared = shared.select("_g", "p.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    links = saved(connect(first.unionByName(shared.select(F.xxhash64("_g", "block").alias("task"), "node", payload, none))))
+    parts = components(links).withColumnRenamed("node", "_node")
+    placed = saved(
+        dealt.where("blocks > 1").select("_g", "blocks", "block", "node").join(parts, F.col("node") == F.col("_node"), "left")
+        .select("_g", "blocks", "block", "node", F.coalesce("component", "node").alias("label"))
     )
-
-
-def _prepared(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """_row, doc_id, n, node (hash of the set; null when it is empty), vec and keys (null where the task had the set already)."""
+    by_label = placed.groupBy("_g", "label").count()
+    top = by_label.groupBy(F.col("_g").alias("_t")).agg(F.max(F.struct("count", "label"))["label"].alias("top"))
+    rest = saved(placed.join(top, F.col("_g") == F.col("_t")).where("label <> top").select("_g", "blocks", "node", "label"))
+    if rest.isEmpty():
+        return links
+    rests = rest.groupBy(F.col("_g").alias("_r")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("others"))
+    text = members.select(F.col(group).alias("_g"), "node", payload)
+    late = rest.join(rests, F.col("_g") == F.col("_r")).withColumn("other", F.pmod(F.xxhash64("node", F.lit(23)), F.col("others")).cast("int"))
+    late = late.join(text, ["_g", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = placed.join(rests, F.col("_g") == F.col("_r")).join(text, ["_g", "node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    task = F.xxhash64("_g", "block", "other").alias("task")
+    return links.unionByName(saved(connect(late.select(task, "node", payload, "label").unionByName(every.select(task, "node", payload, "label"))))).distinct()
+
+
+def _prepared(docs: DataFrame, width: int) -> DataFrame:
+    """_row, doc_id, n, node (hash of the set; null when it is empty) and vec (null where the task had the set already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            ns, nodes, vecs, keys = [], [], [], []
+            ns, nodes, vecs = [], [], []
             for text in b.column("text"):
                 u = shingles(text.as_py(), width)
-                node = xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) if len(u) else None
+                node = node_of(u)
                 fresh = node is not None and node not in seen
                 if fresh:
                     seen.add(node)
                 ns.append(len(u))
                 nodes.append(node)
                 vecs.append(count_vector(u).tobytes() if fresh else None)
-                keys.append(part_keys(u, t) if fresh else None)
             yield pa.RecordBatch.from_pydict(
-                {"_row": b.column("_row"), "doc_id": b.column("doc_id"), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64()), "vec": pa.array(vecs, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                {"_row": b.column("_row"), "doc_id": b.column("doc_id"), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64()), "vec": pa.array(vecs, pa.binary())}
             )
 
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, n long, node long, vec binary, keys array<long>")
+    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, n long, node long, vec binary")
+
+
+def node_of(u: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) if len(u) else None
 
 
-def _near_by_counts(tasks: DataFrame, t: float) -> DataFrame:
-    """Links (a, b) that connect, within each task, the sets whose count vectors allow Jaccard >= t."""
+def _met(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(bucket, node): the different sets that share a key, each group of sets once however many keys it shares.
+
+    A task sends its keys by shard, packed: five bytes a key (the shard holds its other bits) and eight a node. A
+    shard's task sorts them and passes on only keys with two nodes or more. What is lost of a key's bits can make
+    two keys one, which adds candidates and loses none."""
+    shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = np.uint64((1 << 40) - 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys: list[np.ndarray] = []
+        nodes: list[int] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            k, n = np.concatenate(keys).view(np.uint64), np.repeat(np.array(nodes, np.int64), [len(x) for x in keys])
+            shard = ((k >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+            five, n = np.ascontiguousarray(k[order]).view(np.uint8).reshape(-1, 8)[:, :5], n[order].astype("<i8")
+            some = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_pydict(
+                {"shard": pa.array(some, pa.int64()), "keys": [five[cut[i] : cut[i + 1]].tobytes() for i in some], "nodes": [n[cut[i] : cut[i + 1]].tobytes() for i in some]}
+            )
+
+        for b in batches:
+            for text in b.column("text"):
+                u = shingles(text.as_py(), width)
+                node = node_of(u)
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                found = part_keys(u, t)
+                if len(found):
+                    keys.append(found)
+                    nodes.append(node)
+                    held += len(found)
+                if held >= FLUSH:
+                    yield flush()
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "shard", ("keys", "nodes")):
+            five = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 5)
+            k = np.zeros((len(five), 8), np.uint8)
+            k[:, :5] = five
+            k, n = k.view("<u8").ravel() & low, np.frombuffer(b"".join(r[1] for r in rows), "<i8")
+            order = np.lexsort((n, k))
+            k, n = k[order], n[order]
+            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+            k, n = k[fresh], n[fresh]
+            start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            many = np.diff(np.concatenate((start, [len(k)])))
+            with np.errstate(over="ignore"):
+                name = _mixed(np.add.reduceat(_mixed(n.view(np.uint64)), start) + many.astype(np.uint64))
+            _, once = np.unique(name, return_index=True)  # keys with the same sets make one bucket
+            chosen = np.zeros(len(start), bool)
+            chosen[once] = True
+            keep = np.repeat(chosen & (many > 1), many)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.repeat(name, many)[keep].view(np.int64)), "node": pa.array(n[keep])})
+
+    sent = docs.select("text").mapInArrow(send, "shard long, keys binary, nodes binary")
+    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "bucket long, node long").distinct()
+
+
+def _near_by_counts(t: float):
+    """For _connect: links of the sets whose count vectors allow Jaccard >= t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
-        for rows in _runs(batches, "task", ("node", "vec")):
-            members = sorted({n: v for n, v in rows}.items())
-            if len(members) > 1:
-                u = Union(len(members))
-                for i, j in CountTree(np.stack([np.frombuffer(v, np.int32) for _, v in members])).pairs(t):
+        for rows in _runs(batches, "task", ("node", "vec", "label")):
+            nodes, vecs, u = _members(rows)
+            if len(nodes) > 1:
+                for i, j in CountTree(np.stack([np.frombuffer(v, np.int32) for v in vecs])).pairs(t):
                     for p, q in zip(i.tolist(), j.tolist(), strict=True):
                         u.join(p, q)
-                out.update(_stars([n for n, _ in members], u))
+                out.update(_stars(nodes, u))
             if len(out) > 50_000:
                 yield _links(out)
                 out.clear()
         yield _links(out)
 
-    return tasks.select("task", "node", "vec").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    return lambda tasks: tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+
+
+def _members(rows: list[tuple]) -> tuple[list[int], list, Union]:
+    """A task's different nodes, their payloads, and a union in which nodes of one label are already joined."""
+    got = {n: (x, label) for n, x, label in rows}
+    nodes = sorted(got)
+    u, seen = Union(len(nodes)), {}
+    for i, n in enumerate(nodes):
+        if got[n][1] is not None:
+            u.join(i, seen.setdefault(got[n][1], i))
+    return nodes, [got[n][0] for n in nodes], u
 
 
 def _links(pairs) -> pa.RecordBatch:
@@ -270,34 +378,32 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _verified(tasks: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Links (a, b) that connect, within each task, the sets that exact Jaccard >= t connects.
+def _verified(width: int, t: Fraction):
+    """For _connect: links of the sets that exact Jaccard >= t connects.
 
     Pairs come by falling bound; a pair already connected needs no test. So groups of copies cost about one
     test a member, while any pair that could join two parts is tested."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
-        for rows in _runs(batches, "task", ("node", "text")):
-            sets = {n: shingles(x, width) for n, x in dict(rows).items()}
-            nodes = sorted(sets)
+        for rows in _runs(batches, "task", ("node", "text", "label")):
+            nodes, texts, u = _members(rows)
             if len(nodes) < 2:
                 continue
-            vectors = np.stack([count_vector(sets[n]) for n in nodes])
+            sets = [shingles(x, width) for x in texts]
+            vectors = np.stack([count_vector(x) for x in sets])
             found = list(CountTree(vectors).pairs(float(t)))
             if found:
                 i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 size = vectors.sum(axis=1)
                 bound = np.concatenate([np.minimum(vectors[i[k : k + 4096]], vectors[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
-                u = Union(len(nodes))
                 for k in np.argsort(-bound / (size[i] + size[j]), kind="stable").tolist():
                     p, q = int(i[k]), int(j[k])
                     if u.find(p) != u.find(q):
-                        a, b = sets[nodes[p]], sets[nodes[q]]
-                        both = np.concatenate((a, b))
+                        both = np.concatenate((sets[p], sets[q]))
                         both.sort(kind="stable")
                         common = int((both[1:] == both[:-1]).sum())
-                        if common * t.denominator >= t.numerator * (len(a) + len(b) - common):
+                        if common * t.denominator >= t.numerator * (len(both) - common):
                             u.join(p, q)
                 out.update(_stars(nodes, u))
             if len(out) > 50_000:
@@ -305,7 +411,7 @@ def _verified(tasks: DataFrame, width: int, t: Fraction) -> DataFrame:
                 out.clear()
         yield _links(out)
 
-    return tasks.select("task", "node", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    return lambda tasks: tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -317,31 +423,23 @@ def linked(rows: DataFrame, threshold: Fraction, width: int) -> tuple[DataFrame,
     """For rows of numbered(): (_row, doc_id, n, node) of each, node being null without words; and (node, component)
     of every node, a component being the nodes that similarity of `threshold` or more connects.
 
-    1. One pass makes each text's set of shingle hashes, its count vector and its part keys (see part_keys);
-       equal sets become one node, named by a 64-bit hash of the set.
+    1. One pass makes each text's set of shingle hashes and its count vector; equal sets become one node, named by a
+       64-bit hash of the set. A second one sends the part keys of the sets (see part_keys) to shards.
     2. Nodes that share a key meet in buckets; each bucket's tree of count vectors bounds overlaps and leaves the
-       connected candidates. Buckets with the same members are treated once; large ones are dealt by blocks.
-    3. Candidates' texts, one row's for each node, are read again and verified exactly within their groups, again
-       dealt by blocks.
+       connected candidates. Buckets with the same members are treated once.
+    3. Candidates' texts, one row's for each node, are read again and verified exactly within their groups.
     Every pair with the similarity meets in step 2 and its bound holds, so no link between different texts is
-    lost; a group of n copies yields n - 1 links, never its pairs.
+    lost; a group of n copies yields n - 1 links, never its pairs. Large buckets and groups: see _connect.
     """
     t = Fraction(threshold)
-    ready = saved(_prepared(rows, width, t))
-    by_key = Window.partitionBy("key")
-    met = (
-        ready.where("keys is not null")
-        .select(F.explode("keys").alias("key"), "node")
-        .withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key), "bucket": F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(by_key), "many": F.count("*").over(by_key)})
-        .where("low <> high")
-    )
-    met = saved(met.select(F.xxhash64("bucket", "low", "high", "many").alias("bucket"), "node").distinct())
+    ready = saved(_prepared(rows, width))
+    met = saved(_met(rows, width, t))
     vecs = ready.where("vec is not null").groupBy("node").agg(F.first("vec").alias("vec"))
-    near = _near_by_counts(_blocked(met, "bucket").select("task", "node").distinct().join(vecs, "node"), float(t))
-    groups = components(near)
+    groups = components(_connect(saved(met.join(vecs, "node")), "bucket", "vec", _near_by_counts(float(t))))
     owners = ready.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
-    texts = groups.join(owners, "node").join(rows.select("_row", "text"), "_row")
-    exact = components(_verified(_blocked(texts, "component"), width, t))
+    wanted = saved(groups.join(owners, "node"))
+    texts = saved(likely(rows.select("_row", "text"), "_row", wanted).join(wanted, "_row"))
+    exact = components(_connect(texts, "component", "text", _verified(width, t)))
     named = owners.join(exact, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return ready.select("_row", "doc_id", "n", "node"), named
 
@@ -370,5 +468,8 @@ def one_of_each(docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
     ready, named = linked(rows, threshold, width)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     per_node = ready.where("node is not null").groupBy("node").agg(first).join(named, "node")
-    kept = per_node.groupBy("component").agg(F.min("first").alias("first")).select("first._row")
-    return rows.join(kept.unionAll(ready.where("node is null").select("_row")), "_row", "left_semi").select(*docs.columns)
+    best = per_node.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first._row").alias("_best"))
+    of_node = per_node.join(best, "component").select("node", "_best")
+    dropped = saved(ready.join(of_node, "node").where("_row <> _best").select("_row"))
+    maybe = likely(rows, "_row", dropped).join(dropped, "_row", "left_anti")
+    return maybe.unionByName(likely(rows, "_row", dropped, without=True)).select(*docs.columns)

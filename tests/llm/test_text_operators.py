@@ -265,7 +265,8 @@ def test_jaccard_equals_brute_force(spark):
 
 
 def test_jaccard_blocks_and_edges(spark, edge, empty, monkeypatch):
-    monkeypatch.setattr(jaccard._blocked, "__defaults__", (4,))
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "FLUSH", 50)
     base = [f"w{i}" for i in range(80)]
     rows = [(k, " ".join(w if i != k else "x" for i, w in enumerate(base))) for k in range(30)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -275,6 +276,27 @@ def test_jaccard_blocks_and_edges(spark, edge, empty, monkeypatch):
     assert jaccard.join(edge).count() == len(EDGE) and jaccard.join(empty).count() == 0
 
 
+def test_jaccard_large_groups_that_fall_apart(spark, monkeypatch):
+    """One bucket of many near copies, some of them linked with a few others alone, and a chain across its blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 4)) if k % 3 else int(rng.integers(3, 9)), replace=False):
+            w[at] = f"x{rng.integers(0, 30)}"
+        rows.append((k, " ".join(w)))
+    chain = list(base)
+    for k in range(90, 120):
+        chain[(7 * k) % 120] = f"y{k}"
+        rows.append((k, " ".join(chain)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _components(rows)
+    assert 1 < len({c for _, c in want.values()}) < 110
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(d).collect()} == want
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     words = [f"w{k}" for k in range(60)]
     one, two, three = (" ".join([*words, *[f"x{k}" for k in range(n)]]) for n in (0, 5, 10))
