@@ -75,15 +75,10 @@ def saved(df: DataFrame) -> DataFrame:
 BITS = 1 << 25
 
 
-def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without: bool = False) -> DataFrame:
-    """The rows whose `key` may be in `keys`, or (without) those whose key certainly is not: one bit per hashed key in
-    a set of fixed size. Null keys are certainly not in it.
-
-    An exact join of the first part has to follow. What is gathered is bits / 8 bytes, however many keys there are;
-    with very many it rules out less, which costs shuffle but no result."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
+def bit_set(keys: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """The bits at `place` (from 0, below `bits`) of all rows, set on the executors: bits / 8 bytes, however many rows."""
     parts = (
-        keys.where(F.col(key).isNotNull()).select((place + 1).alias("p"))
+        keys.select((place + 1).alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("k"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
         .toLocalIterator()
@@ -92,7 +87,17 @@ def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without
     for r in parts:
         b = np.frombuffer(bytes(r["bits"]), np.uint8)
         found[(r["k"] - 1) * 4096 :][: len(b)] = b
-    shared = rows.sparkSession.sparkContext.broadcast(found)
+    return found
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without: bool = False) -> DataFrame:
+    """The rows whose `key` may be in `keys`, or (without) those whose key certainly is not, by a bit set of fixed
+    size. Null keys are certainly not in it.
+
+    An exact join of the first part has to follow; with very many keys the set rules out less, which costs shuffle
+    but no result."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    shared = rows.sparkSession.sparkContext.broadcast(bit_set(keys.where(F.col(key).isNotNull()), place, bits))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +106,7 @@ def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without
             hit = ((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) & (p >= 0)
             yield b.select(names).filter(pa.array(hit != without))
 
-    where = F.when(F.col(key).isNotNull(), place).alias("_place")
-    return rows.select(*names, where).mapInArrow(run, rows.schema)
+    return rows.select(*names, F.when(F.col(key).isNotNull(), place).alias("_place")).mapInArrow(run, rows.schema)
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

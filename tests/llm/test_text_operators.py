@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -307,13 +308,58 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     assert got == sorted([(58, 5, 3), (63, 0, 3), (68, 3, 3), (58, 8, 1), (59, 8, 3), (59, 1, 1), (1, 0, 0), (1, 0, 0)])
 
 
+def kneser_ney(texts, order):
+    """ln p of a character after a context, by plain recursion over the definition."""
+    marked = lambda t: "\x02" * (order - 1) + t + "\x03"
+    level = {order: Counter(t[i - order + 1 : i + 1] for t in map(marked, texts) for i in range(order - 1, len(t)))}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    off, total, mass = {}, {}, {}
+    for k, grams in level.items():
+        c = Counter(grams.values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
+        d = [1 - 2 * y * c[2] / c[1] if c[1] else 0.5, 2 - 3 * y * c[3] / c[2] if c[2] else 1.0, 3 - 4 * y * c[4] / c[3] if c[3] else 1.5]
+        off[k] = [min(max(x, 0.1), i + 0.9) for i, x in enumerate(d)]
+        for g, n in grams.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + n
+            mass[g[:-1]] = mass.get(g[:-1], 0) + off[k][min(n, 3) - 1]
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(level[1]) + 1)
+        if g[:-1] not in total:
+            return lower
+        n = level[len(g)].get(g, 0)
+        return (n - off[len(g)][min(n, 3) - 1] if n else 0.0) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * lower
+
+    return lambda t: sum(np.log(p(m[i - order + 1 : i + 1])) for m in [marked(t)] for i in range(order - 1, len(m)))
+
+
+@pytest.mark.parametrize(("hot", "chunk"), [(1 << 18, 1 << 18), (3, 40), (0, 7)])
+def test_quality_equals_plain_kneser_ney(spark, monkeypatch, hot, chunk):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    monkeypatch.setattr(quality, "RARE", 50)
+    monkeypatch.setattr(quality, "DOCS", 4)
+    rng = np.random.default_rng(4)
+    words = ["the", "then", "hen", "éclair", "über", "名前", "a\tb", "x\ny", "😀s", "ship"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(40)]
+    plain = kneser_ney([t.replace("\t", " ") for t in texts[:25]], quality.ORDER)
+    docs = spark.createDataFrame([(i if i % 7 else None, t, "en") for i, t in enumerate([*texts, "ZZ qq", "", None])], "doc_id long, text string, lang string").repartition(3)
+    model, base = quality.values(spark.createDataFrame([(t,) for t in texts[:25]], "text string"))
+    got = sorted((r.doc_id or 0, r.n_scored, round(r.nll, 3)) for r in quality.scored(docs, model, base, hot).collect())
+    want = sorted(((i if i % 7 else 0), len(t) + 1 if t else 0, round(-plain(t.replace("\t", " ")), 3) if t else 0.0) for i, t in enumerate([*texts, "ZZ qq", "", None]))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=0.02)
+
+
 def test_quality(spark, edge, empty):
     rng = np.random.default_rng(6)
     good = [(i, " ".join(rng.choice("the cat sat on a mat and ran off".split(), 40)), "en", None, 0) for i in range(80)]
     junk = [(100 + i, "".join(rng.choice(list("#%&XQZ$9"), 150)), "en", None, 0) for i in range(10)]
-    docs = spark.createDataFrame(good + junk, DOCS)
+    void = [(200, None, "xx", None, 0), (201, "", "xx", None, 0)]
+    docs = spark.createDataFrame(good + junk + void, DOCS)
     got = {r.doc_id: r.keep for r in quality.classify(docs, spark.range(60).withColumnRenamed("id", "doc_id")).collect()}
     assert not any(got[r[0]] for r in junk) and np.mean([got[r[0]] for r in good]) > 0.9
-    p = np.exp(quality.model(docs.select("text"))).reshape(-1, quality.A)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+    assert not got[200] and not got[201]
     assert quality.classify(edge, docs.select("doc_id")).count() == len(EDGE) and quality.classify(empty, docs.select("doc_id")).count() == 0
+
