@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +35,9 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def fingerprint(df: DataFrame, fields: list[str]) -> str:
-    """SHA-256 of the sorted nested paths of those top-level fields, computed by Spark."""
-    schema = T.StructType([f for f in df.schema.fields if f.name in fields])
-    paths = "\n".join(sorted(field_paths(schema)))
-    return df.sparkSession.range(1).select(F.sha2(F.lit(paths), 256).alias("h")).head()["h"]
+def fingerprint(paths: Iterable[str]) -> str:
+    """SHA-256 of the sorted nested paths, the key of a layout."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -67,22 +67,21 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, turn, role, text) of a table in any known layout, chosen by the fingerprint of its field paths.
 
-    Extra columns are ignored: the layout with the most fields whose fingerprint equals that of the table cut
-    to the layout's top-level fields wins. An unknown layout raises ValueError. Null texts become empty; null
-    roles become empty strings; rows without conv_id form one conversation of their own.
+    Extra fields, at the top or nested, are ignored: of the layouts whose fingerprint equals that of the table's paths
+    cut to the layout's own, the one with most fields wins. An unknown layout raises ValueError. Null texts become
+    empty; null roles become empty strings; rows without conv_id form one conversation of their own. A null or empty
+    array of turns is a conversation with one empty turn of no role, so no conversation vanishes.
     """
-    prints = {}
-    for lay in layouts:
-        prints[lay.name] = df.sparkSession.range(1).select(F.sha2(F.lit("\n".join(sorted(lay.paths))), 256).alias("h")).head()["h"]
+    known = {fingerprint(lay.paths): lay for lay in sorted(layouts, key=lambda x: len(x.paths))}
+    have = set(field_paths(df.schema))
     for lay in sorted(layouts, key=lambda x: -len(x.paths)):
-        top = sorted({p.split(".")[0].removesuffix("[]") for p in lay.paths})
-        if not set(top) <= set(df.columns) or fingerprint(df, top) != prints[lay.name]:
+        if known.get(fingerprint(have & set(lay.paths))) is not lay:
             continue
         if lay.row:
             out = df.select("conv_id", *[F.col(v).alias(k) for k, v in lay.row.items()])
         elif lay.array:
             name, role, text = lay.array
-            out = df.select("conv_id", F.posexplode(name).alias("turn", "_m")).select(
+            out = df.select("conv_id", F.posexplode_outer(name).alias("turn", "_m")).select(
                 "conv_id", "turn", F.col(f"_m.{role}").alias("role"), F.col(f"_m.{text}").alias("text")
             )
         else:
@@ -93,7 +92,7 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
             names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
             out = out.withColumn("role", F.coalesce(F.element_at(names, F.col("role")), F.col("role")))
         return out.select(
-            "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+            "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
         )
     raise ValueError(f"no layout has the fingerprint of {field_paths(df.schema)}")
 

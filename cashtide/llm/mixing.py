@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import word_count
 
+#: Leading hex digits of a document's hash that make its bucket: 4096 buckets a source, so that a source with a third of
+#: 10^10 documents has windows of under a million rows.
+BUCKET_DIGITS = 3
 #: The weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -49,8 +52,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights=WE
     taken = whole repetitions of the document plus a seeded fractional one. Each source needs
     target / source_size repetitions: its whole part goes to every document, and the rest is a budget of
     words handed out in the order of a seeded hash, so only one document of a source is cut. The running
-    sum is two-level (by the hash's first two hex digits, then within those), so a source holding a third of
-    the rows is spread over 256 window groups. Counts cover all rows; nothing is dropped.
+    sum is two-level (by the hash's first hex digits, then within those), so a source holding a third of the rows
+    is spread over 4096 window groups. Counts cover all rows; nothing is dropped.
 
     Null text: size 0, taken 0. Null source: a source of its own, ordered last. Repeated rows count as rows
     of their own. Empty table: empty result. Columns of `docs` with the names added here are replaced.
@@ -63,7 +66,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights=WE
             "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
         }
     )
-    d = d.withColumn("_b", F.substring("_h", 1, 2))
+    d = d.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
     buckets = d.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     targets = source_targets(
         buckets.groupBy("source").agg(F.sum("_n").alias("source_size")), share, max_epochs, weights

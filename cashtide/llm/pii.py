@@ -372,7 +372,11 @@ def redacted_text(text: str | None, field: Field) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with personal data in `text` masked and, where there is one, n_chars made to fit."""
+    """The rows of `docs` with personal data in `text` masked and, where there is one, n_chars made to fit.
+
+    Null and empty texts stay as they are; very long texts are treated whole. Repeated rows, null ids and extra
+    columns pass through; no row goes or comes. Empty table: empty result.
+    """
     field = trained()
     names = docs.columns
 
