@@ -12,7 +12,8 @@ from cashtide.llm.common import saved
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined and sets `lang` to the predicted one."""
+    """Drops documents whose language is undetermined (null text, or no letter in it) and sets `lang` to the predicted
+    one. Ids are not looked at: null and repeated ones stay as they are. An empty table stays empty."""
     model = langid.learned(docs)
     names = docs.columns
     return langid.labelled(docs, model).where(F.col("_pred") != langid.UNDETERMINED).withColumn("lang", F.col("_pred")).select(*names)
@@ -24,14 +25,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in every text, in place; no row goes. See pii.redact for null, empty and very long texts."""
     return pii.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out whole documents so that sources come near their targets. Documents without words go; null
+    sources are a source of their own; rows with null or repeated ids count as rows of their own."""
     return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 tokens; a null or empty text is its end mark alone. See packing.pack."""
     return packing.pack(docs)
 
 
