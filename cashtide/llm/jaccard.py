@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import components, likely, saved
 
-#: Coordinates of a count vector, members of a leaf; sets and bytes that meet in one block, about; sets that every
+#: Coordinates of a count vector at least, members of a leaf; sets and bytes that meet in one block, about; sets that every
 #: block of a large group has in common.
-GROUPS, LEAF, BLOCK, BLOCK_BYTES, PIVOTS = 64, 16, 256, 1 << 25, 4
+GROUPS, LEAF, BLOCK, BLOCK_BYTES, PIVOTS = 64, 16, 512, 1 << 25, 4
 #: Keys that a task holds before it sends them; shards for each shuffle partition.
 FLUSH, SHARDS = 1 << 20, 8
 #: Size bands grow by this factor; of a band's parts, about a quarter are spare and the smallest are left out.
@@ -126,7 +126,22 @@ def part_keys(u: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def count_vector(u: np.ndarray) -> np.ndarray:
-    return np.bincount((u >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """How many members fall into each group, groups being equal parts of the hash space. Large sets have more groups,
+    about four members each, or the bound of two unrelated ones would come near their sizes."""
+    bits = max(GROUPS.bit_length() - 1, min(20, len(u).bit_length() - 3))
+    return np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """A count vector as bytes: one, two or four a count, told by the first byte."""
+    width = 1 if vector.max(initial=0) < 1 << 8 else 2 if vector.max() < 1 << 16 else 4
+    return bytes([width]) + vector.astype(f"<u{width}").tobytes()
+
+
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """Vectors as rows of one matrix: finer ones add neighbouring groups up until all have as many as the coarsest."""
+    n = min(map(len, vectors))
+    return np.stack([v if len(v) == n else v.reshape(n, -1).sum(axis=1) for v in vectors])
 
 
 class CountTree:
@@ -262,7 +277,7 @@ def _prepared(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(node)
                 ns.append(len(u))
                 nodes.append(node)
-                vecs.append(count_vector(u).tobytes() if fresh else None)
+                vecs.append(packed(count_vector(u)) if fresh else None)
             yield pa.RecordBatch.from_pydict(
                 {"_row": b.column("_row"), "doc_id": b.column("doc_id"), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64()), "vec": pa.array(vecs, pa.binary())}
             )
@@ -350,9 +365,9 @@ def _near_by_counts(t: float):
         for rows in _runs(batches, "task", ("node", "vec", "label")):
             nodes, vecs, u = _members(rows)
             if len(nodes) > 1:
-                for i, j in CountTree(np.stack([np.frombuffer(v, np.int32) for v in vecs])).pairs(t):
-                    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                        u.join(p, q)
+                tree = CountTree(folded([np.frombuffer(v, f"<u{v[0]}", offset=1).astype(np.int32) for v in vecs]))
+                for i, j in tree.pairs(t):
+                    _join_all(u, i, j)
                 out.update(_stars(nodes, u))
             if len(out) > 50_000:
                 yield _links(out)
@@ -362,6 +377,15 @@ def _near_by_counts(t: float):
     return lambda tasks: tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
+def _join_all(u: Union, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins i[k] and j[k] for all k; most pairs of a group of copies are joined already and fall out at once."""
+    for at in range(0, len(i), 4096):
+        roots = np.array([u.find(x) for x in range(len(u.up))])
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        for p, q in set(zip(roots[a].tolist(), roots[b].tolist(), strict=True)):
+            u.join(p, q)
+
+
 def _members(rows: list[tuple]) -> tuple[list[int], list, Union]:
     """A task's different nodes, their payloads, and a union in which nodes of one label are already joined."""
     got = {n: (x, label) for n, x, label in rows}
@@ -391,20 +415,24 @@ def _verified(width: int, t: Fraction):
             if len(nodes) < 2:
                 continue
             sets = [shingles(x, width) for x in texts]
-            vectors = np.stack([count_vector(x) for x in sets])
+            vectors = folded([count_vector(x) for x in sets])
             found = list(CountTree(vectors).pairs(float(t)))
             if found:
                 i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 size = vectors.sum(axis=1)
                 bound = np.concatenate([np.minimum(vectors[i[k : k + 4096]], vectors[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
-                for k in np.argsort(-bound / (size[i] + size[j]), kind="stable").tolist():
-                    p, q = int(i[k]), int(j[k])
-                    if u.find(p) != u.find(q):
-                        both = np.concatenate((sets[p], sets[q]))
-                        both.sort(kind="stable")
-                        common = int((both[1:] == both[:-1]).sum())
-                        if common * t.denominator >= t.numerator * (len(both) - common):
-                            u.join(p, q)
+                order = np.argsort(-bound / (size[i] + size[j]), kind="stable")
+                for at in range(0, len(order), 4096):
+                    roots = np.array([u.find(x) for x in range(len(nodes))])
+                    some = order[at : at + 4096]
+                    for k in some[roots[i[some]] != roots[j[some]]].tolist():
+                        p, q = int(i[k]), int(j[k])
+                        if u.find(p) != u.find(q):
+                            both = np.concatenate((sets[p], sets[q]))
+                            both.sort(kind="stable")
+                            common = int((both[1:] == both[:-1]).sum())
+                            if common * t.denominator >= t.numerator * (len(both) - common):
+                                u.join(p, q)
                 out.update(_stars(nodes, u))
             if len(out) > 50_000:
                 yield _links(out)
