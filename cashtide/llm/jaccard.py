@@ -18,7 +18,7 @@ from .common import components, likely, saved
 #: block of a large group has in common.
 GROUPS, LEAF, BLOCK, BLOCK_BYTES, PIVOTS = 64, 16, 512, 1 << 25, 4
 #: Keys that a task holds before it sends them; shards for each shuffle partition.
-FLUSH, SHARDS = 1 << 20, 8
+FLUSH, SHARDS = 1 << 18, 8
 #: Size bands grow by this factor; of a band's parts, about a quarter are spare and the smallest are left out.
 BAND = 1.5
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -201,12 +201,13 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...])
     held: list[tuple] = []
     at = None
     for b in batches:
-        for k, *row in zip(b.column(key).to_pylist(), *[b.column(c).to_pylist() for c in columns], strict=True):
+        cells = [b.column(c) for c in columns]
+        for i, k in enumerate(b.column(key).to_pylist()):
             if held and k != at:
                 yield held
                 held = []
             at = k
-            held.append(tuple(row))
+            held.append(tuple(c[i].as_py() for c in cells))  # not the batch at once: texts would be held twice
     if held:
         yield held
 
@@ -420,7 +421,8 @@ def _verified(width: int, t: Fraction):
             if found:
                 i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 size = vectors.sum(axis=1)
-                bound = np.concatenate([np.minimum(vectors[i[k : k + 4096]], vectors[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
+                step = max(1, (1 << 20) // vectors.shape[1])
+                bound = np.concatenate([np.minimum(vectors[i[k : k + step]], vectors[j[k : k + step]]).sum(axis=1) for k in range(0, len(i), step)])
                 order = np.argsort(-bound / (size[i] + size[j]), kind="stable")
                 for at in range(0, len(order), 4096):
                     roots = np.array([u.find(x) for x in range(len(nodes))])
