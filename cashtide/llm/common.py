@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +74,19 @@ def saved(df: DataFrame) -> DataFrame:
 BITS = 1 << 25
 
 
-def bit_set(keys: DataFrame, place: Column, bits: int) -> np.ndarray:
-    """The bits at `place` (from 0, below `bits`) of all rows, set on the executors: bits / 8 bytes, however many rows."""
-    parts = (
+def bit_rows(keys: DataFrame, place: Column) -> DataFrame:
+    """(k, bits): the bits at `place` (from 0) of all rows, in rows of 32768 bits, set on the executors."""
+    return (
         keys.select((place + 1).alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("k"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-        .toLocalIterator()
     )
+
+
+def bit_set(keys: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """The rows of bit_rows as one array of bits / 8 bytes, however many keys there are."""
     found = np.zeros(bits // 8, np.uint8)
-    for r in parts:
+    for r in bit_rows(keys, place).toLocalIterator():
         b = np.frombuffer(bytes(r["bits"]), np.uint8)
         found[(r["k"] - 1) * 4096 :][: len(b)] = b
     return found
@@ -92,21 +94,17 @@ def bit_set(keys: DataFrame, place: Column, bits: int) -> np.ndarray:
 
 def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without: bool = False) -> DataFrame:
     """The rows whose `key` may be in `keys`, or (without) those whose key certainly is not, by a bit set of fixed
-    size. Null keys are certainly not in it.
+    size: bits / 8 bytes are broadcast, however many keys there are. Null keys are certainly not in it.
 
     An exact join of the first part has to follow; with very many keys the set rules out less, which costs shuffle
     but no result."""
     place = F.pmod(F.xxhash64(key), F.lit(bits))
-    shared = rows.sparkSession.sparkContext.broadcast(bit_set(keys.where(F.col(key).isNotNull()), place, bits))
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column("_place").fill_null(-1).to_numpy()
-            hit = ((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) & (p >= 0)
-            yield b.select(names).filter(pa.array(hit != without))
-
-    return rows.select(*names, F.when(F.col(key).isNotNull(), place).alias("_place")).mapInArrow(run, rows.schema)
+    held = saved(bit_rows(keys.where(F.col(key).isNotNull()), place).select(F.col("k").alias("_k"), F.col("bits").alias("_bits")))
+    at = F.bitmap_bit_position(place + 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+    met = rows.join(F.broadcast(held), F.col(key).isNotNull() & (F.bitmap_bucket_number(place + 1) == F.col("_k")), "left")
+    return met.where(~hit if without else hit).select(*rows.columns)
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
