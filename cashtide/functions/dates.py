@@ -71,7 +71,8 @@ def due_dates(cadence: Column, anchor: Column, through: Column, gap: Column) ->
 
 def semi_monthly(spark: SparkSession, days: tuple[int, ...], start: str, through: str) -> DataFrame:
     """(pay_date): those days of each month, clamped to its end and moved back to a business day, in the range."""
-    cal = calendar(spark, start, through).select("day", "previous_business")
+    cal = spark.sql("select cast(last_day(date(:b)) as string) as d", {"b": through}).head()["d"]
+    cal = calendar(spark, start, cal).select("day", "previous_business")  # to the month's end: a later day may move back into the range
     months = spark.sql("select explode(sequence(trunc(date(:a), 'MM'), date(:b), interval 1 month)) as m", {"a": start, "b": through})
     return (
         months.select(F.explode(F.array(*[clamped(F.col("m"), F.lit(d)) for d in days])).alias("day"))
@@ -83,8 +84,9 @@ def semi_monthly(spark: SparkSession, days: tuple[int, ...], start: str, through
 
 
 def every_two_weeks(spark: SparkSession, anchor: str, start: str, through: str) -> DataFrame:
-    """(pay_date): every 14th day from `anchor` on, moved back to a business day, where that lies in the range."""
+    """(pay_date): every 14th day from `anchor` on that lies in the range, moved back to a business day if that does too;
+    none where the anchor lies after the range."""
     cal = calendar(spark, start, through).select("day", "previous_business")
-    due = spark.sql("select explode(sequence(date(:a), date(:b), interval 14 day)) as day", {"a": anchor, "b": through})
+    due = spark.sql("select explode(filter(transform(sequence(0, greatest(0, datediff(date(:b), date(:a))) div 14), i -> date_add(date(:a), cast(i * 14 as int))), d -> d <= date(:b))) as day", {"a": anchor, "b": through})
     moved = due.join(F.broadcast(cal), "day").select(F.col("previous_business").alias("pay_date"))  # one row a day of the asked range
     return moved.where((F.col("pay_date") >= F.lit(start).cast("date")) & (F.col("pay_date") <= F.lit(through).cast("date"))).distinct()

@@ -51,7 +51,7 @@ def category(payee: Column, description: Column) -> Column:
 def titled(c: Column) -> Column:
     """Capitals after every character that is not a letter (so after ' and - too), the rest lower case."""
     lower = F.lower(c)
-    return F.array_join(F.transform(F.split(lower, "(?<=[^a-z])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+    return F.array_join(F.transform(F.split(lower, r"(?<=\P{L})"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 
 def merchant(payee: Column) -> Column:

@@ -93,11 +93,12 @@ def avalanche(debts: DataFrame) -> DataFrame:
 
 
 def goal_pace(goals: DataFrame, as_of: str) -> DataFrame:
-    """`goals` (id, target, progress, created, deadline, trackable) with its status, elapsed and remaining."""
+    """`goals` (id, target, progress, created, deadline, trackable) with its status and remaining; a target of 0 that is not
+    reached counts as no progress."""
     day = F.lit(as_of).cast("date")
     left = F.datediff("deadline", day)
     elapsed = F.when(F.datediff("deadline", "created") > 0, F.datediff(day, "created") / F.datediff("deadline", "created")).otherwise(F.lit(1.0))
-    share = F.col("progress").cast("double") / F.col("target").cast("double")
+    share = F.coalesce(F.try_divide(F.col("progress").cast("double"), F.col("target").cast("double")), F.lit(0.0))
     status = (
         F.when(F.col("progress") >= F.col("target"), "completed").when(F.col("deadline").isNull(), "no_deadline").when(left.between(0, 14), "due_soon")
         .when(~F.col("trackable"), "pending").when((elapsed < 0.10) & (left >= 0), "on_track").when(share >= elapsed, "on_track").otherwise("behind")

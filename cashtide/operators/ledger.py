@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -25,13 +27,52 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], content: list
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], refresh: list[str] | None = None) -> DataFrame:
-    """`table` with the rows of `changes` merged in by key; with `refresh`, only those columns of existing rows change."""
+    """`table` with the rows of `changes` merged in by key; with `refresh`, only those columns of existing rows change.
+
+    Null keys match null keys. Of several changes of one key the largest (its columns compared in order) counts; keys
+    that `table` repeats keep their rows, each changed alike."""
     others = [c for c in table.columns if c not in keys]
     refresh = others if refresh is None else refresh
-    new = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in others], F.lit(True).alias("_has"))
+    last = changes.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(F.struct(*others)).alias("_c"))
+    new = last.select(*[f"_k_{k}" for k in keys], *[F.col(f"_c.{c}").alias(f"_n_{c}") for c in others], F.lit(True).alias("_has"))
     old = table.withColumn("_had", F.lit(True))
     value = lambda c: F.when(F.col("_had").isNull() | (F.col("_has").isNotNull() & F.lit(c in refresh)), F.col(f"_n_{c}")).otherwise(F.col(c))
-    return old.join(new, keys, "full").select(*keys, *[value(c).alias(c) for c in others]).select(*table.columns)
+    same = functools.reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_k_{k}")), keys, F.lit(True))
+    key = lambda k: F.when(F.col("_had").isNull(), F.col(f"_k_{k}")).otherwise(F.col(k)).alias(k)
+    return old.join(new, same, "full").select(*[key(k) for k in keys], *[value(c).alias(c) for c in others]).select(*table.columns)
+
+
+def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`table` and those of `rows` whose key it lacks; of several new rows of one key the smallest. Null keys match."""
+    others = [c for c in table.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_c")).select(*keys, *[F.col(f"_c.{c}").alias(c) for c in others])
+    had = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    same = functools.reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_k_{k}")), keys, F.lit(True))
+    return table.unionByName(one.join(had, same, "left_anti").select(*table.columns))
+
+
+def update_where(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """`table` with new values in the rows where the condition is true; false and null leave a row as it is."""
+    hit = F.coalesce(condition, F.lit(False))
+    return table.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
+
+
+def delete_where(table: DataFrame, condition: Column) -> DataFrame:
+    """`table` without the rows where the condition is true; a null condition keeps a row."""
+    return table.where(~F.coalesce(condition, F.lit(False)))
+
+
+def acknowledge(findings: DataFrame, ids: DataFrame, note: str) -> DataFrame:
+    """`findings` (id, status, note, ...) with the active ones among `ids` acknowledged; others stay as they are."""
+    named = ids.select(F.col("id").alias("_id")).distinct()
+    hit = findings.join(named, F.col("id") == F.col("_id"), "left")
+    return update_where(hit, F.col("_id").isNotNull() & (F.col("status") == "active"), {"status": F.lit("acknowledged"), "note": F.lit(note)}).drop("_id")
+
+
+def page(rows: DataFrame, order: list[Column], limit: int = -1, offset: int = 0) -> DataFrame:
+    """The rows from `offset` on in that order, `limit` of them or, with -1, all."""
+    out = rows.orderBy(*order).offset(offset)
+    return out if limit < 0 else out.limit(limit)
 
 
 def emission_actions(items: DataFrame, emissions: DataFrame, retire: DataFrame) -> DataFrame:

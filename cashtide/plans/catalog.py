@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import dates, text
 from ..operators import audit, balances, estimates, findings, ledger, projection, reconcile, recurring, spending
 from ..sources import adapters
-from . import oracle
+from . import oracle, rosters
 
 FLAGSHIP = "spending_by_category"
 YEAR = ("1998-01-01", "1998-12-31")
@@ -251,11 +251,12 @@ def snapshot_diff(spark, d):
 
 
 def emission_actions(spark, d):
-    o = adapters.read(spark, d, "orders").withColumn("surface_key", F.concat(F.lit("pay:"), F.col("o_orderkey").cast("string")))
+    o = adapters.read(spark, d, "orders")
     status = adapters.by_value(F.col("o_orderstatus"), {"F": "completed", "P": "open"}, "retired")
-    old = o.where("o_orderkey % 3 <> 0").select("surface_key", status.alias("status"), F.col("o_orderpriority").alias("content_hash"))
-    new = o.where("o_orderkey % 2 = 0").select("surface_key", F.when(F.col("o_totalprice") > 200000, "1-URGENT").otherwise(F.col("o_orderpriority")).alias("content_hash"))
-    return ledger.emission_actions(new, old, o.where("o_orderkey % 10 = 4").select("surface_key"))
+    key = lambda n, at, other: F.concat(F.when(F.col("o_orderkey") % n == at, "pay:").otherwise(other), F.col("o_orderkey").cast("string")).alias("surface_key")
+    old = o.select(key(2, 0, "gone:"), status.alias("status"), F.col("o_orderpriority").alias("content_hash"))
+    new = o.select(key(3, 0, "new:"), F.when(F.col("o_totalprice") > 200000, "1-URGENT").otherwise(F.col("o_orderpriority")).alias("content_hash"))
+    return ledger.emission_actions(new, old, o.select(key(5, 4, "none:")))
 
 
 def subject_winners(spark, d):
@@ -376,7 +377,8 @@ def grounding_checks(spark, d):
 
 def grounding_counts(spark, d):
     i = adapters.instances(spark, d)
-    return audit.count_differences(i.where("id % 9 <> 0"), i.where("id % 8 <> 0"), ["entity_id", "direction"])
+    turned = lambda n: i.withColumn("direction", F.when(F.col("id") % n == 0, "unknown").otherwise(F.col("direction")))
+    return audit.count_differences(turned(9), turned(8), ["entity_id", "direction"])
 
 
 def migration_dedup(spark, d):
@@ -397,7 +399,7 @@ _ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL}
+    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL + rosters.ALL}
 
 
 def oracle_sql() -> dict:

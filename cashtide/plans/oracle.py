@@ -141,7 +141,7 @@ BODY = {
   ON a.entity_id = b.entity_id AND a.direction = b.direction AND a.obligation_id < b.obligation_id AND len(list_intersect(a.months, b.months)) > 0 AND (a.g = b.g OR abs(a.mid - b.mid) <= greatest(a.mid, b.mid) * 0.15::DOUBLE)""",
     "grounding_checks": """SELECT CASE WHEN account_id % 7 = 0 THEN -account_id - 1 ELSE account_id END AS key, (balance + CASE WHEN account_id % 5 = 0 THEN 0.02 ELSE 0.01 END)::DOUBLE AS claimed, CASE WHEN account_id % 7 <> 0 THEN balance::DOUBLE END AS found,
   CASE WHEN account_id % 7 = 0 THEN 'unsupported' WHEN account_id % 5 = 0 THEN 'mismatch' ELSE 'grounded' END AS verdict FROM acc""",
-    "grounding_counts": "SELECT entity_id, direction, count(*) FILTER (id % 9 <> 0) AS n_claimed, count(*) FILTER (id % 8 <> 0) AS n_found FROM inst GROUP BY ALL HAVING n_claimed <> n_found",
+    "grounding_counts": "SELECT entity_id, direction, sum(c)::BIGINT AS n_claimed, sum(f)::BIGINT AS n_found FROM (SELECT entity_id, CASE WHEN id % 9 = 0 THEN 'unknown' ELSE direction END AS direction, 1 AS c, 0 AS f FROM inst UNION ALL SELECT entity_id, CASE WHEN id % 8 = 0 THEN 'unknown' ELSE direction END, 0, 1 FROM inst) GROUP BY ALL HAVING n_claimed <> n_found",
     "migration_dedup": """SELECT t.id, i.instance_id, CASE WHEN i.instance_id IS NULL THEN 'new' ELSE 'already_modeled' END AS verdict FROM words_t t LEFT JOIN (
   SELECT t.id, arg_min(i.id, (i.due_date, i.id)) AS instance_id FROM words_t t JOIN words_i i ON i.entity_id = t.account_id AND i.direction = t.direction AND i.due_date BETWEEN t.posted - 7 AND t.posted + 7
     AND abs(t.observed - i.amount) <= greatest(5.00, greatest(t.observed, i.amount) * 0.6) AND len(list_intersect(i.words, list_filter(regexp_split_to_array(lower(t.payee), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+')))) > 0 GROUP BY 1) i ON i.id = t.id""",
@@ -188,8 +188,10 @@ BODY = {
     "status_color": f"SELECT b.entity_id, CASE WHEN coalesce(DATE '2024-01-31' - l.recorded_at::TIMESTAMP::DATE NOT BETWEEN 0 AND 3, false) THEN 'YELLOW' WHEN low < 0 THEN 'RED' WHEN breach THEN 'YELLOW' ELSE 'GREEN' END AS color FROM ({_BAND}) b LEFT JOIN ({_LATEST.format('')}) l ON l.account_id = b.entity_id",
     "surface_queue": "SELECT id, finding_type AS kind, s AS severity_rank, k AS kind_rank, row_number() OVER (ORDER BY s DESC, k DESC, id) AS place FROM (SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END::BIGINT AS s, CASE finding_type WHEN 'amount_changed' THEN 2 ELSE 1 END::BIGINT AS k FROM drifts) QUALIFY place <= 50",
     "snapshot_diff": f"SELECT coalesce(a.account_id, b.account_id) AS account_id, CASE WHEN a.account_id IS NULL THEN 'created' WHEN b.account_id IS NULL THEN 'resolved' WHEN a.balance = b.balance AND a.source = b.source THEN 'unchanged' ELSE 'updated' END AS action FROM ({_LATEST.format(_AS_OF % '2024-01-02')}) a FULL JOIN ({_LATEST.format(_AS_OF % '2024-01-20')}) b ON a.account_id = b.account_id",
-    "emission_actions": """SELECT surface_key, action FROM (SELECT 'pay:' || o_orderkey AS surface_key, CASE WHEN o_orderkey % 3 <> 0 AND o_orderstatus = 'P' AND o_orderkey % 10 = 4 THEN 'retire' WHEN o_orderkey % 2 <> 0 THEN NULL
-  WHEN o_orderkey % 3 = 0 THEN 'create' WHEN o_orderstatus = 'F' THEN 'resolved' WHEN o_orderstatus = 'P' AND (o_totalprice <= 200000 OR o_orderpriority = '1-URGENT') THEN 'skip' WHEN o_orderstatus = 'P' THEN 'update' ELSE 'create' END AS action FROM orders) WHERE action IS NOT NULL""",
+    "emission_actions": """SELECT surface_key, CASE WHEN status = 'open' AND surface_key IN (SELECT 'pay:' || o_orderkey FROM orders WHERE o_orderkey % 5 = 4) THEN 'retire' WHEN new_hash IS NULL THEN NULL WHEN status = 'completed' THEN 'resolved'
+  WHEN status = 'open' AND new_hash = old_hash THEN 'skip' WHEN status = 'open' THEN 'update' ELSE 'create' END AS action
+  FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'pay:' ELSE 'gone:' END || o_orderkey AS surface_key, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'open' ELSE 'retired' END AS status, o_orderpriority AS old_hash FROM orders)
+  FULL JOIN (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'pay:' ELSE 'new:' END || o_orderkey AS surface_key, CASE WHEN o_totalprice > 200000 THEN '1-URGENT' ELSE o_orderpriority END AS new_hash FROM orders) USING (surface_key) WHERE action IS NOT NULL""",
     "subject_winners": "SELECT id, CASE WHEN direction = 'outflow' THEN entity_id END AS subject, CASE WHEN discretionary THEN 1 ELSE 0 END::BIGINT AS rank FROM inst WHERE status <> 'paid' QUALIFY direction = 'inflow' OR row_number() OVER (PARTITION BY direction, entity_id ORDER BY discretionary, id) = 1",
     "synthetic_ids": "SELECT id, ordinal, 'card:' || sha1(concat_ws('|', account_id, posted::VARCHAR, amount::VARCHAR, regexp_replace(lower(payee), '[^a-z0-9]', '', 'g'), ordinal)) AS synthetic_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id, posted, amount, payee ORDER BY id) - 1 AS ordinal FROM txn)",
     "memory_search": "SELECT query_id, rank, id, score, n_tokens FROM budget WHERE kept",
@@ -220,4 +222,6 @@ budget AS (SELECT query_id, rank, id, score, n_tokens, true AS kept, n_tokens AS
 
 
 def sql() -> dict:
-    return {k: f"WITH RECURSIVE {BASE}{',' + STEPS[k] if k in STEPS else ''}\n{body}" for k, body in BODY.items()}
+    from . import rosters
+
+    return {k: f"WITH RECURSIVE {BASE}{',' + STEPS[k] if k in STEPS else ''}\n{body}" for k, body in (BODY | rosters.SQL).items()}
