@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
-from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import saved
 
 RECONCILABLE = ("expected", "needs_review", "partially_paid")
 
@@ -88,34 +88,31 @@ def best(pairs: DataFrame) -> DataFrame:
     return ranked.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "abs_days")
 
 
-def _claims(group: pd.DataFrame) -> pd.DataFrame:
-    taken: set[str] = set()
-    rows = []
-    ordered = group.assign(apart=group["days"].abs()).sort_values(["due_date", "instance_id", "score", "apart", "delta", "transaction_id"], ascending=[True, True, False, True, True, True])
-    for _, mine in ordered.groupby(["due_date", "instance_id"], sort=True):
-        free = mine[~mine["transaction_id"].isin(taken)]
-        if len(free) and free.iloc[0]["match_type"] != "below_threshold":
-            rows.append(free.iloc[0])
-            taken.add(free.iloc[0]["transaction_id"])
-    out = pd.DataFrame(rows, columns=ordered.columns)
-    return out[["instance_id", "transaction_id", "score", "match_type"]]
-
-
-def greedy(pairs: DataFrame, opts: Options = Options()) -> DataFrame:
+def greedy(pairs: DataFrame) -> DataFrame:
     """instance_id, transaction_id, score, match_type: instances claim transactions in (due date, id) order.
 
-    Claims depend on order, so they run one by one, but only within a session: an entity's instances of one
-    direction no two of which are further apart than two windows cannot compete with those of another session.
-    That keeps groups short even for an entity with a long history.
+    An instance takes the first of its pairs whose transaction no earlier one took; where that pair is below the threshold it
+    takes nothing. Done in rounds over the whole table: each instance points at its first pair left, each transaction is held by
+    the earliest instance that points at it for a claim, and pairs of later instances with a held transaction go. A holder
+    only ever gives way to an earlier one, so a pair that went could never have been claimed, and where no pair
+    goes any more the pointers are the claims. Rounds end with the longest chain of give-ways; nothing is gathered. Instances
+    none of whose transactions is in another one's pairs need no round.
     """
-    order = Window.partitionBy("entity_id", "direction").orderBy("due_date")
-    fresh = F.when(F.datediff("due_date", F.lag("due_date").over(order)) <= 2 * opts.window, 0).otherwise(1)
-    dates = pairs.select("entity_id", "direction", "due_date").distinct().withColumn("fresh", fresh)
-    sessions = dates.withColumn("session", F.sum("fresh").over(order)).drop("fresh")
-    rows = pairs.join(sessions, ["entity_id", "direction", "due_date"]).select(
-        "entity_id", "direction", "session", "instance_id", "transaction_id", "due_date", "days", F.col("delta").cast("double").alias("delta"), "score", "match_type"
+    mine, its = Window.partitionBy("instance_id"), Window.partitionBy("transaction_id")
+    ranked = pairs.withColumn("abs_days", F.abs("days")).select(
+        "instance_id", "transaction_id", "score", "match_type", F.struct("due_date", "instance_id").alias("turn"), F.row_number().over(mine.orderBy(*[f(c) for f, c in RANK])).alias("r")
     )
-    return rows.groupBy("entity_id", "direction", "session").applyInPandas(_claims, "instance_id long, transaction_id string, score double, match_type string")
+    ranked = saved(ranked.withColumn("n", F.count("*").over(its)).withColumn("contested", F.max("n").over(mine) > 1).drop("n"))
+    claim = F.col("match_type") != "below_threshold"
+    alone, left = ranked.where("not contested and r = 1"), ranked.where("contested")
+    n, before = left.count(), -1
+    while n != before:
+        first = left.withColumn("first", F.min("r").over(mine))
+        held = first.where((F.col("r") == F.col("first")) & claim).groupBy("transaction_id").agg(F.min("turn").alias("holder"))
+        left = saved(left.join(held, "transaction_id", "left").where(F.col("holder").isNull() | (F.col("turn") <= F.col("holder"))).select(*ranked.columns))
+        n, before = left.count(), n
+    settled = left.withColumn("first", F.min("r").over(mine)).where("r = first").drop("first")
+    return alone.unionByName(settled).where(claim).select("instance_id", "transaction_id", "score", "match_type")
 
 
 def unmatched(instances: DataFrame, matches: DataFrame, as_of: str, opts: Options = Options()) -> DataFrame:
@@ -128,33 +125,85 @@ def unmatched(instances: DataFrame, matches: DataFrame, as_of: str, opts: Option
     )
 
 
-def _unique_subset(group: pd.DataFrame) -> pd.DataFrame:
-    pool = group.sort_values("instance_id")
-    cents = [int(round(x * 100)) for x in pool["expected"]]
-    target, slack = int(round(group["observed"].iloc[0] * 100)), int(round(group["slack"].iloc[0] * 100))
-    found = []
-    if len(pool) <= 12:
-        for size in (2, 3, 4):
-            found += [c for c in combinations(range(len(pool)), size) if abs(sum(cents[i] for i in c) - target) <= slack]
-            if len(found) > 1:
-                break
-    keep = list(found[0]) if len(found) == 1 else []
-    return pool.iloc[keep][["transaction_id", "instance_id"]]
+def _summing(pool: Column, target: Column, slack: Column) -> Column:
+    """The sets of two to four members of `pool` (array of id, cents) whose cents come within the slack of the target."""
+    none = F.array(F.struct(F.lit(0).cast("long").alias("cents"), F.array().cast("array<bigint>").alias("ids")))
+
+    def grown(sets, x):
+        wider = F.transform(F.filter(sets, lambda s: F.size(s["ids"]) < 4), lambda s: F.struct((s["cents"] + x["cents"]).alias("cents"), F.concat(s["ids"], F.array(x["id"])).alias("ids")))
+        return F.concat(sets, wider)
+
+    sets = F.aggregate(pool, none, grown)
+    return F.transform(F.filter(sets, lambda s: (F.size(s["ids"]) >= 2) & (F.abs(s["cents"] - target) <= slack)), lambda s: s["ids"])
 
 
 def shared(instances: DataFrame, transactions: DataFrame, opts: Options = Options()) -> DataFrame:
     """(transaction_id, instance_id): one payment settling a unique set of two to four instances.
 
-    Pools are the instances of the same entity, direction and window whose merchant words overlap; pools of
-    fewer than two or more than twelve settle nothing, so a group has at most twelve rows after the filter."""
+    A payment's pool are the instances of its entity, direction and window whose merchant words overlap and that no earlier
+    payment (by day, then id) took; pools of fewer than two or, as the search is defined, more than twelve settle nothing.
+    Rounds over the whole table: payments without a summing set go at once, since pools only shrink. A payment is decided
+    when it is the first left for all of its instances, or when its entity and direction have no earlier one left
+    with a pool of twelve or fewer; both mean that its pool is final."""
     open_window = Options(window=opts.window, amount_abs="999999999999.00", amount_pct="1.000")
     pairs = candidates(instances, transactions, open_window).where("merchant_score > 0")
-    n = pairs.groupBy("transaction_id").agg(F.count("*").alias("n")).where("n between 2 and 12")
-    rows = pairs.join(n, "transaction_id").select(
-        "transaction_id", "instance_id", F.col("expected").cast("double").alias("expected"), F.col("observed").cast("double").alias("observed"),
-        _tolerance(F.col("observed"), opts.amount_abs, opts.amount_pct).cast("double").alias("slack"),
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    left = saved(pairs.select(
+        "transaction_id", "instance_id", "entity_id", "direction", F.struct(F.date_add("due_date", F.col("days")).alias("day"), "transaction_id").alias("turn"), cents("expected").alias("cents"), cents("observed").alias("target"),
+        (_tolerance(F.col("observed"), opts.amount_abs, opts.amount_pct) * 100).alias("slack"),
+    ))
+    found = []
+    while not left.isEmpty():
+        pools = left.groupBy("transaction_id", "entity_id", "direction", "turn", "target", "slack").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("instance_id").alias("id"), "cents")).alias("pool")).where("n >= 2")
+        small = F.col("n") <= 12
+        pools = pools.withColumn("sets", F.when(small, _summing(F.col("pool"), F.col("target"), F.col("slack")))).where(~small | (F.size("sets") > 0)).drop("pool", "target", "slack")
+        ahead = F.min(F.when(small, F.col("turn"))).over(Window.partitionBy("entity_id", "direction"))
+        live = left.join(pools.withColumn("ahead", ahead).select("transaction_id", "n", "sets", "ahead"), "transaction_id")
+        first = F.min("turn").over(Window.partitionBy("instance_id"))
+        final = F.min((F.col("turn") == F.col("first")) | F.col("ahead").isNull() | (F.col("turn") <= F.col("ahead"))).over(Window.partitionBy("transaction_id"))
+        live = saved(live.withColumn("first", first).withColumn("final", final))
+        took = live.where("final and size(sets) = 1").select("transaction_id", F.explode(F.col("sets")[0]).alias("instance_id")).distinct()
+        found.append(took)
+        used = took.select("instance_id")
+        left = saved(live.where("not final").join(used, "instance_id", "left_anti").select(*left.columns))
+    if not found:
+        return left.select("transaction_id", "instance_id")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def run(instances: DataFrame, transactions: DataFrame, as_of: str, settled: DataFrame | None = None, history: DataFrame | None = None, opts: Options = Options()) -> DataFrame:
+    """The whole reconciliation: one row per due, reconcilable instance with its outcome.
+
+    `instances` also has obligation_id and status, and may have active_until (later instances are left out). `settled`
+    (transaction_id): payments that belong to other instances already and found no group. `history` (obligation_id,
+    instance_id, due_date, observed, grouped): charges of earlier runs. Shared payments come first, among instances that
+    nothing matches alone; then claims in order; a claim at another price than the last cycle's goes to review.
+    Columns: instance_id, outcome (auto, needs_review, shared, unmatched), transaction_id, score, amount_changed,
+    age_days, past_grace, status (the new one)."""
+    day = F.lit(as_of).cast("date")
+    due = instances.where(F.col("status").isin(*RECONCILABLE) & (F.col("due_date") <= day))
+    if "active_until" in instances.columns:
+        due = due.where(F.col("active_until").isNull() | (F.col("due_date") <= F.col("active_until")))
+    pairs = saved(candidates(due, transactions, opts))
+    alone = best(pairs).where("match_type <> 'below_threshold'").select(F.col("instance_id").alias("id"))
+    free = transactions if settled is None else transactions.join(settled.select(F.col("transaction_id").alias("id")), "id", "left_anti")
+    groups = saved(shared(due.join(alone, "id", "left_anti"), free, opts))
+    claims = greedy(pairs.join(groups.select("instance_id"), "instance_id", "left_anti").join(groups.select("transaction_id").distinct(), "transaction_id", "left_anti"))
+    found = claims.withColumn("grouped", F.lit(False)).unionByName(groups.select("instance_id", "transaction_id", F.lit(None).cast("double").alias("score"), F.lit("needs_review").alias("match_type"), F.lit(True).alias("grouped")))
+    paid = transactions.select(F.col("id").alias("transaction_id"), F.abs("amount").alias("observed"))
+    found = saved(found.join(due.select(F.col("id").alias("instance_id"), "obligation_id", "due_date"), "instance_id").join(paid, "transaction_id"))
+    charges = found.select("obligation_id", "instance_id", "due_date", "observed", "grouped")
+    every = charges if history is None else charges.unionByName(history.select(*charges.columns))
+    moved = price_changes(every, opts).where("changed").select("instance_id").withColumn("amount_changed", F.lit(True))
+    found = found.drop("obligation_id", "due_date", "observed").join(moved, "instance_id", "left").withColumnRenamed("instance_id", "id")
+    changed = F.coalesce(F.col("amount_changed") & ~F.col("grouped"), F.lit(False))
+    outcome = F.when(F.col("match_type").isNull(), "unmatched").when(F.col("grouped"), "shared").when(changed, "needs_review").otherwise(F.col("match_type"))
+    age = F.datediff(day, "due_date")
+    late = F.col("match_type").isNull() & (age > opts.grace)
+    return due.join(found, "id", "left").select(
+        F.col("id").alias("instance_id"), outcome.alias("outcome"), "transaction_id", "score", changed.alias("amount_changed"), age.alias("age_days"), late.alias("past_grace"),
+        F.when(outcome == "auto", "paid").when(late & (F.col("status") == "expected"), "needs_review").otherwise(F.col("status")).alias("status"),
     )
-    return rows.groupBy("transaction_id").applyInPandas(_unique_subset, "transaction_id string, instance_id long")
 
 
 def price_changes(matches: DataFrame, opts: Options = Options(), back: int = 12) -> DataFrame:

@@ -123,12 +123,30 @@ def recon_best(spark, d):
 
 
 def recon_greedy(spark, d):
-    return reconcile.greedy(pairs(spark, d), WIDE)
+    return reconcile.greedy(pairs(spark, d))
+
+
+#: Two to four bills of an entity are a few hundred thousand together, so sums must come close.
+CLOSE = reconcile.Options(window=30, amount_abs="500.00", amount_pct="0.010")
+
+
+def _with_lumps(spark, d):
+    """The transactions and, as the test tables have none, one payment for the two to four instances of a month."""
+    month = adapters.instances(spark, d).groupBy("entity_id", "direction", F.date_format("due_date", "yyyy-MM").alias("month"))
+    sums = month.agg(F.count("*").alias("n"), F.sum("amount").alias("sum"), F.max("due_date").alias("posted")).where("n between 2 and 4")
+    lumps = sums.select(
+        F.concat_ws("-", F.lit("lump"), "entity_id", "direction", "month").alias("id"), F.col("entity_id").alias("account_id"), "posted", F.when(F.col("direction") == "inflow", F.col("sum")).otherwise(-F.col("sum")).cast(adapters.MONEY).alias("amount"),
+        F.lit("Brand").alias("payee"), F.lit("month").alias("description"), F.lit(False).alias("pending"),
+    )
+    return adapters.transactions(spark, d).unionByName(lumps)
 
 
 def recon_shared_groups(spark, d):
-    exact = reconcile.Options(window=30, amount_abs="500.00", amount_pct="0.010")
-    return reconcile.shared(named(spark, d), adapters.transactions(spark, d), exact)
+    return reconcile.shared(named(spark, d), _with_lumps(spark, d), CLOSE)
+
+
+def recon_run(spark, d):
+    return reconcile.run(named(spark, d), _with_lumps(spark, d), "1998-06-30", opts=CLOSE)
 
 
 def recon_unmatched(spark, d):
@@ -391,7 +409,7 @@ _ALL = (
     income_biweekly, working_account, guardrail_drift_sum, check_suggestions, dormant_accounts, contradicted_estimates, estimate_provenance, note_contradictions, backfill_dates,
     unexpected_recurring, verify_statement_identity, verify_projection_identity, verify_overlap, grounding_checks, grounding_counts, migration_dedup,
     spending_by_category, spending_by_merchant, spending_by_month, spending_samples, list_transactions, latest_balance, asof_balance, balance_coverage,
-    project_running_balance, project_trough, project_capped_fold, past_due_carry, roll_forward, trough_band, recon_candidates, recon_best, recon_greedy, recon_shared_groups,
+    project_running_balance, project_trough, project_capped_fold, past_due_carry, roll_forward, trough_band, recon_candidates, recon_best, recon_greedy, recon_shared_groups, recon_run,
     recon_unmatched, prior_amount_change, post_cancellation, recurring_stats, recurring_triage, apply_schedule, drift_payment, stale_estimates, arrived_deposits,
     guardrail_floor, debt_avalanche, goal_pace, statement_cycles, statement_rollup, verify_duplicates, verify_signs, verify_coverage_horizon, status_color,
     surface_queue, snapshot_diff, emission_actions, subject_winners, synthetic_ids, memory_search, income_semi_monthly, business_days,

@@ -199,8 +199,63 @@ BODY = {
     "business_days": "SELECT day::VARCHAR AS day, is_business, previous_business::VARCHAR AS previous_business FROM bus WHERE day >= DATE '2026-01-01'",
 }
 
+#: Payments of the test tables and one for the two to four instances of a month, the day's pool of each, and its summing sets.
+_LUMPS = f"""
+pay AS (SELECT *, {_tokens("payee || ' ' || description")} AS said, abs(amount) AS target, CASE WHEN amount < 0 THEN 'outflow' ELSE 'inflow' END AS direction FROM (
+  SELECT id, account_id, posted, amount, payee, description FROM txn UNION ALL
+  SELECT concat_ws('-', 'lump', entity_id, direction, month), entity_id, posted, (CASE direction WHEN 'inflow' THEN s ELSE -s END)::DECIMAL(18,2), 'Brand', 'month'
+  FROM (SELECT entity_id, direction, strftime(due_date, '%Y-%m') AS month, sum(amount) AS s, max(due_date) AS posted FROM inst GROUP BY ALL HAVING count(*) BETWEEN 2 AND 4)))"""
+_GROUPS = """
+pool AS (SELECT t.id AS t, i.id AS i, i.entity_id, i.direction, t.posted, t.target, i.amount, greatest(500.00, t.target * 0.010) AS slack FROM elig i JOIN pay t
+  ON t.account_id = i.entity_id AND t.direction = i.direction AND t.posted BETWEEN i.due_date - 30 AND i.due_date + 30 AND list_has_any(i.words, t.said)),
+sets AS (SELECT a.t, [a.i, b.i] AS ids FROM pool a JOIN pool b ON a.t = b.t AND a.i < b.i WHERE abs(a.amount + b.amount - a.target) <= a.slack UNION ALL
+  SELECT a.t, [a.i, b.i, c.i] FROM pool a JOIN pool b ON a.t = b.t AND a.i < b.i JOIN pool c ON c.t = b.t AND b.i < c.i WHERE abs(a.amount + b.amount + c.amount - a.target) <= a.slack UNION ALL
+  SELECT a.t, [a.i, b.i, c.i, d.i] FROM pool a JOIN pool b ON a.t = b.t AND a.i < b.i JOIN pool c ON c.t = b.t AND b.i < c.i JOIN pool d ON d.t = c.t AND c.i < d.i
+    WHERE abs(a.amount + b.amount + c.amount + d.amount - a.target) <= a.slack),
+asked AS (SELECT p.*, s.sets, row_number() OVER (PARTITION BY entity_id, direction ORDER BY posted, t) AS n FROM (SELECT t, entity_id, direction, posted, list(i) AS members FROM pool GROUP BY ALL) p
+  JOIN (SELECT t, list(ids) AS sets FROM sets GROUP BY t) s USING (t)),
+given AS (SELECT DISTINCT entity_id, direction, 0::BIGINT AS n, ''::VARCHAR AS t, []::BIGINT[] AS used, []::BIGINT[] AS pick FROM asked UNION ALL
+  SELECT entity_id, direction, n, t, list_concat(used, pick), pick FROM (SELECT x.entity_id, x.direction, x.n, x.t, g.used,
+    CASE WHEN len(list_filter(x.members, lambda m: NOT list_contains(g.used, m))) BETWEEN 2 AND 12 AND len(list_filter(x.sets, lambda e: NOT list_has_any(e, g.used))) = 1
+      THEN list_filter(x.sets, lambda e: NOT list_has_any(e, g.used))[1] ELSE [] END AS pick
+    FROM given g JOIN asked x ON x.entity_id = g.entity_id AND x.direction = g.direction AND x.n = g.n + 1)),
+lumped AS (SELECT t AS transaction_id, unnest(pick) AS instance_id FROM given WHERE n > 0)"""
+
+
+def _claims(pairs: str) -> str:
+    """One step of a recursion per instance of an entity and direction, with the list of what is taken."""
+    return f"""
+firsts AS (SELECT i.entity_id, i.direction, p.instance_id, l, row_number() OVER (PARTITION BY i.entity_id, i.direction ORDER BY i.due_date, i.id) AS n FROM (
+  SELECT instance_id, list({{'t': transaction_id, 's': score, 'm': match_type}} ORDER BY score DESC, abs(days), delta, transaction_id) AS l FROM {pairs} GROUP BY instance_id) p JOIN inst i ON i.id = p.instance_id),
+claim AS (SELECT DISTINCT entity_id, direction, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS instance_id, {{'t': ''::VARCHAR, 's': 0::DOUBLE, 'm': ''::VARCHAR}} AS c FROM firsts UNION ALL
+  SELECT entity_id, direction, n, CASE WHEN f.m <> 'below_threshold' THEN list_append(taken, f.t) ELSE taken END, instance_id, f FROM (
+    SELECT x.entity_id, x.direction, x.n, c.taken, x.instance_id, list_filter(x.l, lambda e: NOT list_contains(c.taken, e.t))[1] AS f
+    FROM claim c JOIN firsts x ON x.entity_id = c.entity_id AND x.direction = c.direction AND x.n = c.n + 1)),
+claimed AS (SELECT instance_id, c.t AS transaction_id, c.s AS score, c.m AS match_type FROM claim WHERE n > 0 AND c.m <> 'below_threshold')"""
+
+
 #: Further tables: one step of a recursion per event, or per hit, and obligations with their upper-median amounts.
 STEPS = {
+    "recon_greedy": _claims("pairs"),
+    "recon_shared_groups": _LUMPS + ", elig AS (SELECT * FROM words_i)," + _GROUPS,
+    "recon_run": _LUMPS + """,
+due AS (SELECT w.*, i.status AS state FROM words_i w JOIN inst i USING (id) WHERE i.status IN ('expected', 'needs_review', 'partially_paid') AND i.due_date <= DATE '1998-06-30'),
+wide AS (SELECT i.id AS instance_id, t.id AS transaction_id, (t.posted - i.due_date)::BIGINT AS days, abs(t.target - i.amount) AS delta,
+  round(CASE WHEN len(words) = 0 OR len(said) = 0 THEN 0.0 ELSE len(list_intersect(words, said))::DOUBLE / len(list_distinct(list_concat(words, said))) END, 3) AS merchant_score
+  FROM due i JOIN pay t ON i.entity_id = t.account_id AND i.direction = t.direction AND t.posted BETWEEN i.due_date - 30 AND i.due_date + 30 WHERE abs(t.target - i.amount) <= greatest(500.00, i.amount * 0.010)),
+based AS (SELECT *, round(0.5::DOUBLE * CASE WHEN delta <= 0.005 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + 0.3::DOUBLE * CASE WHEN abs(days) <= 1 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (abs(days) - 1) / 30.0::DOUBLE) END
+  + 0.2::DOUBLE * merchant_score, 3) AS base, delta < 0.005 AND abs(days) <= 2 AS sure FROM wide),
+kinds AS (SELECT *, CASE WHEN sure THEN greatest(base, 0.9::DOUBLE) ELSE base END AS score, CASE WHEN sure THEN 'auto' WHEN merchant_score = 0 AND delta >= 0.005 THEN 'below_threshold'
+  WHEN base >= 0.85 THEN 'auto' WHEN base >= 0.55 THEN 'needs_review' ELSE 'below_threshold' END AS match_type FROM based),
+elig AS (SELECT * FROM due WHERE id NOT IN (SELECT instance_id FROM (SELECT * FROM kinds QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, abs(days), delta, transaction_id) = 1) WHERE match_type <> 'below_threshold')),
+""" + _GROUPS + """,
+rest AS (SELECT * FROM kinds WHERE instance_id NOT IN (SELECT instance_id FROM lumped) AND transaction_id NOT IN (SELECT transaction_id FROM lumped)),
+""" + _claims("rest") + """,
+paired AS (SELECT m.*, i.obligation_id, i.due_date, target FROM (SELECT instance_id, transaction_id, score, match_type, false AS grouped FROM claimed UNION ALL SELECT instance_id, transaction_id, NULL, 'needs_review', true FROM lumped) m
+  JOIN inst i ON i.id = instance_id JOIN pay p ON p.id = transaction_id),
+priced AS (SELECT *, last_value(CASE WHEN NOT grouped THEN target END IGNORE NULLS) OVER (PARTITION BY obligation_id ORDER BY due_date, instance_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS previous FROM paired),
+judged AS (SELECT due.id, state, (DATE '1998-06-30' - due.due_date)::BIGINT AS age_days, transaction_id, score, match_type, grouped,
+  coalesce(NOT grouped AND abs(target - previous) > 5.00 AND abs(target - previous) > previous * 0.10, false) AS amount_changed FROM due LEFT JOIN priced ON instance_id = due.id)""",
     "verify_overlap": """
 ob AS (SELECT entity_id, obligation_id, direction, CASE any_value(name) WHEN 'Brand 3-MEDIUM' THEN '2' ELSE any_value(name)[7:7] END AS g, list(DISTINCT date_trunc('month', due_date)) AS months,
   list_sort(list(amount::DOUBLE))[count(*) // 2 + 1] AS mid FROM inst WHERE status <> 'paid' GROUP BY ALL)""",
@@ -221,6 +276,14 @@ budget AS (SELECT query_id, rank, id, score, n_tokens, true AS kept, n_tokens AS
 }
 
 
+BODY |= {
+    "recon_greedy": "SELECT * FROM claimed",
+    "recon_shared_groups": "SELECT * FROM lumped",
+    "recon_run": """SELECT id AS instance_id, CASE WHEN match_type IS NULL THEN 'unmatched' WHEN grouped THEN 'shared' WHEN amount_changed THEN 'needs_review' ELSE match_type END AS outcome, transaction_id, score, amount_changed, age_days,
+  match_type IS NULL AND age_days > 7 AS past_grace, CASE WHEN outcome = 'auto' THEN 'paid' WHEN match_type IS NULL AND age_days > 7 AND state = 'expected' THEN 'needs_review' ELSE state END AS status FROM judged""",
+}
+
+
 def sql() -> dict:
     from . import rosters
 

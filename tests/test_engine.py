@@ -95,7 +95,7 @@ def test_claims_equal_one_by_one(spark):
         if r["match_type"] != "below_threshold":
             taken.add(r["transaction_id"])
             want.add((r["instance_id"], r["transaction_id"]))
-    assert {(r["instance_id"], r["transaction_id"]) for r in reconcile.greedy(pairs, catalog.WIDE).collect()} == want
+    assert {(r["instance_id"], r["transaction_id"]) for r in reconcile.greedy(pairs).collect()} == want
 
 
 def test_shared_payment_needs_one_subset(spark):
