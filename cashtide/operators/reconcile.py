@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -221,12 +222,18 @@ def after_cancellation(cancelled: DataFrame, transactions: DataFrame, spoken_for
     """Charges that look like a cancelled obligation's last bill and came after it ended.
 
     `cancelled`: obligation_id, entity_id, name, direction, last_amount, cancelled_on. `spoken_for`: transaction_id.
-    The join is on entity and direction; dates, amounts and words filter the pairs."""
+    The tolerated interval becomes an equality: amounts fall into bands that widen in proportion, and a bill is listed under each
+    band that its interval meets, so the join is on entity, direction and band. Dates, amounts and words filter the pairs."""
+    width = math.log(1 + max(0.05, 2 * float(opts.amount_pct)))
+    band = lambda amount: F.floor(F.ln(F.greatest(amount.cast("double"), F.lit(1.0))) / width)
+    near = _tolerance(F.col("last_amount"), opts.amount_abs, opts.amount_pct)
+    last = F.col("last_amount")
+    bills = cancelled.where(last.isNotNull()).withColumns({"words": text.tokens(F.col("name")), "band": F.explode(F.sequence(band(last - near), band(last + near)))})
     txn = transactions.select(
         F.col("id").alias("transaction_id"), F.col("account_id").alias("entity_id"), "posted", F.abs("amount").alias("observed"),
         F.when(F.col("amount") < 0, "outflow").otherwise("inflow").alias("direction"), text.tokens(F.concat_ws(" ", "payee", "description")).alias("said"),
-    ).join(spoken_for.select("transaction_id"), "transaction_id", "left_anti")
-    pairs = cancelled.withColumn("words", text.tokens(F.col("name"))).join(txn, ["entity_id", "direction"])
+    ).join(spoken_for.select("transaction_id"), "transaction_id", "left_anti").withColumn("band", band(F.col("observed")))
+    pairs = bills.join(txn, ["entity_id", "direction", "band"])
     return pairs.where(
         (F.col("posted") > F.col("cancelled_on"))
         & (F.abs(F.col("observed") - F.col("last_amount")) <= _tolerance(F.col("last_amount"), opts.amount_abs, opts.amount_pct))
