@@ -112,21 +112,51 @@ def cycles(statements: DataFrame) -> DataFrame:
     return statements.select("target", F.col("id").alias("cycle_id"), F.date_add(F.lag("closes").over(order), 1).alias("opens"), "closes")
 
 
+def placed(inputs: DataFrame, statements: DataFrame) -> DataFrame:
+    """Statements (target, closes, id) and inputs (id, target, due_date, amount) in one table, each with `cycle`, the first that closes
+    on or after its date, or null: target, at, order (0: input, 1: statement), input_id, amount, cycle.
+
+    Both sides are laid in one ordered list per target and the next close is looked up by a window, so there is
+    no range join: one shuffle by target, linear in the rows."""
+    none = F.lit(None)
+    marks = statements.select("target", F.col("closes").alias("at"), F.lit(1).alias("order"), F.col("id").alias("cycle_id"), none.cast("long").alias("input_id"), none.cast("decimal(18,2)").alias("amount"))
+    lines = inputs.where("target is not null").select("target", F.col("due_date").alias("at"), F.lit(0).alias("order"), none.cast("long").alias("cycle_id"), F.col("id").alias("input_id"), "amount")
+    onward = Window.partitionBy("target").orderBy("at", "order", "cycle_id").rowsBetween(0, Window.unboundedFollowing)
+    return marks.unionByName(lines).withColumn("cycle", F.first("cycle_id", ignorenulls=True).over(onward)).drop("cycle_id")
+
+
 def rollup(inputs: DataFrame, statements: DataFrame) -> DataFrame:
     """cycle_id, n_inputs, input_sum per cycle, and a row with a null cycle_id per target for unrolled inputs.
 
-    `inputs`: id, target, due_date, amount. An input belongs to the first cycle that closes on or after its due
-    date. Both sides are laid in one ordered list per target and the next close is looked up by a window, so
-    there is no range join: one shuffle by target, linear in the rows."""
-    marks = statements.select("target", F.col("closes").alias("at"), F.lit(1).alias("order"), F.col("id").alias("cycle_id"), F.lit(None).cast("decimal(18,2)").alias("amount"))
-    lines = inputs.where("target is not null").select("target", F.col("due_date").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("long").alias("cycle_id"), "amount")
-    onward = Window.partitionBy("target").orderBy("at", "order", "cycle_id").rowsBetween(0, Window.unboundedFollowing)
-    placed = marks.unionByName(lines).withColumn("cycle", F.first("cycle_id", ignorenulls=True).over(onward))
-    return placed.groupBy("target", F.col("cycle").alias("cycle_id")).agg(
+    `inputs`: id, target, due_date, amount. An input belongs to the first cycle that closes on or after its due date."""
+    return placed(inputs, statements).groupBy("target", F.col("cycle").alias("cycle_id")).agg(
         F.count_if(F.col("order") == 0).alias("n_inputs"), F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(18,2)").alias("input_sum")
     )
 
 
+def statement_status(cycles: DataFrame, sums: DataFrame, statements: DataFrame, as_of: str) -> DataFrame:
+    """Per target: the last closed statement (closed_id, closed_amount, closed_state), the open cycle (open_id, opens, closes, spend,
+    n_inputs, modeled), variance (modeled less spend) and on_track.
+
+    `cycles`: target, cycle_id, opens, closes; `sums`: target, cycle_id, n_inputs, input_sum; `statements`: id, amount, amount_status.
+    A cycle is ahead if no more is spent than the share of its days gone by times the modeled amount, else behind; null
+    without an opening date, days or a modeled amount other than 0."""
+    day = F.lit(as_of).cast("date")
+    amounts = statements.select(F.col("id").alias("cycle_id"), F.col("amount").alias("modeled"), F.col("amount_status").alias("state"))
+    spent = sums.where("cycle_id is not null").select("cycle_id", "n_inputs", F.col("input_sum").alias("spend"))
+    rows = cycles.join(spent, "cycle_id", "left").join(amounts, "cycle_id", "left")
+    row = F.struct("closes", "cycle_id", "opens", "spend", "n_inputs", "modeled", "state")
+    both = rows.groupBy("target").agg(F.max(F.when(F.col("closes") <= day, row)).alias("c"), F.min(F.when(F.col("closes") > day, row)).alias("o"))
+    days = F.datediff("o.closes", "o.opens")
+    gone = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.datediff(day, "o.opens") / days))
+    ahead = F.col("o.spend").cast("double") <= F.col("o.modeled").cast("double") * gone
+    return both.select(
+        "target", F.col("c.cycle_id").alias("closed_id"), F.col("c.modeled").alias("closed_amount"), F.col("c.state").alias("closed_state"), F.col("o.cycle_id").alias("open_id"), "o.opens", "o.closes", "o.spend", "o.n_inputs", "o.modeled",
+        (F.col("o.modeled") - F.col("o.spend")).cast("decimal(18,2)").alias("variance"),
+        F.when((F.col("o.modeled") != 0) & F.col("o.spend").isNotNull() & (days > 0), F.when(ahead, "ahead").otherwise("behind")).alias("on_track"),
+    )
+
+
 def duplicate_instances(instances: DataFrame) -> DataFrame:
     """obligation_id, due_date, n of pairs that occur more than once."""
     return instances.groupBy("obligation_id", "due_date").agg(F.count("*").alias("n")).where("n > 1")

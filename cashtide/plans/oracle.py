@@ -285,6 +285,6 @@ BODY |= {
 
 
 def sql() -> dict:
-    from . import rosters
+    from . import listings, rosters
 
-    return {k: f"WITH RECURSIVE {BASE}{',' + STEPS[k] if k in STEPS else ''}\n{body}" for k, body in (BODY | rosters.SQL).items()}
+    return {k: f"WITH RECURSIVE {BASE}{',' + STEPS[k] if k in STEPS else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL).items()}
