@@ -28,6 +28,11 @@ CATEGORY_RULES = (
 )
 #: Words too generic to tell merchants apart.
 STOP_TOKENS = ("the", "inc", "llc", "co", "card", "payment", "web", "online", "bill", "autopay", "ppd", "id", "pos", "purchase", "estimate", "estimates")
+#: Words that tell nothing when two lists of labels are compared.
+LABEL_STOP_TOKENS = (
+    "pay", "payment", "the", "for", "and", "via", "from", "into", "due", "est", "estimate", "bill", "charge", "charges", "fee", "fees", "to", "of", "on", "tax", "taxes", "premium", "insurance",
+    "subscription", "utility", "utilities", "rent", "mortgage", "loan", "credit", "debit", "service", "interest", "deposit", "statement", "monthly", "annual", "account", "balance", "minimum", "recurring",
+)
 #: Words of usage-based bills, and marks of money moved between own accounts.
 USAGE_KEYWORDS = (
     "energy", "electric", "eversource", "gault", "aquarion", "gas", "water", "heating", "fuel", "oil", "propane", "utility", "kwh", "power", "pseg", "coned", "grid", "hvac",
@@ -66,10 +71,10 @@ def slug(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def tokens(c: Column) -> Column:
+def tokens(c: Column, stop: tuple[str, ...] = STOP_TOKENS) -> Column:
     """Distinct words of three characters or more that are neither numbers nor stop words."""
     words = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_TOKENS) & ~w.rlike("^[0-9]+$")))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop) & ~w.rlike("^[0-9]+$")))
 
 
 def similarity(a: Column, b: Column) -> Column:

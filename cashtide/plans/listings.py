@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, lists, reconcile
+from ..operators import findings, lists, parity, reconcile
 from ..sources import adapters
 
 DAY = "1998-06-30"
@@ -68,13 +68,45 @@ def closure_dates(spark, d):
     return lists.closures(_facts(spark, d), "1996-01-01", "1997-12-31")
 
 
-ALL = (statement_status, statement_list, list_matched, list_unmatched, recently_cleared, list_drift, list_calendar_facts, closure_dates)
+def list_parity(spark, d):
+    """A second list made from the first by rule, alike in the SQL: other amounts, dates, labels and directions of some rows."""
+    i, k = adapters.instances(spark, d), F.col("id")
+    name = F.concat(F.lit("Brand "), F.element_at(F.split("obligation_id", ":"), 2))
+    new = i.select("id", "entity_id", "direction", "due_date", "amount", name.alias("name"))
+    raised = F.when(k % 5 == 0, F.round(F.col("amount") * F.lit("1.20").cast("decimal(3,2)"), 2)).otherwise(F.col("amount")).cast(adapters.MONEY)
+    moved = F.when(k % 7 == 0, F.date_add("due_date", 12)).otherwise(F.col("due_date"))
+    old = new.select("id", "entity_id", F.when(k % 13 == 0, "inflow").otherwise(F.col("direction")).alias("direction"), moved.alias("on_date"), raised.alias("amount"), F.when(k % 11 == 0, "Other").otherwise(F.col("name")).alias("label"))
+    return parity.compare(old, new).select("old_id", "new_id", "kind", "severity", "amount_delta", "date_delta")
+
+
+ALL = (list_parity, statement_status, statement_list, list_matched, list_unmatched, recently_cleared, list_drift, list_calendar_facts, closure_dates)
 
 _CYCLES = "(SELECT entity_id AS target, id AS cycle_id, lag(due_date) OVER (PARTITION BY entity_id ORDER BY due_date, id) + 1 AS opens, due_date AS closes, amount AS modeled FROM inst WHERE confidence = 'very_low')"
 _PLACED = """(SELECT i.id, i.due_date, any_value(i.amount) AS amount, arg_min(s.id, (s.due_date, s.id)) AS cycle_id FROM inst i JOIN (SELECT * FROM inst WHERE confidence = 'very_low') s ON s.entity_id = i.entity_id AND s.due_date >= i.due_date
   WHERE i.direction = 'outflow' AND i.confidence <> 'very_low' GROUP BY i.id, i.due_date)"""
 _FACTS = "(SELECT id, CASE confidence WHEN 'high' THEN 'business_closure' WHEN 'low' THEN 'income_pay_date' ELSE 'note' END AS fact_type, due_date AS fact_date, CASE status WHEN 'paid' THEN 'active' ELSE 'retired' END AS status, entity_id AS related_entity_id FROM inst)"
+#: One step of a recursion per row of the second list: claims in order, then unique rows of the same amount.
+PARITY = """
+new AS (SELECT id, entity_id, direction, due_date, amount, words FROM words_i),
+old AS (SELECT id, entity_id, CASE WHEN id % 13 = 0 THEN 'inflow' ELSE direction END AS direction, CASE WHEN id % 7 = 0 THEN due_date + 12 ELSE due_date END AS due_date,
+  (CASE WHEN id % 5 = 0 THEN round(amount * 1.20, 2) ELSE amount END)::DECIMAL(18,2) AS amount, CASE WHEN id % 11 = 0 THEN ['other'] ELSE words END AS words FROM words_i),
+met AS (SELECT * FROM (SELECT o.id AS o, n.id AS n, CASE WHEN close AND days <= 7 THEN 'matched' WHEN days <= 7 THEN 'amount_changed' WHEN close AND days <= 31 THEN 'date_changed' END AS kind FROM
+  (SELECT o, n, abs(n.due_date - o.due_date) AS days, abs(o.amount - n.amount) <= greatest(5.00, greatest(o.amount, n.amount) * 0.05) AS close FROM old o JOIN new n ON o.entity_id = n.entity_id AND o.direction = n.direction AND list_has_any(o.words, n.words))) WHERE kind IS NOT NULL),
+turns AS (SELECT old.id, entity_id, direction, l, row_number() OVER (PARTITION BY entity_id, direction ORDER BY old.id) AS k FROM old JOIN (SELECT o, list({'n': n, 'kind': kind} ORDER BY kind <> 'matched', n) AS l FROM met GROUP BY o) ON o = old.id),
+first AS (SELECT DISTINCT entity_id, direction, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS id, {'n': 0::BIGINT, 'kind': ''::VARCHAR} AS c FROM turns UNION ALL
+  SELECT entity_id, direction, k, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f.n) END, id, f FROM (SELECT t.entity_id, t.direction, t.k, t.id, s.taken, list_filter(t.l, lambda e: NOT list_contains(s.taken, e.n))[1] AS f
+    FROM first s JOIN turns t ON t.entity_id = s.entity_id AND t.direction = s.direction AND t.k = s.k + 1)),
+named AS (SELECT id AS o, c.n AS n, c.kind AS kind FROM first WHERE k > 0 AND c.n IS NOT NULL),
+same AS (SELECT *, row_number() OVER (PARTITION BY entity_id, direction ORDER BY id) AS k FROM (SELECT o.id, o.entity_id, o.direction, list(n.id) AS l FROM old o JOIN new n ON o.entity_id = n.entity_id AND o.direction = n.direction AND o.amount = n.amount
+  AND abs(n.due_date - o.due_date) <= 2 WHERE o.id NOT IN (SELECT o FROM named) AND n.id NOT IN (SELECT n FROM named) GROUP BY ALL)),
+second AS (SELECT DISTINCT entity_id, direction, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS id, NULL::BIGINT AS n FROM same UNION ALL
+  SELECT entity_id, direction, k, CASE WHEN len(f) = 1 THEN list_concat(taken, f) ELSE taken END, id, CASE WHEN len(f) = 1 THEN f[1] END FROM (SELECT t.entity_id, t.direction, t.k, t.id, s.taken, list_filter(t.l, lambda e: NOT list_contains(s.taken, e)) AS f
+    FROM second s JOIN same t ON t.entity_id = s.entity_id AND t.direction = s.direction AND t.k = s.k + 1)),
+bound AS (SELECT * FROM named UNION ALL SELECT id, n, 'renamed' FROM second WHERE n IS NOT NULL)"""
 SQL = {
+    "list_parity": """SELECT o.id AS old_id, n.id AS new_id, coalesce(b.kind, CASE WHEN o.id IS NULL THEN 'extra' ELSE 'missing' END) AS kind, CASE WHEN o.id IS NULL THEN 'low' WHEN n.id IS NULL THEN 'medium' WHEN b.kind = 'date_changed' THEN 'low'
+  WHEN b.kind = 'amount_changed' THEN CASE WHEN abs(n.amount - o.amount) >= 50 THEN 'medium' ELSE 'low' END END AS severity, (n.amount - o.amount)::DOUBLE AS amount_delta, (n.due_date - o.due_date)::BIGINT AS date_delta
+  FROM old o LEFT JOIN bound b ON b.o = o.id FULL JOIN new n ON n.id = b.n""",
     "statement_status": f"""SELECT t.target, c.cycle_id AS closed_id, c.modeled::DOUBLE AS closed_amount, CASE WHEN c.cycle_id IS NOT NULL THEN 'estimated' END AS closed_state, o.cycle_id AS open_id, o.opens::VARCHAR AS opens, o.closes::VARCHAR AS closes,
   o.spend::DOUBLE AS spend, o.n_inputs, o.modeled::DOUBLE AS modeled, (o.modeled - o.spend)::DOUBLE AS variance,
   CASE WHEN o.modeled <> 0 AND o.closes > o.opens THEN CASE WHEN o.spend::DOUBLE <= o.modeled::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (DATE '1996-06-30' - o.opens)::DOUBLE / (o.closes - o.opens))) THEN 'ahead' ELSE 'behind' END END AS on_track

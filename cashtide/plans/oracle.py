@@ -287,4 +287,5 @@ BODY |= {
 def sql() -> dict:
     from . import listings, rosters
 
-    return {k: f"WITH RECURSIVE {BASE}{',' + STEPS[k] if k in STEPS else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL).items()}
+    steps = STEPS | {"list_parity": listings.PARITY}
+    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL).items()}
