@@ -62,14 +62,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cashtide-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it again: cuts the lineage, survives lost executors."""
+def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes `df` to a folder of shared_dir, the given one or a new one, and reads it again: cuts the lineage, survives
+    lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = folder or shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that saved() wrote, once nothing will read it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Size of the set of `likely`: 4 MB.
 BITS = 1 << 25
 

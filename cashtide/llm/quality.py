@@ -28,37 +28,39 @@ BITS, SHARDS = 1 << 27, 4
 #: Threshold: this quantile of the trusted documents' scores of a language, times this slack; characters of
 #: average text that a document is mixed with, so that very short ones are judged mildly.
 QUANTILE, SLACK, PRIOR_CHARS = 0.995, 1.01, 100
+#: The quantile's rank is found to within one part in RANKS of the trusted documents, in bounded memory.
+RANKS = 10_000
 OTHER = "other"
 #: Languages up to which their means and thresholds are broadcast; more are joined.
 FEW_LANGUAGES = 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def codes(text: str) -> np.ndarray:
+def codes(text: str, order: int = ORDER) -> np.ndarray:
     """Code points of the marked text; control characters but line ends are blanks."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
     c[(c < 32) & (c != 10)] = 32
-    return np.concatenate((np.full(ORDER, ord(START), np.uint32), c, np.array([ord(END)], np.uint32)))
+    return np.concatenate((np.full(order, ord(START), np.uint32), c, np.array([ord(END)], np.uint32)))
 
 
-def pieces(c: np.ndarray) -> Iterator[np.ndarray]:
+def pieces(c: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
     """Overlapping slices: each place from the last START on is the end of n-grams in exactly one of them, behind
-    ORDER - 1 places that are context alone."""
-    for at in range(ORDER - 1, len(c), CHUNK):
-        yield c[at - ORDER + 1 : at + CHUNK]
+    order - 1 places that are context alone."""
+    for at in range(order - 1, len(c), CHUNK):
+        yield c[at - order + 1 : at + CHUNK]
 
 
-def hashes(c: np.ndarray) -> Iterator[np.ndarray]:
+def hashes(c: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
     """For each order from 1: the 64-bit hashes of the n-grams that end at each place (the first ones are void)."""
     h = np.zeros(len(c), np.uint64)
     one = c.astype(np.uint64) + np.uint64(1)
-    for k in range(ORDER):
+    for k in range(order):
         h = (np.concatenate((h[:1], h[:-1])) if k else h) * _A + one
         h = (h ^ (h >> np.uint64(32))) * _B
         yield h ^ (h >> np.uint64(29))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]], pa.RecordBatch | None]]:
+def _chunks(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]], pa.RecordBatch | None]]:
     """(codes, [(row of the batch, first place, past the last place)], batch): texts put together up to CHUNK."""
     for b in batches:
         held, spans, size = [], [], 0
@@ -66,37 +68,37 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
             t = text.as_py()
             if not t:
                 continue
-            for piece in pieces(codes(t)):
+            for piece in pieces(codes(t, order), order):
                 if held and size + len(piece) > CHUNK:
                     yield np.concatenate(held), spans, b
                     held, spans, size = [], [], 0
                 held.append(piece)
-                spans.append((row, size + ORDER - 1, size + len(piece)))
+                spans.append((row, size + order - 1, size + len(piece)))
                 size += len(piece)
         if held:
             yield np.concatenate(held), spans, b
 
 
-def counts(texts: DataFrame) -> DataFrame:
+def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, n): how often each n-gram of the highest order occurs in all of `texts`, summed within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, spans, _ in _chunks(batches):
-            *_, h = hashes(c)
+        for c, spans, _ in _chunks(batches, order):
+            *_, h = hashes(c, order)
             ends = np.concatenate([np.arange(a, b) for _, a, b in spans])
             _, at, n = np.unique(h[ends], return_index=True, return_counts=True)
             last = ends[at]
-            window = np.ascontiguousarray(c[last[:, None] + np.arange(1 - ORDER, 1)]).astype("<u4")
-            yield pa.RecordBatch.from_pydict({"g": pa.array(window.view(f"<U{ORDER}").ravel().tolist(), pa.string()), "n": pa.array(n)})
+            window = np.ascontiguousarray(c[last[:, None] + np.arange(1 - order, 1)]).astype("<u4")
+            yield pa.RecordBatch.from_pydict({"g": pa.array(window.view(f"<U{order}").ravel().tolist(), pa.string()), "n": pa.array(n)})
 
-    return texts.select("text").mapInArrow(run, "g string, n long").where(F.col("g") != START * ORDER).groupBy("g").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "g string, n long").where(F.col("g") != START * order).groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def levels(texts: DataFrame) -> dict[int, DataFrame]:
+def levels(texts: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
     """By order: (g, n, raw), n being the count at the highest order and below it the number of different characters
     before g, and raw the count at every order. Each level is counted from the one above."""
-    out = {ORDER: saved(counts(texts).withColumn("raw", F.col("n")))}
-    for k in range(ORDER - 1, 0, -1):
+    out = {order: saved(counts(texts, order).withColumn("raw", F.col("n")))}
+    for k in range(order - 1, 0, -1):
         out[k] = saved(out[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n"), F.sum("raw").alias("raw")))
     return out
 
@@ -146,8 +148,13 @@ def probabilities(by_order: dict[int, DataFrame]) -> tuple[DataFrame, float]:
 def values(texts: DataFrame) -> tuple[DataFrame, float]:
     """(h, v, raw) by hash of n-gram, of all orders: what it adds to a text's log probability wherever it ends, and how
     often the trusted texts have it; and the log probability of a character never seen."""
-    parts, base = probabilities(levels(texts))
-    table = parts.groupBy("g").agg(F.sum("v").alias("v"), F.max("raw").alias("raw"))
+    return hashed(*probabilities(levels(texts)))
+
+
+def hashed(parts: DataFrame, base: float, order: int = ORDER) -> tuple[DataFrame, float]:
+    """The values of `parts` (g, v, raw), summed by n-gram and keyed by its hash. Values are rounded to 32-bit floats
+    here, once, so that it does not matter which of them a task later holds and which it asks for."""
+    table = parts.groupBy("g").agg(F.sum("v").cast("float").cast("double").alias("v"), F.max("raw").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,21 +163,21 @@ def values(texts: DataFrame) -> tuple[DataFrame, float]:
             for k in {len(g) for g in grams}:
                 at = [i for i, g in enumerate(grams) if len(g) == k]
                 c = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "surrogatepass"), "<u4")
-                for order, x in enumerate(hashes(c), 1):
-                    if order == k:
+                for n, x in enumerate(hashes(c, order), 1):
+                    if n == k:
                         h[at] = x[k - 1 :: k]
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "v": b.column("v"), "raw": b.column("raw")})
 
     return saved(table.mapInArrow(run, "h long, v double, raw long")), base
 
 
-def hot_table(spark: SparkSession, model: DataFrame, hot: int):
-    """The values of the `hot` most frequent n-grams by cell, broadcast: keys and values of CELLS cells, whatever the
+def hot_table(spark: SparkSession, model: DataFrame, hot: int, cells: int = CELLS):
+    """The values of the `hot` most frequent n-grams by cell, broadcast: keys and values of `cells` cells, whatever the
     corpus. Of two in one cell the more frequent one stays; the other is left to the shards."""
     rows = model.orderBy(F.desc("raw"), "h").limit(hot).select("h", "v").toArrow()
     h, v = rows["h"].to_numpy()[::-1].view(np.uint64), rows["v"].to_numpy()[::-1]
-    keys, vs = np.zeros(CELLS, np.uint64), np.zeros(CELLS, np.float32)
-    cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
+    keys, vs = np.zeros(cells, np.uint64), np.zeros(cells, np.float32)
+    cell = (h & np.uint64(cells - 1)).astype(np.int64)
     keys[cell], vs[cell] = h, v
     return spark.sparkContext.broadcast((keys, vs))
 
@@ -178,14 +185,14 @@ def hot_table(spark: SparkSession, model: DataFrame, hot: int):
 SCAN = "flush long, idx int, doc_id long, lang string, n_scored long, ln_p double, shard int, keys binary, docs binary"
 
 
-def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT) -> DataFrame:
+def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order: int = ORDER, cells: int = CELLS) -> DataFrame:
     """(doc_id, lang, n_scored, nll): characters (and the end) and negative log likelihood of every whole text.
 
     Each task sums what the frequent n-grams add, and leaves out those that the model surely lacks. The rest goes to
     shards by hash, as n-grams and numbers of documents; each shard joins them with its part of the model and sends
     back a sum for each document. A frequent n-gram, wherever it is frequent, never travels."""
     spark = docs.sparkSession
-    shared, known = hot_table(spark, model, hot), spark.sparkContext.broadcast(bit_set(model, F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(BITS - 1)), BITS))
+    shared, known = hot_table(spark, model, hot, cells), spark.sparkContext.broadcast(bit_set(model, F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(BITS - 1)), BITS))
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in SCAN.split(", "))])
@@ -232,7 +239,7 @@ def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT) -> Da
                 yield b
 
         first, at = 0, None
-        for c, spans, b in _chunks(started()):
+        for c, spans, b in _chunks(started(), order):
             if b is not at:
                 if at is not None and first + at.num_rows >= DOCS:
                     # the new batch's documents are entered already; they are the first ones of the next flush
@@ -242,8 +249,8 @@ def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT) -> Da
             ends = np.concatenate([np.arange(x, y) for _, x, y in spans])
             owner = np.repeat(np.array([first + r for r, _, _ in spans], np.int32), [y - x for _, x, y in spans])
             total = np.zeros(len(c))
-            for h in hashes(c):
-                cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
+            for h in hashes(c, order):
+                cell = (h & np.uint64(cells - 1)).astype(np.int64)
                 mine = keys[cell] == h
                 total += np.where(mine, vs[cell], 0)
                 rare = ~mine[ends]
@@ -310,7 +317,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
 
     `trusted` holds the doc_ids (one column) of text to learn from; all of it is used. The perplexity is per
     character, mixed with PRIOR_CHARS characters of the language's mean. The threshold is the language's own
-    quantile among trusted documents, times `slack`; a language without trusted documents takes the overall one.
+    quantile among trusted documents (its rank to within 1 / RANKS of them, which may differ with the splitting of the
+    input), times `slack`; a language without trusted documents takes the overall one.
     Null and empty texts get no perplexity and are not kept, also where all texts of a language are such. Null
     languages form one group. Repeated rows are scored as rows of their own. An untrained model keeps every text.
     Extra columns are ignored.
@@ -326,7 +334,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
         )
     )
     good = each.join(ids, "doc_id", "left_semi")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * slack
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(RANKS)) * slack
     overall = good.agg(at.alias("overall")).head()["overall"]
     return (
         _per_language(each, good.groupBy("lang").agg(at.alias("own")), "left")

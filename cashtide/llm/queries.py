@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddup, jaccard, langid, licenses, mixing, packing, pii, quality, topk
+from . import chat, embeddup, jaccard, langid, licenses, mixing, packing, pii, pitman, quality, repair, topk, vectorcodes
+from .newer_sql import CODES_SQL, REPAIR_SQL
 from .common import table
 
 
@@ -70,6 +71,18 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman.score(table(spark, sf_dir, "documents"), pitman.every_seventh(F.col("doc_id")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = (
         op1_license_scan,
@@ -82,6 +95,9 @@ def queries() -> dict:
         op8_packing,
         op9_jaccard_join,
         op10_embedding_near_dedup,
+        op11_conversation_repair,
+        op12_lm_scoring,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -147,4 +163,4 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_topk": _TOPK_SQL, "op1_license_scan": _license_sql(), "op4_chat_formatting": _CHAT_SQL, "op5_mixing": _MIX_SQL}
+    return {"op3_exact_topk": _TOPK_SQL, "op1_license_scan": _license_sql(), "op4_chat_formatting": _CHAT_SQL, "op5_mixing": _MIX_SQL, "op11_conversation_repair": REPAIR_SQL, "op13_vector_codes": CODES_SQL}
