@@ -1,8 +1,9 @@
 """Language-model scores under a hierarchical Pitman-Yor model of characters, beside a smoothed word baseline.
 
 Each context of up to ORDER - 1 characters is a restaurant, and the context without its first character is its parent:
-the tables of a restaurant are customers of the parent. Seating is sampled by Gibbs sweeps over tables of n-grams that
-are joined and grouped level by level; no restaurant is gathered in one task."""
+the tables of a restaurant are customers of the parent. Seating is sampled by Gibbs sweeps. Restaurants of TOP or more
+characters are sampled together with those that end in the same TOP characters, since these are all their parents down
+to there; the shorter ones, few, are tables that are joined and grouped level by level."""
 
 from __future__ import annotations
 
@@ -16,10 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, BLANKS, ascii_lower, saved, split_words
-from .quality import hashed, levels, scored
+from .quality import START, _chunks, hashed, hashes, scored
 
 #: Characters of the longest n-grams; the most frequent n-grams that every task knows, and the cells that hold them.
 ORDER, HOT, CELLS = 6, 1 << 20, 1 << 22
+#: Characters that the restaurants sampled together end in; discounts of the orders above TOP (from counts of counts of
+#: such texts; those of the lower orders are estimated); the probability of a character that the first sweep takes there.
+TOP, DISCOUNTS, FLAT = 3, {4: 0.55, 5: 0.65, 6: 0.75}, 1 / 64
+#: Different n-grams that a task holds while it counts, and n-grams sampled at a time at least.
+COUNTED, TOGETHER = 1 << 20, 1 << 17
 #: Sweeps of the sampler, and how many of the first ones are not averaged; concentration of every restaurant.
 SWEEPS, BURN, CONCENTRATION = 3, 1, 1.0
 #: Customers of one dish whose seating is drawn exactly; cells of a draw's table held at once.
@@ -102,11 +108,137 @@ def predictive(seated: dict[int, DataFrame], discounts: dict[int, float], streng
     return out
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(g, n): how often each n-gram of order ORDER occurs in all of `texts`, summed within each task first, dealt by the
+    TOP characters before the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, at, back = np.unique(h, return_index=True, return_inverse=True)
+            return u, w[at], np.bincount(back, n).astype(np.int64)
+
+        def sent() -> pa.RecordBatch:
+            _, w, n = merged()
+            held.clear()
+            return pa.RecordBatch.from_pydict({"g": pa.array(w.view(f"<U{ORDER}").ravel().tolist(), pa.string()), "n": pa.array(n)})
+
+        for c, spans, _ in _chunks(batches, ORDER):
+            *_, h = hashes(c, ORDER)
+            ends = np.concatenate([np.arange(a, b) for _, a, b in spans])
+            u, at, n = np.unique(h[ends], return_index=True, return_counts=True)
+            held.append((u, np.ascontiguousarray(c[ends[at][:, None] + np.arange(1 - ORDER, 1)]).astype("<u4"), n))
+            if sum(len(x[0]) for x in held) > 2 * COUNTED:
+                held[:] = [merged()]
+                if len(held[0][0]) > COUNTED:
+                    yield sent()
+        if held:
+            yield sent()
+
+    rows = texts.select("text").mapInArrow(run, "g string, n long").where(F.col("g") != START * ORDER)
+    return saved(rows.repartition(_ending()).groupBy(_ending().alias("k"), "g").agg(F.sum("n").alias("n")).select("g", "n"))
+
+
+def _ending() -> Column:
+    return F.substring("g", ORDER - TOP, TOP)
+
+
+def _uniform(codes: np.ndarray, sweep: int) -> np.ndarray:
+    """A number in (0, 1) for each n-gram (a row of code points) and sweep, the same on every run."""
+    h = np.full(len(codes), 0x9E3779B97F4A7C15 + 2 * sweep, np.uint64)
+    for k in range(codes.shape[1]):
+        h = (h ^ codes[:, k].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(31)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def together(grams: np.ndarray, n: np.ndarray, parent: np.ndarray, sweeps: int, burn: int, strength: float = CONCENTRATION):
+    """Samples the restaurants of TOP and more characters of n-grams (texts of ORDER characters) that include all those
+    with the same ending. `parent` is the probability of each one's last TOP characters.
+
+    Returns by order {k: (codes, raw, tables, average probability, parent's average, number of its context)} of the
+    orders above TOP. A sweep draws longest n-grams first, given the probabilities of the sweep before."""
+    levels: dict[int, dict] = {}
+    codes, raw, below = grams.view("<u4").reshape(-1, ORDER), n, None
+    for k in range(ORDER, TOP, -1):
+        if k < ORDER:
+            _, at, to = np.unique(np.ascontiguousarray(codes[:, 1:]).view(f"<U{k}").ravel(), return_index=True, return_inverse=True)
+            below["to"] = to
+            codes, raw, parent = np.ascontiguousarray(codes[at, 1:]), np.bincount(to, raw).astype(np.int64), parent[at]
+        _, of = np.unique(np.ascontiguousarray(codes[:, : k - 1]).view(f"<U{k - 1}").ravel(), return_inverse=True)
+        below = levels[k] = {"codes": codes, "raw": raw, "of": of, "t": np.ones(len(raw), np.int64), "sum": 0.0, "logs": stirling(DISCOUNTS[k])}
+    levels[TOP + 1]["up"] = parent
+
+    def customers(k: int) -> np.ndarray:
+        return n if k == ORDER else np.bincount(levels[k + 1]["to"], levels[k + 1]["t"], len(levels[k]["raw"])).astype(np.int64)
+
+    def probabilities() -> None:
+        for k in range(TOP + 1, ORDER + 1):
+            x, d = levels[k], DISCOUNTS[k]
+            c = customers(k)
+            if k > TOP + 1:
+                x["up"] = levels[k - 1]["p"][x["to"]]
+            tables = np.bincount(x["of"], x["t"])[x["of"]]
+            x["others"] = tables - x["t"]
+            x["p"] = (c - d * x["t"] + (strength + d * tables) * x["up"]) / (strength + np.bincount(x["of"], c)[x["of"]])
+
+    probabilities()
+    for sweep in range(sweeps):
+        for k in range(ORDER, TOP, -1):
+            x = levels[k]
+            x["t"] = tables_drawn(customers(k), x["others"], x["up"], _uniform(x["codes"], sweep), DISCOUNTS[k], strength, x["logs"])
+        probabilities()
+        for x in levels.values():
+            x["sum"] = x["sum"] + x["p"] * (sweep >= burn) / (sweeps - burn)
+    less = {k: levels[k]["up"] if k == TOP + 1 else levels[k - 1]["sum"][levels[k]["to"]] for k in levels}
+    return {k: (x["codes"], x["raw"], x["t"], x["sum"], less[k], x["of"]) for k, x in levels.items()}
+
+
+def _texts(codes: np.ndarray) -> list[str]:
+    return np.ascontiguousarray(codes).view(f"<U{codes.shape[1]}").ravel().tolist()
+
+
+def deep(rows: DataFrame, sweeps: int, burn: int, last: bool) -> DataFrame:
+    """From rows (g, n, p), p being the probability of the last TOP characters: (g, n, raw) of the customers sent to
+    restaurants of TOP - 1 characters, or, at the last pass, (g, v, raw) as in `parts` for the orders above TOP."""
+
+    def given(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = together(x, n, p, sweeps, burn)
+        if not last:
+            codes, raw, t, *_ = found[TOP + 1]
+            yield pa.RecordBatch.from_pydict({"g": pa.array(_texts(codes[:, 1:]), pa.string()), "n": pa.array(t), "raw": pa.array(raw)})
+            return
+        for k, (codes, raw, _, mean, less, of) in found.items():
+            back = np.log(np.maximum(1 - np.bincount(of, mean), 1e-12) / np.maximum(1 - np.bincount(of, less), 1e-12))
+            _, at = np.unique(of, return_index=True)
+            yield pa.RecordBatch.from_pydict({"g": pa.array(_texts(codes), pa.string()), "v": pa.array(np.log(mean) - back[of] - np.log(less)), "raw": pa.array(raw)})
+            yield pa.RecordBatch.from_pydict({"g": pa.array(_texts(codes[at, : k - 1]), pa.string()), "v": pa.array(back), "raw": pa.array(np.zeros(len(at), np.int64))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in batches:
+            held.append((np.array(b.column("g").to_pylist(), f"<U{ORDER}"), b.column("n").to_numpy(), b.column("p").to_numpy()))
+            if sum(len(x[0]) for x in held) >= TOGETHER:
+                g, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
+                ends = g.view("<u4").reshape(-1, ORDER)[:, ORDER - TOP - 1 : ORDER - 1]
+                cut = int(np.flatnonzero((ends != ends[-1]).any(axis=1))[-1]) + 1 if (ends != ends[-1]).any() else 0
+                if cut:
+                    yield from given(g[:cut].copy(), n[:cut], p[:cut])
+                held = [(g[cut:].copy(), n[cut:], p[cut:])]
+        if held:
+            yield from given(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.select("g", "n", "p").repartition(_ending()).sortWithinPartitions(_ending(), "g").mapInArrow(run, "g string, v double, raw long" if last else "g string, n long, raw long")
+
+
 def sampled(by_order: dict[int, DataFrame], sweeps: int = SWEEPS, burn: int = BURN, strength: float = CONCENTRATION) -> tuple[dict[int, DataFrame], float]:
     """By order (g, raw, p), the predictive probabilities of all n-grams averaged over the sweeps after `burn`; and the
-    averaged probability of a character never seen. A sweep seats every dish anew, longest contexts first, given the
-    other dishes and the parents' probabilities of the sweep before; then the probabilities follow, shortest first."""
-    d = {}
+    averaged probability of a character never seen. `by_order` has (g, n, raw) with n customers. A sweep seats every
+    dish anew, longest contexts first, given the other dishes and the parents' probabilities of the sweep before; then
+    the probabilities follow, shortest first."""
+    d, top = {}, max(by_order)
     for k, rows in by_order.items():
         got = {r["n"]: r["count"] for r in rows.where("n <= 2").groupBy("n").count().collect()}
         d[k] = min(max(got.get(1, 0) / max(got.get(1, 0) + 2 * got.get(2, 0), 1), 0.1), 0.9)
@@ -114,9 +246,9 @@ def sampled(by_order: dict[int, DataFrame], sweeps: int = SWEEPS, burn: int = BU
     kept: list[dict[int, DataFrame]] = []
     for sweep in range(sweeps):
         seated: dict[int, DataFrame] = {}
-        for k in range(ORDER, 0, -1):
+        for k in range(top, 0, -1):
             rows = state[k]
-            if k < ORDER:
+            if k < top:
                 sent = seated[k + 1].groupBy(F.substring("g", 2, k).alias("s")).agg(F.sum("t").alias("c"))
                 rows = rows.drop("c").join(sent, F.col("g") == F.col("s"))
             seated[k] = saved(reseated(rows, d[k], strength, sweep))
@@ -140,7 +272,7 @@ def parts(averaged: dict[int, DataFrame], unseen: float) -> tuple[DataFrame, flo
     that seen characters leave, over what the parent leaves beside the same characters."""
     base = math.log(unseen)
     all_parts = averaged[1].select("g", (F.log("p") - base).alias("v"), "raw")
-    for k in range(2, ORDER + 1):
+    for k in range(2, max(averaged) + 1):
         above = averaged[k - 1].select(F.col("g").alias("s"), F.col("p").alias("less"))
         rows = averaged[k].join(above, F.substring("g", 2, k - 1) == F.col("s")).withColumn("c", F.substring("g", 1, k - 1))
         of = rows.groupBy("c").agg(F.sum("p").alias("p"), F.sum("less").alias("less"))
@@ -151,6 +283,20 @@ def parts(averaged: dict[int, DataFrame], unseen: float) -> tuple[DataFrame, flo
     return all_parts, base
 
 
+def trained(texts: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[DataFrame, float]:
+    """(g, v, raw) of all orders and the log probability of a character never seen, from all of `texts`."""
+    rows = counted(texts)
+    sent = deep(rows.withColumn("p", F.lit(FLAT)), 1, 0, False).groupBy("g").agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"))
+    by_order = {TOP: saved(sent)}
+    for k in range(TOP - 1, 0, -1):
+        by_order[k] = saved(by_order[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n"), F.sum("raw").alias("raw")))
+    averaged, unseen = sampled(by_order, sweeps, burn)
+    above = averaged[TOP].select(F.col("g").alias("s"), "p")
+    rows = rows.join(above, F.substring("g", ORDER - TOP + 1, TOP) == F.col("s"))
+    low, base = parts(averaged, unseen)
+    return deep(rows, sweeps, burn, True).unionByName(low), base
+
+
 def joined_words(text: Column) -> Column:
     """The words of a text between single blanks, and the end of words."""
     return F.concat(F.regexp_replace(F.btrim(ascii_lower(text), F.lit(BLANKS)), BLANK_RUN, " "), F.lit(END_OF_WORDS))
@@ -207,8 +353,7 @@ def score(docs: DataFrame, held_out: Column, hot_words: int = HOT_WORDS, sweeps:
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     n, v = size["n"] + ends, size["v"] + (ends > 0)
     if ends:
-        found, unseen = sampled(levels(train.select(joined_words(F.col("text")).alias("text")), ORDER), sweeps, burn)
-        model, base = hashed(*parts(found, unseen), ORDER)
+        model, base = hashed(*trained(train.select(joined_words(F.col("text")).alias("text")), sweeps, burn), ORDER)
     else:
         model, base = docs.sparkSession.createDataFrame([], "h long, v double, raw long"), math.log(0.5)
     told = saved(scored(with_words(d, counts, hot_words), model, base, HOT, ORDER, CELLS).select(F.monotonically_increasing_id().alias("row"), F.split("lang", " ").alias("said"), "nll"))
