@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, BLANKS, ascii_lower, saved, split_words
-from .quality import START, _chunks, hashed, hashes, scored
+from .quality import START, _chunks, answered, hashed, hashes, scanned
 
 #: Characters of the longest n-grams; the most frequent n-grams that every task knows, and the cells that hold them.
 ORDER, HOT, CELLS = 6, 1 << 20, 1 << 22
@@ -31,7 +31,7 @@ SWEEPS, BURN, CONCENTRATION = 3, 1, 1.0
 #: Customers of one dish whose seating is drawn exactly; cells of a draw's table held at once.
 EXACT, HELD = 64, 1 << 20
 #: Words that every task knows, the most frequent ones; bytes of text split at a time.
-HOT_WORDS, SLICE = 1 << 17, 1 << 22
+HOT_WORDS, SLICE = 1 << 18, 1 << 22
 #: Ends the last word of a text: no word holds it.
 END_OF_WORDS = "\n"
 
@@ -123,6 +123,8 @@ def counted(texts: DataFrame) -> DataFrame:
         def sent() -> pa.RecordBatch:
             _, w, n = merged()
             held.clear()
+            order = np.argsort(w.view(f"<U{ORDER}").ravel())  # neighbours are alike: they pack better
+            w, n = w[order], n[order]
             return pa.RecordBatch.from_pydict({"g": pa.array(w.view(f"<U{ORDER}").ravel().tolist(), pa.string()), "n": pa.array(n)})
 
         for c, spans, _ in _chunks(batches, ORDER):
@@ -356,11 +358,14 @@ def score(docs: DataFrame, held_out: Column, hot_words: int = HOT_WORDS, sweeps:
         model, base = hashed(*trained(train.select(joined_words(F.col("text")).alias("text")), sweeps, burn), ORDER)
     else:
         model, base = docs.sparkSession.createDataFrame([], "h long, v double, raw long"), math.log(0.5)
-    told = saved(scored(with_words(d, counts, hot_words), model, base, HOT, ORDER, CELLS).select(F.monotonically_increasing_id().alias("row"), F.split("lang", " ").alias("said"), "nll"))
-    rare = told.select("row", F.explode(F.slice("said", 6, F.greatest(F.size("said") - 5, F.lit(0)))).alias("word")).where("word <> ''")
-    met = rare.groupBy("row", "word").agg(F.count("*").alias("k")).join(counts, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("extra"))
+    seen = scanned(with_words(d, counts, hot_words), model, base, HOT, ORDER, CELLS)
+    said = F.split("lang", " ")
+    rare = seen.where("shard is null").select("flush", "idx", F.explode(F.slice(said, 6, F.greatest(F.size(said) - 5, F.lit(0)))).alias("word")).where("word <> ''")
+    met = rare.groupBy("flush", "idx", "word").agg(F.count("*").alias("k")).join(counts, "word")
+    met = met.groupBy("flush", "idx").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("extra"))
+    told = answered(seen, model).withColumn("said", F.slice(said, 1, 5))
     tokens = F.col("said")[2].cast("long") + 1
-    return told.join(met, "row", "left").select(
+    return told.join(met, ["flush", "idx"], "left").select(
         F.when(F.col("said")[0] != "-", F.col("said")[0].cast("long")).alias("doc_id"),
         F.col("said")[1].cast("boolean").alias("held_out"),
         tokens.alias("n_tokens"),

@@ -185,15 +185,24 @@ def hot_table(spark: SparkSession, model: DataFrame, hot: int, cells: int = CELL
 SCAN = "flush long, idx int, doc_id long, lang string, n_scored long, ln_p double, shard int, keys binary, docs binary"
 
 
-def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order: int = ORDER, cells: int = CELLS) -> DataFrame:
-    """(doc_id, lang, n_scored, nll): characters (and the end) and negative log likelihood of every whole text.
+def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT) -> DataFrame:
+    """(doc_id, lang, n_scored, nll): characters (and the end) and negative log likelihood of every whole text."""
+    return answered(scanned(docs, model, base, hot), model).select("doc_id", "lang", "n_scored", "nll")
+
+
+def _shards(spark: SparkSession) -> int:
+    return SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scanned(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order: int = ORDER, cells: int = CELLS) -> DataFrame:
+    """Saved SCAN rows: one a document, with what its frequent n-grams add up to, and packed questions about the others.
 
     Each task sums what the frequent n-grams add, and leaves out those that the model surely lacks. The rest goes to
     shards by hash, as n-grams and numbers of documents; each shard joins them with its part of the model and sends
     back a sum for each document. A frequent n-gram, wherever it is frequent, never travels."""
     spark = docs.sparkSession
     shared, known = hot_table(spark, model, hot, cells), spark.sparkContext.broadcast(bit_set(model, F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(BITS - 1)), BITS))
-    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = _shards(spark)
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in SCAN.split(", "))])
 
@@ -270,7 +279,13 @@ def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order
             yield send(len(rows["doc_id"]))
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), "text")
-    seen = saved(d.mapInArrow(scan, SCAN))
+    return saved(d.mapInArrow(scan, SCAN))
+
+
+def answered(seen: DataFrame, model: DataFrame) -> DataFrame:
+    """(flush, idx, doc_id, lang, n_scored, nll) from SCAN rows: each shard joins its questions with its part of the
+    model. flush and idx tell rows apart."""
+    shards = _shards(model.sparkSession)
     part = F.pmod(F.col("h"), F.lit(shards))
     # h is unsigned in the tasks: shift its remainder accordingly where the long is negative
     part = F.when(F.col("h") < 0, F.pmod(part + F.lit(pow(2, 64, shards)), F.lit(shards))).otherwise(part).cast("int")
@@ -303,7 +318,7 @@ def scored(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order
 
     told_back = asked.unionByName(told).repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(answer, "flush long, idx int, more double")
     more = told_back.groupBy("flush", "idx").agg(F.sum("more").alias("more"))
-    return seen.where("shard is null").join(more, ["flush", "idx"], "left").select("doc_id", "lang", "n_scored", (-F.col("ln_p") - F.coalesce("more", F.lit(0.0))).alias("nll"))
+    return seen.where("shard is null").join(more, ["flush", "idx"], "left").select("flush", "idx", "doc_id", "lang", "n_scored", (-F.col("ln_p") - F.coalesce("more", F.lit(0.0))).alias("nll"))
 
 
 def _per_language(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
