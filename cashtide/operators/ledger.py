@@ -26,14 +26,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], content: list
     return a.join(b, on, "full").select(*[F.when(F.col("_old").isNull(), F.col(f"new_{k}")).otherwise(F.col(k)).alias(k) for k in keys], action.alias("action"))
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str], refresh: list[str] | None = None) -> DataFrame:
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], refresh: list[str] | None = None, latest: str | None = None) -> DataFrame:
     """`table` with the rows of `changes` merged in by key; with `refresh`, only those columns of existing rows change.
 
-    Null keys match null keys. Of several changes of one key the largest (its columns compared in order) counts; keys
-    that `table` repeats keep their rows, each changed alike."""
+    Null keys match null keys. Of several changes of one key that of the largest `latest` counts (a column of `changes`),
+    ties and without it the largest (its columns compared in order); keys that `table` repeats keep their rows, each changed alike."""
     others = [c for c in table.columns if c not in keys]
     refresh = others if refresh is None else refresh
-    last = changes.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(F.struct(*others)).alias("_c"))
+    last = changes.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg((F.max(F.struct(*others)) if latest is None else F.max(F.struct(latest, F.struct(*others).alias("_row")))["_row"]).alias("_c"))
     new = last.select(*[f"_k_{k}" for k in keys], *[F.col(f"_c.{c}").alias(f"_n_{c}") for c in others], F.lit(True).alias("_has"))
     old = table.withColumn("_had", F.lit(True))
     value = lambda c: F.when(F.col("_had").isNull() | (F.col("_has").isNotNull() & F.lit(c in refresh)), F.col(f"_n_{c}")).otherwise(F.col(c))

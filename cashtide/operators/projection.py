@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,59 @@ def band(event_rows: DataFrame, troughs: DataFrame, floor: int = FLOOR) -> DataF
     return troughs.join(add, "entity_id", "left").select(
         "entity_id", "low", F.coalesce("downside", F.lit(0)).cast("decimal(18,2)").alias("downside"), (F.col("low") - F.coalesce("downside", F.lit(0)) < floor).alias("breach")
     )
+
+
+def windows(instances: DataFrame, snapshots: DataFrame, matched: DataFrame, start: str, days: tuple[int, ...], floor: int = FLOOR) -> DataFrame:
+    """entity_id, window_days, starting, ending, low, low_date, n_carried, n_events: several nested windows in one ordered
+    pass over each entity's events.
+
+    `snapshots`: entity_id, balance, snapshot_date. An observation from before `start` is first moved by what was due
+    strictly between; then come past-due instances that nothing has settled, due by the observation's day (or before
+    `start`, if it is not older), dated `start`; then what is due in the windows. Discretionary outflows are capped
+    by `floor` throughout, also while moving. An entity's events up to the longest window must fit one row; entities
+    without events keep their balance."""
+    first, money = F.lit(start).cast("date"), "decimal(18,2)"
+    held = snapshots.select(F.col("entity_id").alias("_e"), "snapshot_date")
+    older = F.coalesce(F.col("snapshot_date") < first, F.lit(False))
+    rows = instances.where(F.col("status").isin(*PROJECTABLE) & (F.col("due_date") < F.date_add(first, max(days)))).join(held, F.col("entity_id") == F.col("_e"))
+    late = rows.where(F.when(older, F.col("due_date") <= F.col("snapshot_date")).otherwise(F.col("due_date") < first))
+    late = late.join(matched.select("id"), "id", "left_anti").withColumn("phase", F.lit(1))
+    moved = rows.where(older & (F.col("due_date") > F.col("snapshot_date")) & (F.col("due_date") < first)).withColumn("phase", F.lit(0))
+    ahead = rows.where(F.col("due_date") >= first).withColumn("phase", F.lit(2))
+    item = F.struct("phase", "due_date", "id", "amount", "direction", "discretionary", "required_minimum")
+    lists = functools.reduce(DataFrame.unionByName, (moved, late, ahead)).groupBy("entity_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    balance, zero = F.col("balance").cast(money), F.lit(0).cast(money)
+
+    def after(now, x):
+        required = F.least(x["amount"], F.greatest(x["required_minimum"], zero))
+        room = F.greatest(now - required - F.lit(floor).cast(money), zero)
+        paid = F.when(x["discretionary"] & (x["direction"] == "outflow"), required + F.least(x["amount"] - required, room)).otherwise(x["amount"])
+        return (now + signed(paid, x["direction"])).cast(money)
+
+    def step(acc, x):
+        now = after(acc["balance"], x)
+        inside = [(x["phase"] < 2) | (F.datediff(x["due_date"], first) < n) for n in days]
+        on = F.when(x["phase"] < 2, first).otherwise(x["due_date"])
+        ends = []
+        for n, hit in zip(days, inside, strict=True):
+            w = acc[f"w{n}"]
+            lower = hit & (x["phase"] > 0) & (now < w["low"])
+            low = F.when(x["phase"] == 0, now).when(lower, now).otherwise(w["low"]).cast(money)
+            ends.append(
+                F.struct(
+                    F.when(hit, now).otherwise(w["ending"]).cast(money).alias("ending"), low.alias("low"), F.when(lower, on).otherwise(w["low_date"]).alias("low_date"),
+                    (w["n"] + F.when(hit & (x["phase"] > 0), 1).otherwise(0)).alias("n"),
+                ).alias(f"w{n}")
+            )
+        begun = F.when(x["phase"] == 0, now).otherwise(acc["starting"]).cast(money)
+        return F.struct(now.alias("balance"), begun.alias("starting"), (acc["carried"] + F.when(x["phase"] == 1, 1).otherwise(0)).alias("carried"), *ends)
+
+    none = F.lit(0)
+    begin = F.struct(balance.alias("balance"), balance.alias("starting"), none.alias("carried"), *[F.struct(balance.alias("ending"), balance.alias("low"), first.alias("low_date"), none.alias("n")).alias(f"w{n}") for n in days])
+    empty = F.array().cast(f"array<struct<phase:int,due_date:date,id:long,amount:{money},direction:string,discretionary:boolean,required_minimum:{money}>>")
+    end = F.aggregate(F.coalesce("items", empty), begin, step)
+    each = snapshots.join(lists, "entity_id", "left").select("entity_id", end.alias("end"))
+    one = F.array(*[F.struct(F.lit(n).alias("window_days"), F.col(f"end.w{n}").alias("w")) for n in days])
+    return each.select("entity_id", "end", F.explode(one).alias("x")).select(
+        "entity_id", "x.window_days", "end.starting", "x.w.ending", "x.w.low", "x.w.low_date", F.col("end.carried").alias("n_carried"), F.col("x.w.n").alias("n_events")
+    )

@@ -92,9 +92,11 @@ def resume_date(transactions: DataFrame, today: str, overlap: int = 3, lookback:
 
 
 def superseded_manual(snapshots: DataFrame) -> DataFrame:
-    """Observations entered by hand (id, account_id, recorded_at, source) that a later one by hand replaces."""
-    by_hand = snapshots.where("source = 'manual'")
-    later = Window.partitionBy("account_id").orderBy(F.desc("recorded_at"), F.desc("id"))
+    """Observations entered by hand (id, account_id, recorded_at, source) that a later one by hand of the same day (UTC)
+    replaces. Those of other days are history and stay."""
+    day = F.floor(F.unix_seconds(F.col("recorded_at").cast("timestamp")) / 86400)
+    by_hand = snapshots.where("source = 'manual' and recorded_at is not null")
+    later = Window.partitionBy("account_id", day).orderBy(F.desc("recorded_at"), F.desc("id"))
     return by_hand.withColumn("_r", F.row_number().over(later)).where("_r > 1").drop("_r")
 
 
@@ -105,7 +107,7 @@ def expand_income(sources: DataFrame, pay_dates: DataFrame, existing: DataFrame,
     `sources`: source_id, schedule, amount. `pay_dates`: schedule, pay_date. `existing`: source_id, pay_date, amount,
     status; settled ones stay out of it."""
     inside = F.col("pay_date").between(F.lit(start).cast("date"), F.lit(through).cast("date"))
-    want = sources.join(F.broadcast(pay_dates.where(inside)), "schedule").select("source_id", "pay_date", "amount")  # the dates of a range
+    want = sources.join(pay_dates.where(inside), "schedule").select("source_id", "pay_date", "amount")
     have = existing.where(inside & (F.col("status") == "expected")).select("source_id", "pay_date", F.col("amount").alias("stored"))
     both = want.withColumn("_w", F.lit(True)).join(have.withColumn("_h", F.lit(True)), ["source_id", "pay_date"], "full")
     action = F.when(F.col("_w").isNull(), "cancelled").when(F.col("_h").isNull(), "created").when(F.col("amount") == F.col("stored"), "kept").otherwise("updated")

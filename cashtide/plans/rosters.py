@@ -151,7 +151,7 @@ def _one_of(key: str, options: tuple) -> str:
 
 _SNAP = "SELECT account_id, balance, source FROM snap WHERE recorded_at::DATE <= DATE '{}' QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY source = 'manual' DESC, recorded_at DESC, id DESC) = 1"
 _A, _B = f"({_SNAP.format(BEFORE)})", f"({_SNAP.format(AFTER)})"
-_MANUAL = "(SELECT * FROM snap WHERE source = 'manual' QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY recorded_at DESC, id DESC) > 1)"
+_MANUAL = "(SELECT * FROM snap WHERE source = 'manual' QUALIFY row_number() OVER (PARTITION BY account_id, recorded_at::DATE ORDER BY recorded_at DESC, id DESC) > 1)"
 _OBL = "(SELECT obligation_id, 'Plan ' || split_part(obligation_id, ':', 2) AS name, min(direction) AS kind, string_agg(id::VARCHAR, ',' ORDER BY due_date, id) AS ids, count(*) AS n, sum(amount)::DOUBLE AS total, min(due_date)::VARCHAR AS next_due FROM inst GROUP BY obligation_id HAVING kind = 'outflow' AND (lower(name) LIKE '%high%' OR lower(obligation_id) LIKE '%high%'))"
 _SAID = _one_of("id", REMINDERS)
 _JSON = "'\"' || replace(replace({0}, '\"', '\\\"'), chr(10), '\\n') || '\"'"
