@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with those of its columns that an operator uses a name of (`own`, in any case) under names it lacks, and
+    the way back for withColumnsRenamed: so a table's own columns come out as they went in."""
+    taken, back = {c.lower() for c in (*docs.columns, *own)}, {}
+    for c in docs.columns:
+        if c.lower() in {o.lower() for o in own}:
+            name = f"{c}_"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            back[name] = c
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone; a null text is empty."""
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)

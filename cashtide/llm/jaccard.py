@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, likely, saved
+from .common import aside, components, likely, saved
 
 #: Coordinates of a count vector at least, members of a leaf; sets and bytes that meet in one block, about; sets that every
 #: block of a large group has in common.
@@ -493,7 +493,10 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(9, 10), width: int = 3)
 
 def one_of_each(docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
     """The rows of `docs` but those that have a near copy before them: of each component stays the row of the smallest
-    doc_id, nulls last, and of several such rows one. Rows without words stay."""
+    doc_id, nulls last, and of several such rows one. Rows without words stay. Every column of `docs` comes out as it
+    went in, also those with a name used here."""
+    names = docs.columns
+    docs, back = aside(docs, ("_row", "_k", "_bits"))
     rows = numbered(docs)
     ready, named = linked(rows, threshold, width)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
@@ -502,4 +505,4 @@ def one_of_each(docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
     of_node = per_node.join(best, "component").select("node", "_best")
     dropped = saved(ready.join(of_node, "node").where("_row <> _best").select("_row"))
     maybe = likely(rows, "_row", dropped).join(dropped, "_row", "left_anti")
-    return maybe.unionByName(likely(rows, "_row", dropped, without=True)).select(*docs.columns)
+    return maybe.unionByName(likely(rows, "_row", dropped, without=True)).select(*docs.columns).withColumnsRenamed(back).select(*names)

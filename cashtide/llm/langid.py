@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import aside
+
 #: Families of closely related languages; a language not named here is a family of its own.
 FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
@@ -173,7 +175,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of `docs` with the column _pred, the predicted language; for filters that keep the whole row."""
+    """The rows of `docs`, which has no column _pred, with _pred, the predicted language; see relabelled()."""
     decide, names = decider(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,3 +184,11 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, "_pred"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_pred", T.StringType())]))
+
+
+def relabelled(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs` whose language is determined, with `lang` set to the predicted one. All other columns come out
+    as they went in, also one named _pred."""
+    names = docs.columns
+    free, back = aside(docs, ("_pred",))
+    return labelled(free, model).where(F.col("_pred") != UNDETERMINED).withColumn("lang", F.col("_pred")).drop("_pred").withColumnsRenamed(back).select(*names)

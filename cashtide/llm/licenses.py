@@ -78,7 +78,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, min_share: float = 0.6) -> DataFr
     IDF-free fraction of the template's words that stand in place; templates below `min_share` are dropped.
 
     All is done within the row, so hot sources, repeated ids and repeated rows need no shuffle. Null or empty
-    text: no words, no matches. Empty table: empty result.
+    text: no words, no matches. Empty table: empty result. Columns of `docs` named words, hits, found or matches are
+    replaced or dropped; report() does not read them.
     """
     rows = docs.withColumn("words", split_words(ascii_lower(F.col("text")), SEPARATORS)).drop("text")
     vocabulary = sorted({w for t in templates for w in t.words})

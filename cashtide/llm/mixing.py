@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import aside, word_count
 
 #: Leading hex digits of a document's hash that make its bucket: 4096 buckets a source, so that a source with a third of
 #: 10^10 documents has windows of under a million rows.
@@ -46,6 +46,10 @@ def source_targets(sizes: DataFrame, share: float = 1.5, max_epochs: float = 2.0
     )
 
 
+#: Names that mix() and repeated() give to columns of their own.
+USED = ("size", "source_size", "target", "taken", "_h", "_b", "_s", "_sb", "_before", "_within", "_whole", "_extra", "_times", "_copy")
+
+
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, seed: str = "mix") -> DataFrame:
     """The rows of `docs` with size, source_size, target and taken.
 
@@ -93,9 +97,14 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights=WE
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each document as often as it is taken, the cut one whole if half of it or more is taken."""
+    """The mixed corpus itself: each document as often as it is taken, the cut one whole if half of it or more is taken.
+
+    Every column of `docs` comes out as it went in, also those with a name that mix() uses. Texts of any length are
+    repeated or left out whole."""
+    names = docs.columns
+    docs, back = aside(docs, USED)
     m = mix(docs, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
     return m.withColumn("_times", times).where("_times > 0").select(
         *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")
-    ).select(*docs.columns)
+    ).select(*docs.columns).withColumnsRenamed(back).select(*names)

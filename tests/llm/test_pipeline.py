@@ -68,3 +68,15 @@ def test_near_copies_with_null_and_repeated_ids(spark, tmp_path):
     assert set(text.values()) == {1}
     assert {(4, near["a"]), (3, near["d"]), (2, near["e"]), (None, base["f"]), (None, None), (None, ""), (12, " ")} <= set(kept)
     assert {i for i, t in kept if t and t[0] in "bc"} == {None, 7} and len(kept) == 9
+
+
+def test_columns_with_the_stages_own_names_pass_through(spark, tmp_path):
+    own = ["size", "Target", "taken", "source_size", "_h", "_b", "_s", "_sb", "_before", "_within", "_whole", "_times", "_copy", "_row", "_pred", "_k", "_bits", "size_", "words", "node"]
+    rows = [(i, f"the and of to {i // 2} in that is was it for on with as by at from", "en", f"s{i % 2}", 0, *[f"{c}{i}" for c in own]) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", `{c}` string" for c in own))
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.one_of_each, corpus_pipeline.without_personal_data, corpus_pipeline.mixed):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in own)
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() >= 40
