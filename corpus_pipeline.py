@@ -5,7 +5,6 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cashtide.llm import jaccard, langid, mixing, packing, pii
 from cashtide.llm.common import saved
@@ -13,14 +12,14 @@ from cashtide.llm.common import saved
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined (null text, or no letter in it) and sets `lang` to the predicted
-    one. Ids are not looked at: null and repeated ones stay as they are. An empty table stays empty."""
-    model = langid.learned(docs)
-    names = docs.columns
-    return langid.labelled(docs, model).where(F.col("_pred") != langid.UNDETERMINED).withColumn("lang", F.col("_pred")).select(*names)
+    one. Ids are not looked at: null and repeated ones stay as they are. Extra columns pass through. An empty table stays
+    empty."""
+    return langid.relabelled(docs, langid.learned(docs.select("doc_id", "text", "lang")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (words in fives, Jaccard 0.8 or more): that of the smallest doc_id, nulls last."""
+    """Keeps one row of each group of near copies (words in fives, Jaccard 0.8 or more): that of the smallest doc_id, nulls last.
+    Extra columns pass through, whatever their names."""
     return jaccard.one_of_each(docs, Fraction(4, 5), 5)
 
 
@@ -31,12 +30,14 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out whole documents so that sources come near their targets. Documents without words go; null
-    sources are a source of their own; rows with null or repeated ids count as rows of their own."""
+    sources are a source of their own; rows with null or repeated ids count as rows of their own. Extra columns pass through, whatever their names; texts of
+    any length are kept whole."""
     return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2048 tokens; a null or empty text is its end mark alone. See packing.pack."""
+    """Pieces of documents in windows of 2048 tokens; a null or empty text is its end mark alone; a long one is cut into full windows. Extra columns are
+    not read. See packing.pack."""
     return packing.pack(docs)
 
 
