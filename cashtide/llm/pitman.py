@@ -25,7 +25,7 @@ ORDER, HOT, CELLS = 6, 1 << 20, 1 << 22
 #: such texts; those of the lower orders are estimated); the probability of a character that the first sweep takes there.
 TOP, DISCOUNTS, FLAT = 3, {4: 0.55, 5: 0.65, 6: 0.75}, 1 / 64
 #: Different n-grams that a task holds while it counts, and n-grams sampled at a time at least.
-COUNTED, TOGETHER = 1 << 20, 1 << 17
+COUNTED, TOGETHER = 1 << 19, 1 << 17
 #: Sweeps of the sampler, and how many of the first ones are not averaged; concentration of every restaurant.
 SWEEPS, BURN, CONCENTRATION = 3, 1, 1.0
 #: Customers of one dish whose seating is drawn exactly; cells of a draw's table held at once.
