@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, ascii_lower, saved, split_words
+from .common import BLANKS, saved
 from .quality import START, _chunks, answered, hashed, hashes, scanned
 
 #: Characters of the longest n-grams; the most frequent n-grams that every task knows, and the cells that hold them.
@@ -127,7 +127,8 @@ def counted(texts: DataFrame) -> DataFrame:
             w, n = w[order], n[order]
             return pa.RecordBatch.from_pydict({"g": pa.array(w.view(f"<U{ORDER}").ravel().tolist(), pa.string()), "n": pa.array(n)})
 
-        for c, spans, _ in _chunks(batches, ORDER):
+        ready = (pa.RecordBatch.from_arrays([joined(b.column("text"))], ["text"]) for b in _sliced(batches))
+        for c, spans, _ in _chunks(ready, ORDER):
             *_, h = hashes(c, ORDER)
             ends = np.concatenate([np.arange(a, b) for _, a, b in spans])
             u, at, n = np.unique(h[ends], return_index=True, return_counts=True)
@@ -286,7 +287,7 @@ def parts(averaged: dict[int, DataFrame], unseen: float) -> tuple[DataFrame, flo
 
 
 def trained(texts: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[DataFrame, float]:
-    """(g, v, raw) of all orders and the log probability of a character never seen, from all of `texts`."""
+    """(g, v, raw) of all orders and the log probability of a character never seen, from all of `texts` (their column text)."""
     rows = counted(texts)
     sent = deep(rows.withColumn("p", F.lit(FLAT)), 1, 0, False).groupBy("g").agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"))
     by_order = {TOP: saved(sent)}
@@ -299,44 +300,61 @@ def trained(texts: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[D
     return deep(rows, sweeps, burn, True).unionByName(low), base
 
 
-def joined_words(text: Column) -> Column:
-    """The words of a text between single blanks, and the end of words."""
-    return F.concat(F.regexp_replace(F.btrim(ascii_lower(text), F.lit(BLANKS)), BLANK_RUN, " "), F.lit(END_OF_WORDS))
+def joined(texts: pa.Array) -> pa.Array:
+    """Texts in lower case (A-Z alone), their words between single blanks, and the end of words; null is empty."""
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    return pc.binary_join_element_wise(pc.ascii_trim(pc.replace_substring_regex(low, f"[{BLANKS}]+", " "), " "), "", END_OF_WORDS)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE bytes of text, or one row."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, word) of all words of texts in joined form."""
+    lists = pc.split_pattern(pc.utf8_rtrim(texts, END_OF_WORDS), " ")
+    rows, words = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+    real = pc.not_equal(words, "")
+    return rows[real.to_numpy(zero_copy_only=False)], words.filter(real)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) of the words in `train`'s texts, summed within each task first; the end of texts is not in it."""
-    words = split_words(ascii_lower(F.col("text")), r"\x20\x09-\x0D", BLANKS)
-    return saved(train.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            found = pc.value_counts(_words(joined(b.column("text")))[1])
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
-def with_words(docs: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
-    """(doc_id, lang, text): the text in joined form and, in `lang`, the row's id, split, number of words, words found
-    among the `hot` most frequent ones, the sum of their log10(c + 1), and the other words, between blanks."""
+    return saved(train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def with_words(spark: SparkSession, counts: DataFrame, hot: int):
+    """A function from batches of doc_id, held_out (both texts) and text to batches of doc_id (null), lang, text: the
+    text in joined form and, in `lang`, the row's id, split, number of words, words found among the `hot` most
+    frequent ones, the sum of their log10(c + 1), and the other words, between blanks."""
     top = counts.orderBy(F.desc("n"), "word").limit(hot).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((top["word"].combine_chunks(), np.log10(top["n"].to_numpy() + 1.0)))
+    shared = spark.sparkContext.broadcast((top["word"].combine_chunks(), np.log10(top["n"].to_numpy() + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = shared.value
-        for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), b.num_rows]
-            for part in (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i):
-                lists = pc.split_pattern(pc.utf8_rtrim(part.column("text"), "\n"), " ")
-                rows, words = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
-                real = pc.not_equal(words, "")
-                rows, words = rows[real.to_numpy(zero_copy_only=False)], words.filter(real)
-                at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
-                n, found = np.bincount(rows, minlength=part.num_rows), np.bincount(rows[at >= 0], minlength=part.num_rows)
-                total = np.bincount(rows[at >= 0], logs[at[at >= 0]], part.num_rows)
-                rare, other = rows[at < 0], words.filter(pa.array(at < 0))
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.arange(part.num_rows + 1)), pa.int32()), other)
-                said = [pc.cast(pa.array(x), pa.string()) for x in (n, found, total)]
-                told = pc.binary_join_element_wise(part.column("doc_id"), part.column("held_out"), *said, pc.binary_join(lists, " "), " ")
-                yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), told, part.column("text")], ["doc_id", "lang", "text"])
-
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("doc_id"), F.col("held_out").cast("string").alias("held_out"), joined_words(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, text string")
+        for part in _sliced(batches):
+            text = joined(part.column("text"))
+            rows, words = _words(text)
+            at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+            n, found = np.bincount(rows, minlength=part.num_rows), np.bincount(rows[at >= 0], minlength=part.num_rows)
+            total = np.bincount(rows[at >= 0], logs[at[at >= 0]], part.num_rows)
+            rare, other = rows[at < 0], words.filter(pa.array(at < 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.arange(part.num_rows + 1)), pa.int32()), other)
+            said = [pc.cast(pa.array(x), pa.string()) for x in (n, found, total)]
+            told = pc.binary_join_element_wise(part.column("doc_id"), part.column("held_out"), *said, pc.binary_join(lists, " "), " ")
+            yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), told, text], ["doc_id", "lang", "text"])
+
+    return run
 
 
 def score(docs: DataFrame, held_out: Column, hot_words: int = HOT_WORDS, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
@@ -355,10 +373,11 @@ def score(docs: DataFrame, held_out: Column, hot_words: int = HOT_WORDS, sweeps:
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     n, v = size["n"] + ends, size["v"] + (ends > 0)
     if ends:
-        model, base = hashed(*trained(train.select(joined_words(F.col("text")).alias("text")), sweeps, burn), ORDER)
+        model, base = hashed(*trained(train, sweeps, burn), ORDER)
     else:
         model, base = docs.sparkSession.createDataFrame([], "h long, v double, raw long"), math.log(0.5)
-    seen = scanned(with_words(d, counts, hot_words), model, base, HOT, ORDER, CELLS)
+    named = d.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("doc_id"), F.col("held_out").cast("string").alias("held_out"), "text")
+    seen = scanned(named, model, base, HOT, ORDER, CELLS, with_words(docs.sparkSession, counts, hot_words))
     said = F.split("lang", " ")
     rare = seen.where("shard is null").select("flush", "idx", F.explode(F.slice(said, 6, F.greatest(F.size(said) - 5, F.lit(0)))).alias("word")).where("word <> ''")
     met = rare.groupBy("flush", "idx", "word").agg(F.count("*").alias("k")).join(counts, "word")

@@ -194,8 +194,9 @@ def _shards(spark: SparkSession) -> int:
     return SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scanned(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order: int = ORDER, cells: int = CELLS) -> DataFrame:
-    """Saved SCAN rows: one a document, with what its frequent n-grams add up to, and packed questions about the others.
+def scanned(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, order: int = ORDER, cells: int = CELLS, prepare=None) -> DataFrame:
+    """Saved SCAN rows: one a document, with what its frequent n-grams add up to, and packed questions about the others. `prepare`, if
+    given, turns each task's batches of `docs` into batches of doc_id, lang, text.
 
     Each task sums what the frequent n-grams add, and leaves out those that the model surely lacks. The rest goes to
     shards by hash, as n-grams and numbers of documents; each shard joins them with its part of the model and sends
@@ -239,7 +240,7 @@ def scanned(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, orde
 
         def started() -> Iterator[pa.RecordBatch]:
             """Batches as they come, their documents entered before their chunks."""
-            for b in batches:
+            for b in prepare(batches) if prepare else batches:
                 texts = b.column("text")
                 rows["doc_id"] += b.column("doc_id").to_pylist()
                 rows["lang"] += b.column("lang").to_pylist()
@@ -278,7 +279,7 @@ def scanned(docs: DataFrame, model: DataFrame, base: float, hot: int = HOT, orde
         if rows["doc_id"]:
             yield send(len(rows["doc_id"]))
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), "text")
+    d = docs if prepare else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), "text")
     return saved(d.mapInArrow(scan, SCAN))
 
 
