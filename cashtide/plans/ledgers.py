@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import board, checks, emissions, findings, projection, statements
+from ..operators import board, checks, emissions, findings, ids, projection, statements
 from ..sources import adapters
 
 START, WINDOWS = "1998-01-01", (7, 30, 365)
@@ -142,8 +142,17 @@ def project_windows(spark, d):
     return projection.windows(i, seen, i.where("id % 4 = 0"), START, WINDOWS)
 
 
+def instance_ids(spark, d):
+    """The instances of a quarter of an obligation as if they fell on its first day: several a day, some with stored ids."""
+    i = adapters.instances(spark, d).withColumn("due_date", F.trunc("due_date", "quarter"))
+    base, k = F.concat_ws(":", "obligation_id", F.col("due_date").cast("string")), F.col("id")
+    name = F.when(k % 6 == 0, base).when(k % 6 == 1, F.concat(base, F.lit(":"), (k % 4).cast("string"))).when(k % 6 == 2, F.concat(base, F.lit(":x"))).when(k % 6 == 3, F.concat(base, F.lit(":0")))
+    stored = i.where(k % 12 < 4).select(name.alias("instance_id"), "obligation_id", "due_date")
+    return ids.allocate(i.select("obligation_id", "due_date", k.alias("seq")), stored).select("seq", "instance_id")
+
+
 ALL = (
-    statement_inputs, statement_recompute, statement_recompute_given, statement_actuals, statement_set_actual, emission_replay, emission_ledger, board_classes, board_orphans, findings_merge, verification_run,
+    instance_ids, statement_inputs, statement_recompute, statement_recompute_given, statement_actuals, statement_set_actual, emission_replay, emission_ledger, board_classes, board_orphans, findings_merge, verification_run,
     project_windows,
 )
 
@@ -206,6 +215,17 @@ wf AS (SELECT entity_id, 0::BIGINT AS n, balance, 0 AS phase, DATE '1998-01-01'
 wr AS (SELECT w AS window_days, wf.*, arg_max(CASE WHEN phase = 0 THEN balance END, CASE WHEN phase = 0 THEN n END) OVER (PARTITION BY entity_id, w) AS starting FROM wf, (VALUES (7), (30), (365)) v(w) WHERE phase < 2 OR on_day < DATE '1998-01-01' + w)"""
 
 
+#: One step of a recursion per new instance, with the list of the day's ids.
+_IDS = """
+qi AS (SELECT id, obligation_id || ':' || date_trunc('quarter', due_date)::DATE::VARCHAR AS base FROM inst),
+qs AS (SELECT base, list(DISTINCT CASE id % 6 WHEN 0 THEN base WHEN 1 THEN base || ':' || (id % 4) WHEN 2 THEN base || ':x' ELSE base || ':0' END) AS had FROM qi WHERE id % 12 < 4 GROUP BY base),
+qn AS (SELECT qi.*, coalesce(had, []) AS had, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM qi LEFT JOIN qs USING (base)),
+qf AS (SELECT DISTINCT base, 0::BIGINT AS n, NULL::BIGINT AS id, ''::VARCHAR AS got, []::VARCHAR[] AS taken FROM qn UNION ALL SELECT base, n, id, got, list_append(taken, got) FROM (
+  SELECT q.base, q.n, q.id, f.taken, CASE WHEN NOT list_contains(f.taken, q.base) AND len(list_filter(list_concat(q.had, f.taken), lambda x: regexp_full_match(x[len(q.base) + 1:], ':[0-9]+'))) = 0 THEN q.base
+    ELSE q.base || ':' || list_filter(range(1, 1000), lambda k: NOT list_contains(q.had, q.base || ':' || k) AND NOT list_contains(f.taken, q.base || ':' || k))[1] END AS got
+  FROM qf f JOIN qn q ON q.base = f.base AND q.n = f.n + 1))"""
+
+
 def _unite() -> str:
     from . import oracle
 
@@ -220,7 +240,7 @@ def steps() -> dict[str, str]:
     from . import oracle
 
     stm = dict.fromkeys(("statement_inputs", "statement_recompute", "statement_recompute_given", "statement_actuals", "statement_set_actual"), _STM)
-    return stm | {"emission_replay": _EMIT, "emission_ledger": _EMIT, "board_classes": _BOARD, "board_orphans": _BOARD, "findings_merge": _MERGE, "verification_run": oracle.STEPS["verify_overlap"], "project_windows": _WINDOWS}
+    return stm | {"instance_ids": _IDS, "emission_replay": _EMIT, "emission_ledger": _EMIT, "board_classes": _BOARD, "board_orphans": _BOARD, "findings_merge": _MERGE, "verification_run": oracle.STEPS["verify_overlap"], "project_windows": _WINDOWS}
 
 
 def _recomputed(base: str, floored: str) -> str:
@@ -246,6 +266,7 @@ def sql() -> dict[str, str]:
         "board_orphans": "SELECT key AS surface_key, task AS task_id FROM op WHERE task NOT IN (SELECT id FROM tk)",
         "findings_merge": """SELECT source, check_id, evidence, title, CASE WHEN c = 'resolved' THEN c ELSE status END AS status, id, c AS change FROM (SELECT *, CASE WHEN id IN (SELECT id FROM lv) AND (source = 'adversarial' OR check_id < 'check_4') AND k NOT IN (SELECT k FROM cu) THEN 'resolved' ELSE 'kept' END AS c FROM so)
   UNION ALL SELECT any_value(source), any_value(check_id), max(evidence), max(title), 'open', NULL, 'opened' FROM cu WHERE k NOT IN (SELECT k FROM lv) GROUP BY k""",
+        "instance_ids": "SELECT id AS seq, got AS instance_id FROM qf WHERE n > 0",
         "verification_run": _unite(),
         "project_windows": """SELECT entity_id, window_days::BIGINT AS window_days, any_value(starting)::DOUBLE AS starting, arg_max(balance, n)::DOUBLE AS ending, least(any_value(starting), coalesce(min(balance) FILTER (phase > 0), any_value(starting)))::DOUBLE AS low,
   CASE WHEN min(balance) FILTER (phase > 0) < any_value(starting) THEN arg_min(on_day, (balance, n)) FILTER (phase > 0) ELSE DATE '1998-01-01' END::VARCHAR AS low_date, count(*) FILTER (phase = 1) AS n_carried, count(*) FILTER (phase > 0) AS n_events FROM wr GROUP BY 1, 2""",

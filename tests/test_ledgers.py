@@ -5,7 +5,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from cashtide.operators import board, checks, emissions, ledger, projection, roster, statements
+from cashtide.operators import board, checks, emissions, ids, ledger, projection, roster, statements
 
 MONEY = "decimal(18,2)"
 STM = f"id long, target long, closes date, due_date date, amount {MONEY}, amount_status string, amount_source string, baseline {MONEY}, confidence string, notes string"
@@ -156,3 +156,12 @@ def test_upsert_takes_the_latest_change(spark):
     old = spark.createDataFrame([(1, "a")], "k long, v string")
     new = spark.createDataFrame([(1, "z", 1), (1, "b", 2), (2, "c", 1)], "k long, v string, at int")
     assert {r.k: r.v for r in ledger.upsert(old, new, ["k"], latest="at").collect()} == {1: "b", 2: "c"}
+
+
+def test_instance_ids(spark):
+    day, at = date(2026, 7, 31), "o:2026-07-31"
+    new = spark.createDataFrame([(o, day, n) for o in ("o", "p", "q", "o:2026") for n in (3, 1, 2)], "obligation_id string, due_date date, seq int")
+    stored = spark.createDataFrame([(at, "o", day), ("p:2026-07-31:2", "p", day), ("p:2026-07-31:x", "p", day), ("q:2026-07-31:0", "q", day), ("other:2", "o", day)], "instance_id string, obligation_id string, due_date date")
+    got = {(r.obligation_id, r.seq): r.instance_id.split("-31")[1] for r in ids.allocate(new, stored).collect()}
+    assert got == {("o", 1): "", ("o", 2): ":1", ("o", 3): ":2", ("p", 1): ":1", ("p", 2): ":3", ("p", 3): ":4", ("q", 1): ":1", ("q", 2): ":2", ("q", 3): ":3", ("o:2026", 1): "", ("o:2026", 2): ":1", ("o:2026", 3): ":2"}
+    assert [r.instance_id for r in ids.allocate(new.where("seq = 1 and obligation_id = 'o'"), stored).collect()] == [at]
