@@ -285,7 +285,7 @@ BODY |= {
 
 
 def sql() -> dict:
-    from . import ledgers, listings, rosters
+    from . import feeds, ledgers, listings, rosters
 
-    steps = STEPS | {"list_parity": listings.PARITY} | ledgers.steps()
-    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL | ledgers.sql()).items()}
+    steps = STEPS | {"list_parity": listings.PARITY} | ledgers.steps() | feeds.STEPS
+    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL | ledgers.sql() | feeds.SQL).items()}

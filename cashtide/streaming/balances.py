@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import balances
+from . import merging
+
+NAMES = ("account_id", "id", "balance", "recorded_at", "source")
+SCHEMA = "account_id long, id long, balance decimal(18,2), recorded_at timestamp, source string"
 
 
 def daily(stream: DataFrame, late: str = "2 days") -> DataFrame:
@@ -16,17 +19,13 @@ def daily(stream: DataFrame, late: str = "2 days") -> DataFrame:
     )
 
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that keeps, below `path`, one folder a batch with the latest observation per account.
+def keep_latest(stream: DataFrame, path: str, checkpoint: str, every: int = 16):
+    """Starts a query that keeps, below `path`, the latest observation per account; read it with kept().
 
-    A batch merges its own latest rows with those of the batch before it, so its work is one row per account,
-    and a batch that is run again writes the same folder again."""
+    See merging.keep: batches that run again or come after a lost checkpoint do no harm, old folders go."""
+    return merging.keep(stream.select(*NAMES), path, checkpoint, merging.latest, every)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        names = ["account_id", "id", "balance", "recorded_at", "source"]
-        rows = balances.latest(batch).select(*names)
-        if number:
-            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={number - 1}"))
-        balances.latest(rows).select(*names).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def kept(spark: SparkSession, path: str) -> DataFrame:
+    """What keep_latest keeps."""
+    return merging.current(spark, path, SCHEMA, merging.latest)
