@@ -181,12 +181,17 @@ def rolled_sums_differ(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     return stored.join(r, "cycle_id", "left").where(~(F.col("n_inputs").eqNullSafe(F.col("n2")) & F.col("input_sum").eqNullSafe(F.col("sum2"))))
 
 
-def status_color(entities: DataFrame) -> DataFrame:
-    """entity_id, color from the first rule that holds of: verify_error, stale_balance, worst_guardrail (rank),
-    low below zero, estimates at the trough, breach, a material estimate, an open risk."""
-    return entities.select(
-        "entity_id",
-        F.when(F.col("verify_error"), "RED").when(F.col("stale_balance"), "YELLOW").when(F.col("worst_guardrail") >= 3, "RED").when(F.col("low") < 0, "RED")
-        .when(F.col("worst_guardrail") == 2, "YELLOW").when(F.col("breach"), "YELLOW").when(F.col("material_estimate") >= 1000, "YELLOW").when(F.col("open_risk"), "YELLOW")
-        .otherwise("GREEN").alias("color"),
+def status_color(entities: DataFrame, unmodeled_from: int = 100) -> DataFrame:
+    """entity_id, color, reason from the first rule that holds; null inputs hold nothing, null amounts are no danger.
+
+    In this order: verify_error; stale_balance (what follows would read it); worst_guardrail (rank) 3 or more; low under
+    zero; low_estimate, the low point less what estimates could add, under zero; worst_guardrail 2; breach; recurring
+    charges of unmodeled_monthly or more that no projection holds; material_estimate; verify_warning; open_risk."""
+    rules = (
+        ("verify_error", F.col("verify_error"), "RED"), ("stale_balance", F.col("stale_balance"), "YELLOW"), ("guardrail", F.col("worst_guardrail") >= 3, "RED"),
+        ("below_zero", F.col("low") < 0, "RED"), ("estimates_below_zero", F.col("low_estimate") < 0, "RED"), ("guardrail", F.col("worst_guardrail") == 2, "YELLOW"),
+        ("breach_risk", F.col("breach"), "YELLOW"), ("unmodeled_recurring", F.col("unmodeled_monthly") >= unmodeled_from, "YELLOW"),
+        ("material_estimate", F.col("material_estimate"), "YELLOW"), ("verify_warning", F.col("verify_warning"), "YELLOW"), ("open_risk", F.col("open_risk"), "YELLOW"),
     )
+    hit = F.coalesce(*[F.when(held, F.struct(F.lit(color).alias("color"), F.lit(name).alias("reason"))) for name, held, color in rules], F.struct(F.lit("GREEN").alias("color"), F.lit("clear").alias("reason")))
+    return entities.select("entity_id", hit.alias("_h")).select("entity_id", "_h.color", "_h.reason")

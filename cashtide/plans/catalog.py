@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import dates, text
 from ..operators import audit, balances, estimates, findings, ledger, projection, reconcile, recurring, spending
 from ..sources import adapters
-from . import feeds, ledgers, listings, oracle, rosters
+from . import attention, feeds, ledgers, listings, oracle, rosters
 
 FLAGSHIP = "spending_by_category"
 YEAR = ("1998-01-01", "1998-12-31")
@@ -246,17 +246,6 @@ def verify_coverage_horizon(spark, d):
     return findings.short_horizon(adapters.instances(spark, d), START)
 
 
-def status_color(spark, d):
-    t = projection.trough(window_events(spark, d), starting(spark, d), START)
-    b = projection.band(window_events(spark, d), t).select("entity_id", "low", "breach")
-    stale = balances.aged(balances.latest(adapters.snapshots(spark, d)), "2024-01-31").select(F.col("account_id").alias("entity_id"), F.col("stale").alias("stale_balance"))
-    e = b.join(stale, "entity_id", "left").select(
-        "entity_id", "low", "breach", F.lit(False).alias("verify_error"), F.coalesce("stale_balance", F.lit(False)).alias("stale_balance"),
-        F.when(F.col("low") < -500000, 3).when(F.col("low") < 0, 1).otherwise(0).alias("worst_guardrail"), F.lit(0).alias("material_estimate"), F.lit(False).alias("open_risk"),
-    )
-    return findings.status_color(e)
-
-
 def surface_queue(spark, d):
     f = findings.payment_drift(named(spark, d), adapters.transactions(spark, d), "1998-06-30", WIDE, reconcile.Options(amount_abs="50000.00", amount_pct="0.900"))
     items = f.select("id", F.col("finding_type").alias("kind"), findings.severity_rank(F.col("severity")).alias("severity_rank"), F.when(F.col("finding_type") == "amount_changed", 2).otherwise(1).alias("kind_rank"))
@@ -411,13 +400,13 @@ _ALL = (
     spending_by_category, spending_by_merchant, spending_by_month, spending_samples, list_transactions, latest_balance, asof_balance, balance_coverage,
     project_running_balance, project_trough, project_capped_fold, past_due_carry, roll_forward, trough_band, recon_candidates, recon_best, recon_greedy, recon_shared_groups, recon_run,
     recon_unmatched, prior_amount_change, post_cancellation, recurring_stats, recurring_triage, apply_schedule, drift_payment, stale_estimates, arrived_deposits,
-    guardrail_floor, debt_avalanche, goal_pace, statement_cycles, statement_rollup, verify_duplicates, verify_signs, verify_coverage_horizon, status_color,
+    guardrail_floor, debt_avalanche, goal_pace, statement_cycles, statement_rollup, verify_duplicates, verify_signs, verify_coverage_horizon,
     surface_queue, snapshot_diff, emission_actions, subject_winners, synthetic_ids, memory_search, income_semi_monthly, business_days,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL + rosters.ALL + listings.ALL + ledgers.ALL + feeds.ALL}
+    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL + rosters.ALL + listings.ALL + ledgers.ALL + feeds.ALL + attention.ALL}
 
 
 def oracle_sql() -> dict:

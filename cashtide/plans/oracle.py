@@ -185,7 +185,6 @@ BODY = {
     "verify_duplicates": "SELECT obligation_id, due_date::VARCHAR AS due_date, count(*) AS n FROM inst GROUP BY ALL HAVING count(*) > 1",
     "verify_signs": "SELECT id, balance::DOUBLE AS amount FROM snap WHERE balance < 0",
     "verify_coverage_horizon": "SELECT obligation_id, max(due_date)::VARCHAR AS last_due FROM inst WHERE status <> 'paid' GROUP BY 1 HAVING count(*) FILTER (due_date >= DATE '1998-01-01' AND due_date < DATE '1998-01-01' + 90) = 0",
-    "status_color": f"SELECT b.entity_id, CASE WHEN coalesce(DATE '2024-01-31' - l.recorded_at::TIMESTAMP::DATE NOT BETWEEN 0 AND 3, false) THEN 'YELLOW' WHEN low < 0 THEN 'RED' WHEN breach THEN 'YELLOW' ELSE 'GREEN' END AS color FROM ({_BAND}) b LEFT JOIN ({_LATEST.format('')}) l ON l.account_id = b.entity_id",
     "surface_queue": "SELECT id, finding_type AS kind, s AS severity_rank, k AS kind_rank, row_number() OVER (ORDER BY s DESC, k DESC, id) AS place FROM (SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END::BIGINT AS s, CASE finding_type WHEN 'amount_changed' THEN 2 ELSE 1 END::BIGINT AS k FROM drifts) QUALIFY place <= 50",
     "snapshot_diff": f"SELECT coalesce(a.account_id, b.account_id) AS account_id, CASE WHEN a.account_id IS NULL THEN 'created' WHEN b.account_id IS NULL THEN 'resolved' WHEN a.balance = b.balance AND a.source = b.source THEN 'unchanged' ELSE 'updated' END AS action FROM ({_LATEST.format(_AS_OF % '2024-01-02')}) a FULL JOIN ({_LATEST.format(_AS_OF % '2024-01-20')}) b ON a.account_id = b.account_id",
     "emission_actions": """SELECT surface_key, CASE WHEN status = 'open' AND surface_key IN (SELECT 'pay:' || o_orderkey FROM orders WHERE o_orderkey % 5 = 4) THEN 'retire' WHEN new_hash IS NULL THEN NULL WHEN status = 'completed' THEN 'resolved'
@@ -285,7 +284,7 @@ BODY |= {
 
 
 def sql() -> dict:
-    from . import feeds, ledgers, listings, rosters
+    from . import attention, feeds, ledgers, listings, rosters
 
-    steps = STEPS | {"list_parity": listings.PARITY} | ledgers.steps() | feeds.STEPS
-    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL | ledgers.sql() | feeds.SQL).items()}
+    steps = STEPS | {"list_parity": listings.PARITY} | ledgers.steps() | feeds.STEPS | attention.steps()
+    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL | ledgers.sql() | feeds.SQL | attention.sql()).items()}
