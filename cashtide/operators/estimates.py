@@ -10,6 +10,8 @@ from .projection import PROJECTABLE
 from .recurring import WEIGHTS
 
 MONEY = "decimal(18,2)"
+#: Fixed value: the source of an amount that was lowered to what was observed.
+LOWERED = "estimate_contradicted"
 #: Occurrences in a month of thirty days.
 PER_MONTH = {"weekly": 4.345, "biweekly": 2.173, "monthly": 1.0, "quarterly": 1 / 3, "semiannual": 1 / 6, "annual": 1 / 12, "yearly": 1 / 12}
 #: Words of notes that name a cadence, say that a charge has stopped, or call an amount a guess.
@@ -43,14 +45,31 @@ def dormant(estimates: DataFrame, balances: DataFrame, transactions: DataFrame,
     return estimates.join(empty, "account_id", "left_semi").join(moved, "account_id", "left_anti")
 
 
+def flat_accounts(snapshots: DataFrame, since: str) -> DataFrame:
+    """account_id, oldest, newest (balances without sign) of accounts observed on or after `since`: the first of those and the
+    latest of all, by time, then id. Two extremes of structs, combined before the shuffle."""
+    at = F.struct("recorded_at", "id", F.abs("balance").alias("b"))
+    inside = F.to_date("recorded_at") >= F.lit(since).cast("date")
+    ends = snapshots.where("recorded_at is not null").groupBy("account_id").agg(F.min(F.when(inside, at)).alias("_o"), F.max(at).alias("_n"))
+    return ends.where("_o is not null").select("account_id", F.col("_o.b").alias("oldest"), F.col("_n.b").alias("newest"))
+
+
+def flat(links: DataFrame, snapshots: DataFrame, since: str) -> DataFrame:
+    """obligation_id of estimates whose accounts (`links`: obligation_id, account_id) together hold no more than at the start
+    of the window. Accounts not observed in it say nothing; an estimate with none such is not flat."""
+    held = links.distinct().join(flat_accounts(snapshots, since), "account_id").groupBy("obligation_id").agg(F.sum("oldest").alias("_o"), F.sum("newest").alias("_n"))
+    return held.where(F.col("_n") <= F.col("_o")).select("obligation_id")
+
+
 def contradicted(
-    estimates: DataFrame, transactions: DataFrame, as_of: str, days: int = 90, cycles: int = 2, ratio: float = 2.0, floor: float = 150.0, near_zero: float = 5.0
+    estimates: DataFrame, transactions: DataFrame, as_of: str, days: int = 90, cycles: int = 2, ratio: float = 2.0, floor: float = 150.0, near_zero: float = 5.0, flat: DataFrame | None = None, flat_ratio: float = 1.5
 ) -> DataFrame:
     """obligation_id, modeled, observed, resolution, new_amount of estimates far above what the merchant really took.
 
     `estimates`: obligation_id, account_id, merchant_key, cadence, amount (double, one occurrence). The gap has to
     hold for the whole window and for each of its last `cycles` months of thirty days. Accounts without any
-    transaction in the window say nothing. Spending is summed per account and merchant before it is joined."""
+    transaction in the window say nothing. Spending is summed per account and merchant before it is joined. For
+    obligations in `flat` (see flat(); no growing balance hides spending) the gap is `flat_ratio` instead of `ratio`."""
     day = F.lit(as_of).cast("date")
     recent = transactions.where(F.col("posted").between(F.date_sub(day, days), day))
     paid = recent.where("amount < 0").select("account_id", text.slug(F.col("payee")).alias("merchant_key"), (-F.col("amount")).alias("paid"), F.datediff(day, "posted").alias("age"))
@@ -60,9 +79,12 @@ def contradicted(
     rows = (
         estimates.join(recent.select("account_id"), "account_id", "left_semi")
         .join(spent, ["account_id", "merchant_key"], "left")
-        .withColumns({"factor": factor, "modeled": cents(F.col("amount") * factor), "observed": cents(F.coalesce("total", F.lit(0.0)) / (days / 30))})
+        .withColumns({"factor": factor, "modeled": cents(F.col("amount") * factor), "observed": cents(F.coalesce("total", F.lit(0.0)) / (days / 30)), "_ratio": F.lit(ratio)})
     )
-    above = lambda c: F.col("modeled") >= F.greatest(F.lit(floor), F.coalesce(c, F.lit(0.0)) * ratio)
+    if flat is not None:
+        calm = flat.select(F.col("obligation_id").alias("_f")).distinct()
+        rows = rows.join(calm, F.col("obligation_id") == F.col("_f"), "left").withColumn("_ratio", F.when(F.col("_f").isNotNull(), flat_ratio).otherwise(ratio))
+    above = lambda c: F.col("modeled") >= F.greatest(F.lit(floor), F.coalesce(c, F.lit(0.0)) * F.col("_ratio"))
     fires = above(F.col("observed"))
     for i in range(cycles):
         fires = fires & above(F.col(f"m{i}"))
@@ -72,6 +94,23 @@ def contradicted(
     )
 
 
+def resolved(instances: DataFrame, found: DataFrame) -> DataFrame:
+    """`instances` with what contradicted() found written back, and `action`: rewritten rows get the smaller amount and keep
+    the old one as previous_amount; dormant ones only say so. Doing it again changes nothing that was written.
+
+    `instances`: obligation_id, amount, amount_status, amount_source, status and more. Only open estimates change;
+    confirmed, settled and already lowered rows stay."""
+    f = found.select(F.col("obligation_id").alias("_f"), "resolution", F.col("new_amount").cast(MONEY).alias("_new"))
+    rows = instances.join(f, F.col("obligation_id") == F.col("_f"), "left")
+    open_ = F.col("status").isin(*PROJECTABLE) & F.col("amount_status").eqNullSafe("estimated") & ~F.col("amount_source").eqNullSafe(LOWERED)
+    action = F.when(F.col("_f").isNull() | ~F.coalesce(open_, F.lit(False)), "kept").otherwise(F.col("resolution"))
+    rows = rows.withColumn("action", action)
+    hit = F.col("action") == "rewrite"
+    values = {"amount": F.col("_new"), "amount_source": F.lit(LOWERED)}
+    kept = [F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in instances.columns]
+    return rows.select(*kept, F.when(hit, F.col("amount")).alias("previous_amount"), "action")
+
+
 def provenance(estimates: DataFrame, evidence: DataFrame, most: int = 60) -> DataFrame:
     """id, n_covered, n_missing, first_missing, complete: the months behind an estimate and the gaps among them.
 

@@ -329,8 +329,25 @@ def dormant_accounts(spark, d):
     return estimates.dormant(_estimated(spark, d), held, adapters.transactions(spark, d), "1998-06-30").select("obligation_id", "account_id")
 
 
+def _flat(spark, d):
+    """Balances are set back 9497 days, to the days of the transactions."""
+    shown = adapters.snapshots(spark, d).withColumn("recorded_at", F.col("recorded_at") - F.expr("INTERVAL 9497 DAYS"))
+    return estimates.flat(_estimated(spark, d).select("obligation_id", "account_id"), shown, "1998-01-10")
+
+
 def contradicted_estimates(spark, d):
-    return estimates.contradicted(_estimated(spark, d), adapters.transactions(spark, d), "1998-06-30", days=270, floor=500000.0)
+    return estimates.contradicted(_estimated(spark, d), adapters.transactions(spark, d), "1998-06-30", days=270, floor=500000.0, flat=_flat(spark, d))
+
+
+def contradicted_by_balance(spark, d):
+    """Wide ratios, since amounts of the test tables are far above what one merchant takes."""
+    return estimates.contradicted(_estimated(spark, d), adapters.transactions(spark, d), "1998-06-30", days=270, ratio=48.0, floor=100000.0, flat=_flat(spark, d), flat_ratio=12.0)
+
+
+def estimates_resolved(spark, d):
+    i, k = adapters.instances(spark, d), F.col("id")
+    rows = i.select("id", "obligation_id", "amount", "amount_status", F.when(k % 4 == 0, estimates.LOWERED).when(k % 4 == 1, "average").alias("amount_source"), "status")
+    return estimates.resolved(rows, contradicted_by_balance(spark, d)).drop("obligation_id", "amount_status", "status")
 
 
 def estimate_provenance(spark, d):
@@ -395,7 +412,7 @@ def migration_dedup(spark, d):
 
 
 _ALL = (
-    income_biweekly, working_account, guardrail_drift_sum, check_suggestions, dormant_accounts, contradicted_estimates, estimate_provenance, note_contradictions, backfill_dates,
+    income_biweekly, working_account, guardrail_drift_sum, check_suggestions, dormant_accounts, contradicted_estimates, contradicted_by_balance, estimates_resolved, estimate_provenance, note_contradictions, backfill_dates,
     unexpected_recurring, verify_statement_identity, verify_projection_identity, verify_overlap, grounding_checks, grounding_counts, migration_dedup,
     spending_by_category, spending_by_merchant, spending_by_month, spending_samples, list_transactions, latest_balance, asof_balance, balance_coverage,
     project_running_balance, project_trough, project_capped_fold, past_due_carry, roll_forward, trough_band, recon_candidates, recon_best, recon_greedy, recon_shared_groups, recon_run,

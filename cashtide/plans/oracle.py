@@ -98,6 +98,19 @@ _BAND = """SELECT t.entity_id, t.low, coalesce(sum(d), 0) AS downside, t.low - c
 _ESTIMATED = """SELECT obligation_id, entity_id AS account_id, median(amount::DOUBLE) AS amount, CASE any_value(confidence) WHEN 'very_low' THEN 4.345::DOUBLE ELSE 2.173::DOUBLE END AS factor,
   'brand_' || (entity_id % 5 + 1) || (entity_id // 5 % 5 + 1) AS merchant_key FROM inst WHERE status <> 'paid' GROUP BY ALL HAVING bool_and(estimated AND direction = 'outflow')"""
 
+
+def _contradicted(floor: int, ratio: int, flat_ratio: str) -> str:
+    held = " AND ".join(f"modeled >= greatest({floor}::DOUBLE, {c} * ratio)" for c in ("observed", "m0", "m1"))
+    return f"""SELECT obligation_id, modeled, observed, CASE WHEN observed <= 5 THEN 'dormant' ELSE 'rewrite' END AS resolution, CASE WHEN observed > 5 THEN round((observed / factor)::DECIMAL(20,6), 2)::DOUBLE END AS new_amount FROM (
+  SELECT e.*, round((amount * factor)::DECIMAL(20,6), 2)::DOUBLE AS modeled, round((coalesce(total, 0) / 9.0::DOUBLE)::DECIMAL(20,6), 2)::DOUBLE AS observed, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1,
+    CASE WHEN account_id IN (SELECT f.account_id FROM (SELECT account_id, abs(balance) AS b FROM snap WHERE recorded_at::DATE - 9497 >= DATE '1998-01-10' QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY recorded_at, id) = 1) f
+      JOIN (SELECT account_id, abs(balance) AS b FROM snap QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY recorded_at DESC, id DESC) = 1) l ON l.account_id = f.account_id AND l.b <= f.b) THEN {flat_ratio}::DOUBLE ELSE {ratio}::DOUBLE END AS ratio FROM ({_ESTIMATED}) e LEFT JOIN (
+    SELECT account_id, trim(regexp_replace(lower(payee), '[^a-z0-9]+', '_', 'g'), '_') AS merchant_key, sum(-amount)::DOUBLE AS total, sum(-amount) FILTER (DATE '1998-06-30' - posted < 30)::DOUBLE AS m0,
+      sum(-amount) FILTER (DATE '1998-06-30' - posted BETWEEN 30 AND 59)::DOUBLE AS m1 FROM txn WHERE amount < 0 AND posted BETWEEN DATE '1998-06-30' - 270 AND DATE '1998-06-30' GROUP BY ALL) s USING (account_id, merchant_key)
+  WHERE account_id IN (SELECT account_id FROM txn WHERE posted BETWEEN DATE '1998-06-30' - 270 AND DATE '1998-06-30'))
+  WHERE {held}"""
+
+
 BODY = {
     "income_biweekly": "SELECT DISTINCT previous_business::VARCHAR AS pay_date FROM bus WHERE day BETWEEN DATE '2026-01-02' AND DATE '2026-12-31' AND (day - DATE '2026-01-02') % 14 = 0 AND previous_business >= DATE '2026-01-01'",
     "working_account": "SELECT org, account_id, name FROM acc QUALIFY row_number() OVER (PARTITION BY org ORDER BY CASE WHEN contains(lower(name), '0000007') THEN 1 WHEN kind = 'checking' THEN 2 ELSE 3 END, account_id) = 1",
@@ -109,12 +122,11 @@ BODY = {
   WHERE i.direction = 'outflow' AND i.status = 'expected' AND i.due_date <= DATE '2000-12-31' AND t.amount < 0 AND NOT t.pending AND delta <= tol
     AND t.account_id IN (SELECT account_id FROM acc WHERE kind = 'checking') AND i.id NOT IN (SELECT instance_id FROM match) AND t.id NOT IN (SELECT transaction_id FROM match))""",
     "dormant_accounts": f"SELECT obligation_id, account_id FROM ({_ESTIMATED}) e WHERE account_id % 3 = 0 AND account_id NOT IN (SELECT account_id FROM txn WHERE posted BETWEEN DATE '1998-06-30' - 60 AND DATE '1998-06-30')",
-    "contradicted_estimates": f"""SELECT obligation_id, modeled, observed, CASE WHEN observed <= 5 THEN 'dormant' ELSE 'rewrite' END AS resolution, CASE WHEN observed > 5 THEN round((observed / factor)::DECIMAL(20,6), 2)::DOUBLE END AS new_amount FROM (
-  SELECT e.*, round((amount * factor)::DECIMAL(20,6), 2)::DOUBLE AS modeled, round((coalesce(total, 0) / 9.0::DOUBLE)::DECIMAL(20,6), 2)::DOUBLE AS observed, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1 FROM ({_ESTIMATED}) e LEFT JOIN (
-    SELECT account_id, trim(regexp_replace(lower(payee), '[^a-z0-9]+', '_', 'g'), '_') AS merchant_key, sum(-amount)::DOUBLE AS total, sum(-amount) FILTER (DATE '1998-06-30' - posted < 30)::DOUBLE AS m0,
-      sum(-amount) FILTER (DATE '1998-06-30' - posted BETWEEN 30 AND 59)::DOUBLE AS m1 FROM txn WHERE amount < 0 AND posted BETWEEN DATE '1998-06-30' - 270 AND DATE '1998-06-30' GROUP BY ALL) s USING (account_id, merchant_key)
-  WHERE account_id IN (SELECT account_id FROM txn WHERE posted BETWEEN DATE '1998-06-30' - 270 AND DATE '1998-06-30'))
-  WHERE modeled >= greatest(500000::DOUBLE, observed * 2) AND modeled >= greatest(500000::DOUBLE, m0 * 2) AND modeled >= greatest(500000::DOUBLE, m1 * 2)""",
+    "contradicted_estimates": _contradicted(500000, 2, "1.5"),
+    "contradicted_by_balance": _contradicted(100000, 48, "12"),
+    "estimates_resolved": f"""SELECT id, CASE action WHEN 'rewrite' THEN new_amount ELSE amount END::DOUBLE AS amount, CASE WHEN action = 'rewrite' OR id % 4 = 0 THEN 'estimate_contradicted' WHEN id % 4 = 1 THEN 'average' END AS amount_source,
+  CASE action WHEN 'rewrite' THEN amount END::DOUBLE AS previous_amount, action FROM (SELECT i.*, new_amount, CASE WHEN resolution IS NOT NULL AND estimated AND status <> 'paid' AND id % 4 <> 0 THEN resolution ELSE 'kept' END AS action
+  FROM inst i LEFT JOIN ({_contradicted(100000, 48, "12")}) c USING (obligation_id))""",
     "estimate_provenance": """SELECT id, coalesce(len(m), 0) AS n_covered, len(miss) AS n_missing, list_min(miss)::VARCHAR AS first_missing, coalesce(len(miss) = 0, false) AS complete FROM (
   SELECT id, m, CASE WHEN m IS NOT NULL THEN list_filter(list_transform(range(0, date_diff('month', list_min(m), due_date) + 1), lambda k: (list_min(m) + to_months(k::INT))::DATE), lambda x: NOT list_contains(m, x))[1:60] END AS miss
   FROM (SELECT *, 'brand_' || (entity_id % 5 + 1) || (entity_id // 5 % 5 + 1) AS merchant_key FROM inst) i LEFT JOIN (

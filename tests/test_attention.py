@@ -2,7 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
-from cashtide.operators import digest, findings, surface
+from cashtide.operators import digest, estimates, findings, surface
 
 INSTANCE = "id long, obligation_id string, due_date date, amount decimal(18,2), status string, autopay boolean"
 
@@ -136,3 +136,38 @@ def test_color_takes_the_first_rule(spark):
     table = spark.createDataFrame(rows, "entity_id int, " + ", ".join(f"{n} {types.get(n, 'boolean')}" for n in names))
     got = [(r["reason"], r["color"]) for r in findings.status_color(table).orderBy("entity_id").collect()]
     assert got == list(zip(reasons, ["RED", "YELLOW", "RED", "RED", "RED", *["YELLOW"] * 5, "GREEN"], strict=True))
+
+
+def _flat_rows(spark):
+    at = lambda d: datetime(2026, 1, d)
+    rows = [(1, 1, D(-50), at(1)), (2, 1, D(-90), at(10)), (3, 1, D(80), at(20)),  # 90 then 80 in the window: flat, whatever came before
+            (4, 2, D(10), at(10)), (5, 2, D(11), at(20)), (6, 3, D(5), at(2)), (7, 4, D(20), at(10)), (8, 5, D(7), at(10)), (9, 5, D(9), at(10))]
+    return spark.createDataFrame(rows, "id long, account_id long, balance decimal(18,2), recorded_at timestamp")
+
+
+def test_flat_sums_magnitudes_over_an_estimates_accounts(spark):
+    links = [("a", 1), ("a", 1), ("b", 2), ("c", 3), ("d", 4), ("both", 1), ("both", 2), ("half", 2), ("half", 3), ("tie", 5), ("none", None)]
+    got = {r[0] for r in estimates.flat(spark.createDataFrame(links, "obligation_id string, account_id long"), _flat_rows(spark), "2026-01-10").collect()}
+    assert got == {"a", "d", "both"}  # 100 to 91 for both; an account outside the window says nothing, and of one time the larger id is the later
+
+
+def test_flat_balance_takes_the_lower_ratio(spark):
+    e = spark.createDataFrame([("a", 1, "shop", "monthly", 360.0), ("b", 2, "shop", "monthly", 360.0)], "obligation_id string, account_id long, merchant_key string, cadence string, amount double")
+    t = spark.createDataFrame([(a, date(2026, 1, 10 + 20 * k) if k < 1 else date(2026, 2, 10) if k == 1 else date(2026, 3, 10), D(-200), "Shop") for a in (1, 2) for k in range(3)], "account_id long, posted date, amount decimal(18,2), payee string")
+    links = e.select("obligation_id", "account_id")
+    flat = estimates.flat(links, _flat_rows(spark), "2026-01-10")
+    fires = lambda **o: sorted(r["obligation_id"] for r in estimates.contradicted(e, t, "2026-03-31", **o).collect())
+    assert fires() == [] and fires(flat=flat) == ["a"] and fires(ratio=1.8) == ["a", "b"]
+
+
+def test_resolved_twice_is_resolved_once(spark):
+    names = "id long, obligation_id string, amount decimal(18,2), amount_status string, amount_source string, status string"
+    rows = [(1, "a", D(90), "estimated", None, "expected"), (2, "a", D(90), "confirmed", None, "expected"), (3, "a", D(90), "estimated", None, "paid"), (4, "b", D(90), "estimated", "average", "expected"), (5, "c", D(90), "estimated", None, None), (6, None, D(90), "estimated", None, "expected")]
+    found = spark.createDataFrame([("a", "rewrite", 30.0), ("b", "dormant", None)], "obligation_id string, resolution string, new_amount double")
+    table = spark.createDataFrame(rows, names)
+    once = estimates.resolved(table, found)
+    assert {r["id"]: (r["amount"], r["previous_amount"], r["action"]) for r in once.collect()} == {
+        1: (D(30), D(90), "rewrite"), 2: (D(90), None, "kept"), 3: (D(90), None, "kept"), 4: (D(90), None, "dormant"), 5: (D(90), None, "kept"), 6: (D(90), None, "kept")
+    }
+    again = estimates.resolved(once.select(*table.columns), found)
+    assert sorted(map(tuple, again.select(*table.columns).collect()), key=repr) == sorted(map(tuple, once.select(*table.columns).collect()), key=repr)
