@@ -37,24 +37,34 @@ def _tolerance(amount: Column, flat: str, share: str) -> Column:
 def candidates(instances: DataFrame, transactions: DataFrame, opts: Options = Options()) -> DataFrame:
     """Scored pairs of an instance and a transaction of the same entity and direction within the window.
 
-    The interval becomes an equality: an instance is listed under each of the 2 * window + 1 days, so the join is
-    a hash or sort-merge join on (entity, direction, day), never a nested loop, and skewed entities spread by day.
-    `instances`: id, entity_id, name, due_date, amount, direction. Columns of a pair: instance_id,
+    The interval becomes an equality: days fall into blocks of window + 1, and an instance is listed under the two or three
+    that its interval meets, so the join is a hash or sort-merge join on (entity, direction, block), never a nested loop,
+    and skewed entities spread by time. `instances`: id, entity_id, name, due_date, amount, direction. Columns of a pair: instance_id,
     transaction_id, entity_id, due_date, days, delta, amount_score, date_score, merchant_score, score, match_type.
     """
+    return _scored(instances, transactions, opts, _within(opts))
+
+
+def _within(opts: Options) -> Column:
+    return F.col("delta") <= _tolerance(F.col("expected"), opts.amount_abs, opts.amount_pct)
+
+
+def _scored(instances: DataFrame, transactions: DataFrame, opts: Options, kept: Column) -> DataFrame:
+    """The pairs of `candidates` that `kept`, a condition on their delta, lets through instead of the tolerance."""
     due = F.col("due_date")
+    block = lambda c: F.floor(F.unix_date(c) / (opts.window + 1))
     inst = instances.select(
         F.col("id").alias("instance_id"), "entity_id", "direction", "due_date", F.col("amount").alias("expected"), text.tokens(F.col("name")).alias("words"),
-        F.explode(F.sequence(F.date_sub(due, opts.window), F.date_add(due, opts.window))).alias("day"),
+        F.explode(F.sequence(block(F.date_sub(due, opts.window)), block(F.date_add(due, opts.window)))).alias("block"),
     )
     txn = transactions.where("posted is not null").select(
         F.col("id").alias("transaction_id"), F.col("account_id").alias("entity_id"), F.col("posted").alias("day"), F.abs("amount").alias("observed"),
         F.when(F.col("amount") < 0, "outflow").otherwise("inflow").alias("direction"),
-        text.tokens(F.concat_ws(" ", "payee", "description")).alias("said"),
+        text.tokens(F.concat_ws(" ", "payee", "description")).alias("said"), block(F.col("posted")).alias("block"),
     )
-    pairs = inst.join(txn, ["entity_id", "direction", "day"]).withColumn("delta", F.abs(F.col("observed") - F.col("expected")))
-    near = pairs.where(F.col("delta") <= _tolerance(F.col("expected"), opts.amount_abs, opts.amount_pct))
     days = F.abs(F.datediff("day", "due_date"))
+    pairs = inst.join(txn, ["entity_id", "direction", "block"]).where(days <= opts.window).withColumn("delta", F.abs(F.col("observed") - F.col("expected")))
+    near = pairs.where(kept)
     scored = near.withColumns(
         {
             "days": F.datediff("day", "due_date"),
@@ -146,8 +156,11 @@ def shared(instances: DataFrame, transactions: DataFrame, opts: Options = Option
     Rounds over the whole table: payments without a summing set go at once, since pools only shrink. A payment is decided
     when it is the first left for all of its instances, or when its entity and direction have no earlier one left
     with a pool of twelve or fewer; both mean that its pool is final."""
-    open_window = Options(window=opts.window, amount_abs="999999999999.00", amount_pct="1.000")
-    pairs = candidates(instances, transactions, open_window).where("merchant_score > 0")
+    return _settling(_scored(instances, transactions, opts, F.lit(True)).where("merchant_score > 0"), opts)
+
+
+def _settling(pairs: DataFrame, opts: Options) -> DataFrame:
+    """`shared` from its pairs: all of the window with merchant words in common, whatever their amounts."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     left = saved(pairs.select(
         "transaction_id", "instance_id", "entity_id", "direction", F.struct(F.date_add("due_date", F.col("days")).alias("day"), "transaction_id").alias("turn"), cents("expected").alias("cents"), cents("observed").alias("target"),
@@ -185,17 +198,21 @@ def run(instances: DataFrame, transactions: DataFrame, as_of: str, settled: Data
     due = instances.where(F.col("status").isin(*RECONCILABLE) & (F.col("due_date") <= day))
     if "active_until" in instances.columns:
         due = due.where(F.col("active_until").isNull() | (F.col("due_date") <= F.col("active_until")))
-    pairs = saved(candidates(due, transactions, opts))
+    near = F.coalesce(_within(opts), F.lit(False))
+    every = saved(_scored(due, transactions, opts, F.lit(True)).where(near | (F.col("merchant_score") > 0)).withColumn("near", near))
+    pairs = every.where("near").drop("near")
     alone = best(pairs).where("match_type <> 'below_threshold'").select(F.col("instance_id").alias("id"))
-    free = transactions if settled is None else transactions.join(settled.select(F.col("transaction_id").alias("id")), "id", "left_anti")
-    groups = saved(shared(due.join(alone, "id", "left_anti"), free, opts))
+    free = every.where("merchant_score > 0").join(alone, F.col("instance_id") == F.col("id"), "left_anti")
+    if settled is not None:
+        free = free.join(settled.select("transaction_id"), "transaction_id", "left_anti")
+    groups = saved(_settling(free, opts))
     claims = greedy(pairs.join(groups.select("instance_id"), "instance_id", "left_anti").join(groups.select("transaction_id").distinct(), "transaction_id", "left_anti"))
     found = claims.withColumn("grouped", F.lit(False)).unionByName(groups.select("instance_id", "transaction_id", F.lit(None).cast("double").alias("score"), F.lit("needs_review").alias("match_type"), F.lit(True).alias("grouped")))
     paid = transactions.select(F.col("id").alias("transaction_id"), F.abs("amount").alias("observed"))
     found = saved(found.join(due.select(F.col("id").alias("instance_id"), "obligation_id", "due_date"), "instance_id").join(paid, "transaction_id"))
     charges = found.select("obligation_id", "instance_id", "due_date", "observed", "grouped")
-    every = charges if history is None else charges.unionByName(history.select(*charges.columns))
-    moved = price_changes(every, opts).where("changed").select("instance_id").withColumn("amount_changed", F.lit(True))
+    charged = charges if history is None else charges.unionByName(history.select(*charges.columns))
+    moved = price_changes(charged, opts).where("changed").select("instance_id").withColumn("amount_changed", F.lit(True))
     found = found.drop("obligation_id", "due_date", "observed").join(moved, "instance_id", "left").withColumnRenamed("instance_id", "id")
     changed = F.coalesce(F.col("amount_changed") & ~F.col("grouped"), F.lit(False))
     outcome = F.when(F.col("match_type").isNull(), "unmatched").when(F.col("grouped"), "shared").when(changed, "needs_review").otherwise(F.col("match_type"))
