@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddup, jaccard, langid, licenses, mixing, packing, pii, pitman, quality, repair, topk, vectorcodes
-from .newer_sql import CODES_SQL, REPAIR_SQL
 from .common import table
+from .newer_sql import CODES_SQL, REPAIR_SQL
+from .pair_sql import EMBEDDINGS_SQL, JACCARD_SQL
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,4 +164,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_topk": _TOPK_SQL, "op1_license_scan": _license_sql(), "op4_chat_formatting": _CHAT_SQL, "op5_mixing": _MIX_SQL, "op11_conversation_repair": REPAIR_SQL, "op13_vector_codes": CODES_SQL}
+    return {
+        "op3_exact_topk": _TOPK_SQL, "op1_license_scan": _license_sql(), "op4_chat_formatting": _CHAT_SQL, "op5_mixing": _MIX_SQL, "op9_jaccard_join": JACCARD_SQL,
+        "op10_embedding_near_dedup": EMBEDDINGS_SQL, "op11_conversation_repair": REPAIR_SQL, "op13_vector_codes": CODES_SQL,
+    }
