@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import dates, text
 from ..operators import audit, balances, estimates, findings, ledger, projection, reconcile, recurring, spending
 from ..sources import adapters
-from . import attention, feeds, ledgers, listings, oracle, rosters, settlements
+from . import attention, feeds, ledgers, listings, manuals, oracle, rosters, settlements
 
 FLAGSHIP = "spending_by_category"
 YEAR = ("1998-01-01", "1998-12-31")
@@ -423,7 +423,7 @@ _ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL + rosters.ALL + listings.ALL + ledgers.ALL + feeds.ALL + attention.ALL + settlements.ALL}
+    return {f.__name__: (lambda spark, d, f=f: plain(f(spark, d))) for f in _ALL + rosters.ALL + listings.ALL + ledgers.ALL + feeds.ALL + attention.ALL + settlements.ALL + manuals.ALL}
 
 
 def oracle_sql() -> dict:

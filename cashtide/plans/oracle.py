@@ -296,7 +296,7 @@ BODY |= {
 
 
 def sql() -> dict:
-    from . import attention, feeds, ledgers, listings, rosters, settlements
+    from . import attention, feeds, ledgers, listings, manuals, rosters, settlements
 
-    steps = STEPS | {"list_parity": listings.PARITY} | ledgers.steps() | feeds.STEPS | attention.steps() | settlements.steps()
-    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL | ledgers.sql() | feeds.SQL | attention.sql() | settlements.SQL).items()}
+    steps = STEPS | {"list_parity": listings.PARITY} | ledgers.steps() | feeds.STEPS | attention.steps() | settlements.steps() | manuals.STEPS
+    return {k: f"WITH RECURSIVE {BASE}{',' + steps[k] if k in steps else ''}\n{body}" for k, body in (BODY | rosters.SQL | listings.SQL | ledgers.sql() | feeds.SQL | attention.sql() | settlements.SQL | manuals.SQL).items()}
