@@ -178,7 +178,7 @@ def _recurring(spark, d):
 
 
 def recurring_triage(spark, d):
-    return _recurring(spark, d).select("account_id", "merchant_key", "cadence", "method", "confidence", "candidate_type", F.round("priority", 6).alias("priority"), "disposition")
+    return _recurring(spark, d).select("account_id", "merchant_key", "cadence", "method", "confidence", "candidate_type", F.round(F.col("priority").cast("decimal(28,10)"), 6).alias("priority"), "disposition")
 
 
 def apply_schedule(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import manual
+from ..operators import manual, recurring
 from ..sources import adapters
 
 #: Account names by key, as the test tables have none that differ; forty accounts belong to one owner.
@@ -52,7 +52,18 @@ def manual_replaced(spark, d):
     return manual.entered(_placed(spark, d), adapters.snapshots(spark, d))
 
 
-ALL = (account_lookup, manual_balances, manual_replaced)
+def charge_policies(spark, d):
+    """Payees by brand: some are named after usage, some look like own transfers, some say usage in the description alone, some charge a fixed sum."""
+    brand = F.regexp_extract("payee", "[0-9]+$", 0).cast("int")
+    t = adapters.transactions(spark, d).withColumn("b", brand)
+    payee = F.when(F.col("b") % 5 == 1, F.concat(F.lit("City Electric "), "b")).when(F.col("b") % 5 == 2, F.concat(F.lit("Online Transfer "), "b")).otherwise(F.col("payee"))
+    said = F.when(F.col("b") % 5 == 3, F.concat("description", F.lit(" 12 kWh"))).otherwise(F.col("description"))
+    paid = F.when(F.col("b") % 5 == 0, F.when(F.col("amount") < 0, -(F.col("b") + 10)).otherwise(F.col("b") + 10)).otherwise(F.col("amount")).cast(adapters.MONEY)
+    rows = t.withColumns({"payee": payee, "description": said, "amount": paid}).drop("b")
+    return recurring.policies(recurring.candidates(recurring.statistics(rows, adapters.accounts(spark, d), with_inflows=True)))
+
+
+ALL = (account_lookup, manual_balances, manual_replaced, charge_policies)
 
 _WORDS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
@@ -86,4 +97,23 @@ SQL = {
     "manual_replaced": f"""SELECT origin, id, account_id, balance::DOUBLE AS balance, {_TIME.format("us")} AS recorded_at,
   (SELECT min(e.entry_id) FROM done e WHERE e.account_id = h.account_id AND e.entry_id > h.turn AND e.as_of = make_timestamp(h.us)::DATE) AS replaced_by FROM hand h""",
 }
-STEPS = dict.fromkeys(SQL, _ASKED)
+_CHARGED = """bt AS (SELECT t.account_id, t.id, posted, kind AS class, regexp_extract(payee, '[0-9]+$')::INT AS b, amount, payee FROM txn t JOIN acc a ON t.account_id = a.account_id),
+bp AS (SELECT account_id, id, posted, class, b % 5 IN (1, 3) AS usage, b % 5 = 2 AS internal, CASE b % 5 WHEN 1 THEN 'City Electric ' || b WHEN 2 THEN 'Online Transfer ' || b ELSE payee END AS payee, CASE WHEN amount < 0 THEN 'outflow' ELSE 'inflow' END AS direction,
+  (CASE b % 5 WHEN 0 THEN b + 10 ELSE abs(amount) END)::DECIMAL(18,2) AS paid FROM bt WHERE amount <> 0),
+bg AS (SELECT *, posted - lag(posted) OVER (PARTITION BY account_id, payee, class, direction ORDER BY posted, id) AS gap FROM bp),
+bs AS (SELECT account_id, payee, class, direction, any_value(usage) AS usage, any_value(internal) AS internal, count(*) AS n, avg(paid::DOUBLE) AS mean, median(paid::DOUBLE) AS mid, stddev_pop(paid::DOUBLE) / avg(paid::DOUBLE) AS cv, median(gap)::DOUBLE AS step,
+  list(gap) FILTER (gap IS NOT NULL) AS gaps, list(paid ORDER BY posted DESC, id DESC)[1:3] AS recent, max(posted) AS last, (round_even((max(posted) - min(posted)) / 30.44::DOUBLE, 0) + 1)::BIGINT AS months,
+  round_even(median(day(posted))::DOUBLE, 0)::BIGINT AS typical_day, max(day(posted)) - min(day(posted)) AS day_spread FROM bg GROUP BY ALL HAVING count(*) >= 2),
+bk AS (SELECT *, list_transform(list_append(gaps, step), lambda g: CASE WHEN g < 4 THEN 'unknown' WHEN g <= 10 THEN 'weekly' WHEN g <= 18 THEN 'biweekly' WHEN g <= 37 THEN 'monthly' WHEN g <= 75 THEN 'irregular_multiweek' WHEN g <= 100 THEN 'quarterly' ELSE 'irregular' END) AS labels FROM bs),
+bc AS (SELECT *, CASE WHEN labels[-1] LIKE 'irregular%' OR len(list_filter(labels[1:-2], lambda x: x = labels[-1])) >= 3 THEN labels[-1] ELSE 'unknown' END AS cadence,
+  CASE WHEN direction = 'outflow' AND class = 'card' AND usage THEN 'seasonal_card_spend' WHEN direction = 'outflow' AND class IN ('checking', 'savings') AND usage AND cv > 0.08 THEN 'seasonal_multiplier' WHEN list_max(recent) - list_min(recent) <= greatest(0.01, list_max(recent)::DOUBLE * 0.01) THEN 'last'
+    WHEN cv <= 0.05 THEN 'fixed' WHEN cv <= 0.2 THEN 'average' ELSE 'needs_review' END AS m FROM bk),
+bd AS (SELECT *, CASE WHEN n >= 4 AND months >= 4 AND cadence IN ('weekly', 'biweekly', 'monthly') AND cv <= 0.1 THEN 'high' WHEN n >= 3 AND months >= 3 AND cadence IN ('weekly', 'biweekly', 'monthly', 'irregular_multiweek') THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN direction = 'inflow' THEN 'inflow' WHEN internal THEN 'internal_transfer' WHEN m = 'needs_review' AND NOT usage THEN 'variable_spend' WHEN class = 'card' THEN 'card_statement_input' WHEN class IN ('checking', 'savings') THEN 'direct_checking_outflow' ELSE 'review_only' END AS candidate_type,
+  CASE WHEN direction = 'inflow' THEN 'inflow' WHEN class = 'card' THEN 'card_statement_input' WHEN class IN ('checking', 'savings') THEN 'direct_checking' ELSE 'review_only' END AS treatment, CASE WHEN m LIKE 'seasonal%' THEN 1.5::DOUBLE END AS peak FROM bc),
+be AS (SELECT *, concat_ws(',', CASE WHEN n < 4 THEN 'few_charges' END, CASE WHEN peak > 0 AND months < 12 THEN 'seasonal_under_a_year' END, CASE WHEN cv > 0.2 THEN 'amounts_vary' END, CASE WHEN treatment = 'card_statement_input' THEN 'statement_cycle_unknown' END,
+  CASE WHEN cadence LIKE 'irregular%' OR cadence = 'unknown' THEN 'timing_lumpy' END) AS missing FROM bd)"""
+SQL["charge_policies"] = """SELECT account_id, trim(regexp_replace(lower(payee), '[^a-z0-9]+', '_', 'g'), '_') AS merchant_key, class, direction, payee AS display_name, treatment, candidate_type, cadence, confidence, typical_day, day_spread,
+  (last + round_even(step, 0)::INT)::VARCHAR AS next_date, CASE m WHEN 'last' THEN 'fixed' ELSE m END AS policy, round((CASE m WHEN 'last' THEN recent[1]::DOUBLE WHEN 'needs_review' THEN mid ELSE mean END)::DECIMAL(28,10), 2)::DOUBLE AS proposed, peak AS summer_multiplier, peak AS winter_multiplier, missing,
+  concat_ws(',', CASE WHEN confidence = 'low' THEN 'confidence_low' END, CASE WHEN candidate_type IN ('card_statement_input', 'internal_transfer', 'variable_spend') THEN candidate_type END, CASE WHEN missing <> '' THEN 'evidence_missing' END) AS reasons FROM be"""
+STEPS = dict.fromkeys(SQL, _ASKED) | {"charge_policies": _CHARGED}

@@ -68,7 +68,7 @@ rows AS (SELECT t.account_id, id, posted, kind AS class, abs(amount) AS paid, tr
 gapped AS (SELECT *, posted - lag(posted) OVER (PARTITION BY account_id, merchant_key, class ORDER BY posted, id) AS gap FROM rows),
 stats AS (SELECT account_id, merchant_key, class, count(*) AS n, avg(paid::DOUBLE) AS mean, median(paid::DOUBLE) AS median_amount, min(paid) AS low, max(paid) AS high,
   stddev_pop(paid::DOUBLE) / avg(paid::DOUBLE) AS cv, median(gap)::DOUBLE AS median_gap, list(gap) FILTER (gap IS NOT NULL) AS gaps, list(paid ORDER BY posted DESC, id DESC)[1:3] AS recent,
-  max(posted) AS last_date, (round_even((max(posted) - min(posted)) / 30.44::DOUBLE, 0) + 1)::BIGINT AS months_covered, count(DISTINCT strftime(posted, '%Y-%m')) AS span_months
+  max(posted) AS last_date, (round_even((max(posted) - min(posted)) / 30.44::DOUBLE, 0) + 1)::BIGINT AS months_covered, date_diff('month', min(posted), max(posted)) + 1 AS span_months
   FROM gapped GROUP BY ALL HAVING count(*) >= 2),
 label AS (SELECT *, CASE WHEN median_gap IS NULL OR median_gap < 4 THEN ['unknown', '-1', '3'] WHEN median_gap <= 10 THEN ['weekly', '4', '10'] WHEN median_gap <= 18 THEN ['biweekly', '10', '18']
   WHEN median_gap <= 37 THEN ['monthly', '18', '37'] WHEN median_gap <= 75 THEN ['irregular_multiweek', '', ''] WHEN median_gap <= 100 THEN ['quarterly', '75', '100'] ELSE ['irregular', '', ''] END AS l FROM stats),
@@ -77,8 +77,8 @@ cad AS (SELECT *, CASE WHEN l[1] IN ('irregular', 'irregular_multiweek') THEN l[
   CASE WHEN len(recent) >= 2 AND list_max(recent) - list_min(recent) <= greatest(0.01, list_max(recent)::DOUBLE * 0.01) THEN 'fixed_last' WHEN cv <= 0.05 THEN 'fixed' WHEN cv <= 0.20 THEN 'average' ELSE 'needs_review' END AS method FROM label),
 cand AS (SELECT *, CASE method WHEN 'fixed_last' THEN recent[1]::DOUBLE WHEN 'needs_review' THEN median_amount ELSE mean END AS amount,
   CASE WHEN n >= 4 AND months_covered >= 4 AND cadence IN ('weekly', 'biweekly', 'monthly') AND cv <= 0.10 THEN 'high'
-    WHEN n >= 3 AND months_covered >= 3 AND cadence IN ('weekly', 'biweekly', 'monthly', 'quarterly', 'irregular_multiweek') THEN 'medium' ELSE 'low' END AS confidence,
-  CASE WHEN method = 'needs_review' THEN 'variable_spend' WHEN class = 'card' THEN 'card_statement_input' WHEN class = 'checking' THEN 'direct_checking_outflow' ELSE 'review_only' END AS candidate_type FROM cad),
+    WHEN n >= 3 AND months_covered >= 3 AND cadence IN ('weekly', 'biweekly', 'monthly', 'irregular_multiweek') THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN method = 'needs_review' THEN 'variable_spend' WHEN class = 'card' THEN 'card_statement_input' WHEN class IN ('checking', 'savings') THEN 'direct_checking_outflow' ELSE 'review_only' END AS candidate_type FROM cad),
 prio AS (SELECT *, amount * n / greatest(span_months, 1) * CASE candidate_type WHEN 'variable_spend' THEN 0.3::DOUBLE WHEN 'card_statement_input' THEN 0.9::DOUBLE WHEN 'direct_checking_outflow' THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS priority,
   cadence IN ('weekly', 'biweekly', 'monthly', 'quarterly') AS regular FROM cand),
 hol AS (
@@ -177,7 +177,7 @@ BODY = {
     "prior_amount_change": "SELECT instance_id, previous::DOUBLE AS previous, coalesce(abs(amount - previous) > 5 AND abs(amount - previous) > previous * 0.1, false) AS changed FROM (SELECT id AS instance_id, amount, last_value(CASE WHEN NOT discretionary THEN amount END IGNORE NULLS) OVER (PARTITION BY obligation_id ORDER BY due_date, id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS previous FROM inst)",
     "post_cancellation": "SELECT obligation_id, t.id AS transaction_id, t.posted::VARCHAR AS posted, t.observed::DOUBLE AS observed, e.ended::VARCHAR AS cancelled_on FROM (SELECT obligation_id, entity_id, direction, words, max(due_date) AS ended, arg_max(amount, (due_date, id)) AS last_amount FROM words_i GROUP BY ALL) e JOIN words_t t ON t.account_id = e.entity_id AND t.direction = e.direction AND t.posted > e.ended AND abs(t.observed - last_amount) <= greatest(50000.00, last_amount * 0.5) AND len(list_intersect(words, said)) > 0 WHERE t.id NOT IN (SELECT transaction_id FROM match)",
     "recurring_stats": "SELECT account_id, merchant_key, class, n, round(mean, 6) AS mean, round(median_amount, 6) AS median_amount, low::DOUBLE AS low, high::DOUBLE AS high, round(cv, 6) AS cv, median_gap, months_covered, span_months FROM stats",
-    "recurring_triage": """SELECT account_id, merchant_key, cadence, method, confidence, candidate_type, round(priority, 6) AS priority, CASE WHEN months_covered < 2 AND NOT regular THEN CASE WHEN priority > 75 THEN 'park' ELSE 'auto_reject' END
+    "recurring_triage": """SELECT account_id, merchant_key, cadence, method, confidence, candidate_type, round(priority::DECIMAL(28,10), 6)::DOUBLE AS priority, CASE WHEN months_covered < 2 AND NOT regular THEN CASE WHEN priority > 75 THEN 'park' ELSE 'auto_reject' END
   WHEN candidate_type = 'variable_spend' AND NOT regular AND confidence = 'low' THEN CASE WHEN priority > 75 THEN 'park' ELSE 'auto_reject' END WHEN candidate_type = 'variable_spend' AND regular THEN 'park' WHEN candidate_type = 'review_only' THEN 'park' ELSE 'surface' END AS disposition FROM prio""",
     "apply_schedule": """SELECT account_id, merchant_key, unnest(CASE WHEN cadence = 'monthly' THEN list_filter(list_transform(range(0, 8), lambda i: (last_date + to_months(i::INT))::DATE), lambda x: x < last_date + 180)
   ELSE list_transform(range(0, 180, CASE cadence WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 WHEN 'quarterly' THEN 91 ELSE greatest(1, round_even(median_gap, 0))::BIGINT END), lambda i: last_date + i::INT) END)::VARCHAR AS due_date FROM prio WHERE confidence IN ('medium', 'high')""",
