@@ -128,16 +128,27 @@ def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS, without
     return met.where(~hit if without else hit).select(*rows.columns)
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that connect what the links of `edges` connect: of the smaller neighbours of each node only the
+    smallest one stays linked with it, and the others are linked with that one instead. Nodes that hang together by
+    the same few hubs keep about one link each, however many of the hubs each is linked with."""
+    e = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = saved(e.distinct())
+    low = e.groupBy(F.col("b").alias("_b")).agg(F.min("a").alias("low"))
+    others = e.join(low, F.col("b") == F.col("_b")).where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    return low.select(F.col("low").alias("a"), F.col("_b").alias("b")).unionAll(others).distinct()
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of a table of links: (node, component), component being the smallest node reachable.
 
-    Every round replaces each node's label by the smallest label among its neighbours and then follows
-    the label's own label (pointer jumping), so long chains shorten by doubling. One joined, aggregated
-    and saved table a round; nothing but a count of changes reaches the driver. Nodes that have no link
+    First the links are thinned (see thinned). Every round replaces each node's label by the smallest label among its
+    neighbours and then follows the label's own label (pointer jumping), so long chains shorten by doubling. One joined,
+    aggregated and saved table a round; nothing but a count of changes reaches the driver. Nodes that have no link
     are not returned. Null ends are ignored, repeated links and loops do no harm.
     """
-    e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
-    both = saved(e.select("a", "b").unionAll(e.select(F.col("b"), F.col("a"))).distinct())
+    e = saved(thinned(edges.select(F.col(left).alias("a"), F.col(right).alias("b"))))
+    both = saved(e.unionAll(e.select(F.col("b"), F.col("a"))))
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = (
