@@ -24,8 +24,8 @@ ORDER, HOT, CELLS = 6, 1 << 20, 1 << 22
 #: Characters that the restaurants sampled together end in; discounts of the orders above TOP (from counts of counts of
 #: such texts; those of the lower orders are estimated); the probability of a character that the first sweep takes there.
 TOP, DISCOUNTS, FLAT = 3, {4: 0.55, 5: 0.65, 6: 0.75}, 1 / 64
-#: Different n-grams that a task holds while it counts, and n-grams sampled at a time at least.
-COUNTED, TOGETHER = 1 << 20, 1 << 17
+#: Different n-grams that a task holds while it counts, those that it sends at a time, and n-grams sampled at a time at least.
+COUNTED, SENT, TOGETHER = 1 << 20, 1 << 16, 1 << 17
 #: Sweeps of the sampler, and how many of the first ones are not averaged; concentration of every restaurant.
 SWEEPS, BURN, CONCENTRATION = 3, 1, 1.0
 #: Customers of one dish whose seating is drawn exactly; cells of a draw's table held at once.
@@ -115,17 +115,32 @@ def counted(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, at, back = np.unique(h, return_index=True, return_inverse=True)
-            return u, w[at], np.bincount(back, n).astype(np.int64)
-
-        def sent() -> pa.RecordBatch:
-            _, w, n = merged()
-            held.clear()
+        def merge() -> None:
+            """Makes what is held one sorted run; the windows, most of the memory, are copied once and only those that stay."""
+            h = np.concatenate([x[0] for x in held])
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            u, at = h[start], order[start]
+            n = np.add.reduceat(np.concatenate([x[2] for x in held])[order], start)
+            del h, order
+            w, base = np.empty((len(at), ORDER), "<u4"), 0
+            for k, (_, x, _) in enumerate(held):
+                mine = np.flatnonzero((at >= base) & (at < base + len(x)))
+                w[mine] = x[at[mine] - base]
+                base += len(x)
+                held[k] = held[k][:1] + (x[:0], held[k][2])  # its windows are in w
+                del x
+            held[:] = [(u, w, n)]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            """What is held, as batches of SENT rows: texts and their encodings exist for one batch at a time."""
+            merge()
+            _, w, n = held.pop()
             order = np.argsort(w.view(f"<U{ORDER}").ravel())  # neighbours are alike: they pack better
-            w, n = w[order], n[order]
-            return pa.RecordBatch.from_pydict({"g": pa.array(w.view(f"<U{ORDER}").ravel().tolist(), pa.string()), "n": pa.array(n)})
+            for i in range(0, len(order), SENT):
+                some = order[i : i + SENT]
+                yield pa.RecordBatch.from_arrays([_texts(w[some]), pa.array(n[some])], ["g", "n"])
 
         ready = (pa.RecordBatch.from_arrays([joined(b.column("text"))], ["text"]) for b in _sliced(batches))
         for c, spans, _ in _chunks(ready, ORDER):
@@ -133,12 +148,12 @@ def counted(texts: DataFrame) -> DataFrame:
             ends = np.concatenate([np.arange(a, b) for _, a, b in spans])
             u, at, n = np.unique(h[ends], return_index=True, return_counts=True)
             held.append((u, np.ascontiguousarray(c[ends[at][:, None] + np.arange(1 - ORDER, 1)]).astype("<u4"), n))
-            if sum(len(x[0]) for x in held) > 2 * COUNTED:
-                held[:] = [merged()]
+            if sum(len(x[0]) for x in held) > COUNTED * 3 // 2:
+                merge()
                 if len(held[0][0]) > COUNTED:
-                    yield sent()
+                    yield from sent()
         if held:
-            yield sent()
+            yield from sent()
 
     rows = texts.select("text").mapInArrow(run, "g string, n long").where(F.col("g") != START * ORDER)
     return saved(rows.repartition(_ending()).groupBy(_ending().alias("k"), "g").agg(F.sum("n").alias("n")).select("g", "n"))
@@ -199,8 +214,17 @@ def together(grams: np.ndarray, n: np.ndarray, parent: np.ndarray, sweeps: int,
     return {k: (x["codes"], x["raw"], x["t"], x["sum"], less[k], x["of"]) for k, x in levels.items()}
 
 
-def _texts(codes: np.ndarray) -> list[str]:
-    return np.ascontiguousarray(codes).view(f"<U{codes.shape[1]}").ravel().tolist()
+def _texts(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as texts, without a Python object for each."""
+    raw = np.ascontiguousarray(codes, "<u4").tobytes().decode("utf-32-le").encode()
+    size = (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).sum(axis=1)
+    ends = np.concatenate(([0], np.cumsum(size))).astype("<i4")
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(raw))
+
+
+def _codes(texts: pa.Array) -> np.ndarray:
+    """The other way, for texts of ORDER characters each."""
+    return np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py().encode("utf-32-le"), "<u4").reshape(-1, ORDER)
 
 
 def deep(rows: DataFrame, sweeps: int, burn: int, last: bool) -> DataFrame:
@@ -211,18 +235,18 @@ def deep(rows: DataFrame, sweeps: int, burn: int, last: bool) -> DataFrame:
         found = together(x, n, p, sweeps, burn)
         if not last:
             codes, raw, t, *_ = found[TOP + 1]
-            yield pa.RecordBatch.from_pydict({"g": pa.array(_texts(codes[:, 1:]), pa.string()), "n": pa.array(t), "raw": pa.array(raw)})
+            yield pa.RecordBatch.from_pydict({"g": _texts(codes[:, 1:]), "n": pa.array(t), "raw": pa.array(raw)})
             return
         for k, (codes, raw, _, mean, less, of) in found.items():
             back = np.log(np.maximum(1 - np.bincount(of, mean), 1e-12) / np.maximum(1 - np.bincount(of, less), 1e-12))
             _, at = np.unique(of, return_index=True)
-            yield pa.RecordBatch.from_pydict({"g": pa.array(_texts(codes), pa.string()), "v": pa.array(np.log(mean) - back[of] - np.log(less)), "raw": pa.array(raw)})
-            yield pa.RecordBatch.from_pydict({"g": pa.array(_texts(codes[at, : k - 1]), pa.string()), "v": pa.array(back), "raw": pa.array(np.zeros(len(at), np.int64))})
+            yield pa.RecordBatch.from_pydict({"g": _texts(codes), "v": pa.array(np.log(mean) - back[of] - np.log(less)), "raw": pa.array(raw)})
+            yield pa.RecordBatch.from_pydict({"g": _texts(codes[at, : k - 1]), "v": pa.array(back), "raw": pa.array(np.zeros(len(at), np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
-            held.append((np.array(b.column("g").to_pylist(), f"<U{ORDER}"), b.column("n").to_numpy(), b.column("p").to_numpy()))
+            held.append((_codes(b.column("g")).view(f"<U{ORDER}").ravel(), b.column("n").to_numpy(), b.column("p").to_numpy()))
             if sum(len(x[0]) for x in held) >= TOGETHER:
                 g, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
                 ends = g.view("<u4").reshape(-1, ORDER)[:, ORDER - TOP - 1 : ORDER - 1]

@@ -1,13 +1,16 @@
 """Brute-force comparisons of conversation repair, vector codes and language-model scores."""
 
+import contextlib
 import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +208,54 @@ def test_nothing_to_learn_from(spark):
     rows = pitman.score(df, F.lit(True)).collect()
     assert len(rows) == 3 and all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in rows)
     assert pitman.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def _counting(batches):
+    """What a task of pitman.counted sends for its batches."""
+
+    class Task:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.sent = run(batches)
+            raise StopIteration
+
+    task = Task()
+    with contextlib.suppress(StopIteration):
+        pitman.counted(task)
+    return task.sent
+
+
+def test_scores_count_ngrams_in_bounded_memory(monkeypatch):
+    """A task holds the n-grams that it counts, in a few bytes each: a Python text for every one took most of an executor."""
+    monkeypatch.setattr(pitman, "COUNTED", 1 << 18)
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, x)) for x in rng.integers(97, 123, (40, 20_000))]  # nearly all n-grams differ
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 4])}) for i in range(0, 40, 4)]
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column("n").to_pylist()) for b in _counting(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(t) + 3 for t in texts)  # the start alone, an end of words and an end each
+    assert peak < 280 * pitman.COUNTED, peak / pitman.COUNTED
+
+
+@pytest.mark.parametrize("counted", [300, 1 << 20])
+def test_scores_count_every_ngram(monkeypatch, counted):
+    monkeypatch.setattr(pitman, "COUNTED", counted)
+    monkeypatch.setattr(pitman, "SENT", 64, raising=False)
+    monkeypatch.setattr(quality, "CHUNK", 200)
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab é€😀") for _ in range(rnd.randrange(90))) for _ in range(60)] + [None, ""]
+    want = Counter()
+    for t in pitman.joined(pa.array(texts)).to_pylist():
+        s = quality.START * pitman.ORDER + t + quality.END
+        want.update(s[i - pitman.ORDER + 1 : i + 1] for i in range(pitman.ORDER - 1, len(s)))
+    got = Counter()
+    for b in _counting([pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 9], pa.string())}) for i in range(0, 62, 9)]):
+        for g, n in zip(b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True):
+            got[g] += n
+    assert got == want
