@@ -30,8 +30,8 @@ COUNTED, SENT, TOGETHER = 1 << 20, 1 << 16, 1 << 17
 SWEEPS, BURN, CONCENTRATION = 3, 1, 1.0
 #: Customers of one dish whose seating is drawn exactly; cells of a draw's table held at once.
 EXACT, HELD = 64, 1 << 20
-#: Words that every task knows, the most frequent ones; bytes of text split at a time.
-HOT_WORDS, SLICE = 1 << 18, 1 << 22
+#: Words that every task knows, the most frequent ones; words that a task holds while it counts; bytes of text split at a time.
+HOT_WORDS, WORDS, SLICE = 1 << 18, 1 << 19, 1 << 22
 #: Ends the last word of a text: no word holds it.
 END_OF_WORDS = "\n"
 
@@ -350,9 +350,19 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) of the words in `train`'s texts, summed within each task first; the end of texts is not in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in _sliced(batches):
             found = pc.value_counts(_words(joined(b.column("text")))[1])
-            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+            held.append(pa.table([found.field("values"), found.field("counts")], ["word", "n"]))
+            size += len(found)
+            if size > WORDS:
+                held = [pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])]
+                size = held[0].num_rows
+                if size > WORDS // 2:
+                    yield from held.pop().to_batches(SENT)
+                    size = 0
+        if held:
+            yield from pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(SENT)
 
     return saved(train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 

@@ -259,3 +259,28 @@ def test_scores_count_every_ngram(monkeypatch, counted):
         for g, n in zip(b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True):
             got[g] += n
     assert got == want
+
+
+@pytest.mark.parametrize("held", [40, 1 << 19])
+def test_scores_count_words_once_a_task(monkeypatch, held):
+    """A task sends a word once, not once a batch, unless it holds too many."""
+    monkeypatch.setattr(pitman, "WORDS", held, raising=False)
+    texts = [f"the Quick {i % 50} the {i % 7}" for i in range(400)] + [None, " "]
+    sent = []
+
+    class Task:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 20], pa.string())}) for i in range(0, 402, 20)]
+            sent.extend(r for b in run(iter(batches)) for r in b.to_pylist())
+            raise StopIteration
+
+    with contextlib.suppress(StopIteration):
+        pitman.word_counts(Task())
+    got = Counter()
+    for r in sent:
+        got[r["word"]] += r["n"]
+    assert got == Counter(" ".join(t for t in texts if t).lower().split())
+    assert held == 40 or len(sent) == len(got)
