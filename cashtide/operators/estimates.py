@@ -177,21 +177,28 @@ def unexpected(candidates: DataFrame, obligations: DataFrame) -> DataFrame:
     return free.select("account_id", "merchant_key", F.col("priority").alias("impact"), (F.col("priority") / weight).alias("monthly"))
 
 
-def check_suggestions(bills: DataFrame, checks: DataFrame, paid: DataFrame, grace: int = 7, amount_abs: str = "2.00", amount_pct: str = "0.025") -> DataFrame:
+def check_suggestions(
+    bills: DataFrame, checks: DataFrame, paid: DataFrame, grace: int = 7, amount_abs: str = "2.00", amount_pct: str = "0.025", spoken_for: DataFrame | None = None
+) -> DataFrame:
     """suggestion_id, instance_id, transaction_id, score, ambiguous: unmatched bills and the checks that may have paid them.
 
     `bills`: id, entity_id, obligation_id, due_date, amount; `checks`: id, account_id, posted, amount, description,
-    of which those that read like CHECK n count; `paid`: obligation_id, account_id of earlier payments. The join
-    is on entity and day, a bill being listed under its days. Bills that compete for one check share its last tenth."""
+    of which those that read like CHECK n count; `paid`: obligation_id, account_id of earlier payments; `spoken_for`
+    (transaction_id): checks that are taken, left out of the pairs, which are far fewer than the checks. The join is on entity and
+    block of days, a bill being listed under the two or three that it meets. Bills that compete for one check share its last tenth."""
+    due = F.col("due_date")
+    block = lambda c: F.floor(F.unix_date(c) / (grace + 1))
     read = checks.where(F.col("description").rlike(r"(?i)\bCHECK\s*(?:#\s*)?\d+\b") & (F.col("amount") < 0))
-    drawn = read.select(F.col("id").alias("transaction_id"), F.col("account_id").alias("entity_id"), F.col("posted").alias("day"), F.abs("amount").alias("observed"))
-    listed = bills.withColumn("day", F.explode(F.sequence(F.date_sub("due_date", grace), F.date_add("due_date", grace))))
+    drawn = read.select(F.col("id").alias("transaction_id"), F.col("account_id").alias("entity_id"), F.col("posted").alias("day"), F.abs("amount").alias("observed"), block(F.col("posted")).alias("block"))
+    listed = bills.select("id", "entity_id", "obligation_id", "due_date", "amount", F.explode(F.sequence(block(F.date_sub(due, grace)), block(F.date_add(due, grace)))).alias("block"))
     tol = F.greatest(F.lit(amount_abs).cast(MONEY), F.col("amount") * F.lit(amount_pct).cast("decimal(4,3)"))
     delta = F.abs(F.col("observed") - F.col("amount"))
-    pairs = listed.join(drawn, ["entity_id", "day"]).where(delta <= tol)
+    apart = F.abs(F.datediff("day", "due_date"))
+    pairs = listed.join(drawn, ["entity_id", "block"]).where((apart <= grace) & (delta <= tol))
+    if spoken_for is not None:
+        pairs = pairs.join(spoken_for, "transaction_id", "left_anti")
     here = paid.select("obligation_id", F.col("account_id").alias("entity_id"), F.lit(0.1).alias("here")).distinct()
     ever = paid.select("obligation_id", F.lit(0.1).alias("ever")).distinct()
-    apart = F.abs(F.datediff("day", "due_date"))
     base = F.round(
         0.5 * (1 - delta.cast("double") / tol.cast("double")) + 0.3 * (1 - apart / F.lit(float(grace))) + F.coalesce("here", F.lit(0.0)) + F.coalesce("ever", F.lit(0.0)), 3
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balances, digest, findings, projection, surface
 from ..sources import adapters
+from ..sources.tables import saved
 from .rosters import REMINDERS, _pick
 
 DAY, SEEN, NOW, OLD = "1998-06-30", "2024-01-31", "2024-02-01 00:00:00", "2024-02-25"
@@ -66,11 +67,11 @@ def _guardrails(spark, d):
     return found, stale, surface.snoozed(sums.select(name("drift_threshold").alias("warning_id"), "total"), said, DAY)
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, t=None):
     from . import catalog
 
     grade = adapters.by_value(F.col("confidence"), {"high": "in_review", "medium": "proposed"}, "discovered")
-    return catalog._recurring(spark, d).select(F.when(F.col("disposition") == "surface", grade).otherwise("parked").alias("status"))
+    return catalog._recurring(spark, d, t).select(F.when(F.col("disposition") == "surface", grade).otherwise("parked").alias("status"))
 
 
 def _items(spark, d):
@@ -101,12 +102,22 @@ def surface_items(spark, d):
     return _items(spark, d)
 
 
-def _bill_items(spark, d):
+def _from_transactions(spark, d):
+    """The transactions, the matches, and the items of check questions and of the queue, each saved: the joins behind them are planned and run once,
+    and only one of them holds shuffle files at a time."""
     from . import catalog
 
+    t = saved(adapters.transactions(spark, d))
+    taken = saved(catalog.matches(spark, d, t).select("instance_id", "transaction_id", "match_type"))
+    held = adapters.instances(spark, d).select(F.col("id").alias("instance_id"), "amount")
+    asked = catalog.check_suggestions(spark, d, t, taken).select("suggestion_id", "instance_id").join(held, "instance_id")
+    return t, taken, saved(surface.check_questions(asked)), saved(surface.onboarding(_candidates(spark, d, t)))
+
+
+def _bill_items(spark, d):
     i = adapters.instances(spark, d)
-    asked = catalog.check_suggestions(spark, d).join(i.select(F.col("id").alias("instance_id"), "amount"), "instance_id")
-    return surface.united([_bills(spark, d), surface.estimates(i.join(findings.stale_estimates(i, DAY).select("id"), "id", "left_semi")), surface.check_questions(asked), surface.onboarding(_candidates(spark, d))])
+    _, _, asked, queue = _from_transactions(spark, d)
+    return saved(surface.united([_bills(spark, d), surface.estimates(i.join(findings.stale_estimates(i, DAY).select("id"), "id", "left_semi")), asked, queue]))
 
 
 def surface_by_subject(spark, d):
@@ -122,7 +133,7 @@ def surface_retire(spark, d):
         i.where("id % 500 = 0").select(F.concat(F.lit("check-suggestion:"), k.cast("string")).alias("surface_key"), F.lit("open").alias("status")),
         items.where("type in ('check_suggestion', 'onboarding_digest')").select("surface_key", F.lit("open").alias("status")),
     ]
-    stored = surface.united([pay, *rest]).groupBy("surface_key").agg(F.min("status").alias("status"))
+    stored = saved(surface.united([pay, *rest]).groupBy("surface_key").agg(F.min("status").alias("status")))
     return surface.retire_keys(items, stored, i)
 
 
