@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from cashtide.operators import estimates
+from cashtide.operators import audit, estimates
 from cashtide.plans import attention
 from cashtide.sources import adapters
 from cashtide.sources.tables import CLEANUP, saved
@@ -24,15 +24,20 @@ def _shuffle_files(spark):
     return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
 
 
+def _left(spark, before):
+    """Shuffle files besides those of `before`; they go in the background."""
+    for _ in range(40):
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.25)
+    return _shuffle_files(spark) - before
+
+
 def test_saved_leaves_no_shuffle_files(spark):
     before = _shuffle_files(spark)
     was = spark.conf.get(CLEANUP)
     df = saved(spark.range(3000).groupBy((F.col("id") % 7).alias("k")).count())
-    for _ in range(40):  # they go in the background
-        if not _shuffle_files(spark) - before:
-            break
-        time.sleep(0.25)
-    assert not _shuffle_files(spark) - before
+    assert not _left(spark, before)
     assert spark.conf.get(CLEANUP) == was and sorted(map(tuple, df.collect()))[:2] == [(0, 429), (1, 429)]
 
 
@@ -56,3 +61,13 @@ def test_checks_that_are_taken_leave_their_rivals_alone(spark):
     assert met() == [(1, "t1", False), (1, "t2", True), (2, "t2", True), (2, "t3", False)]  # seven days before and after, not eight
     taken = spark.createDataFrame([("t2",), ("t2",), ("t1",)], "transaction_id string")
     assert met(spoken_for=taken) == [(2, "t3", False)]
+
+
+def test_rows_are_not_listed_by_day(spark):
+    rows = spark.createDataFrame([(k, 1, "outflow", date(2026, 6, k + 1), D(100), "Old lease") for k in range(28)] + [(7, 1, "outflow", date(2026, 6, 2), D(9), "Old lease")], f"id long, entity_id long, direction string, on_date date, amount {MONEY}, label string")
+    known = spark.createDataFrame([(8, 1, "outflow", date(2026, 6, 15), D(104), "lease"), (7, 1, "outflow", date(2026, 6, 16), D(104), "lease"), (5, 1, "outflow", None, D(104), "lease")], f"id long, entity_id long, direction string, due_date date, amount {MONEY}, name string")
+    before = _shuffle_files(spark)
+    found = audit.already_modeled(rows, known)
+    assert "on_date" in _plan(found) and "explode" not in _plan(found) and not _left(spark, before)
+    first = {k: 8 if 8 <= k + 1 <= 22 else 7 if k + 1 == 23 else None for k in range(28)}
+    assert sorted(((r["id"], r["instance_id"]) for r in found.collect()), key=repr) == sorted([*first.items(), (7, 8)], key=repr)  # a second row of an id stays a row
