@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from cashtide.operators import audit, estimates
+from cashtide.operators import audit, estimates, reconcile
 from cashtide.plans import attention
 from cashtide.sources import adapters
 from cashtide.sources.tables import CLEANUP, saved
@@ -71,3 +71,18 @@ def test_rows_are_not_listed_by_day(spark):
     assert "on_date" in _plan(found) and "explode" not in _plan(found) and not _left(spark, before)
     first = {k: 8 if 8 <= k + 1 <= 22 else 7 if k + 1 == 23 else None for k in range(28)}
     assert sorted(((r["id"], r["instance_id"]) for r in found.collect()), key=repr) == sorted([*first.items(), (7, 8)], key=repr)  # a second row of an id stays a row
+
+
+def test_only_charges_that_fit_a_bill_are_asked_whether_they_are_spoken_for(spark):
+    end = date(2026, 6, 1)
+    bills = [("a", 1, "Gym fees", "outflow", D(30), end), ("b", 2, "Gym fees", "outflow", D(400), end), ("c", 3, "Gym fees", "outflow", None, end)]
+    ended = spark.createDataFrame(bills, f"obligation_id string, entity_id long, name string, direction string, last_amount {MONEY}, cancelled_on date")
+    moved = [(1, -1), (1, -80), (1, D("-80.01")), (1, 30), (1, None), (2, -350), (2, D("-349.99")), (2, -450), (2, D("-450.01")), (2, -400), (3, -30)]
+    rows = [(f"t{k}", a, date(2026, 6, 2), None if m is None else D(m), "GYM", "fees") for k, (a, m) in enumerate(moved)]
+    rows += [("same day", 1, end, D(-30), "GYM", "fees"), ("other", 1, date(2026, 6, 2), D(-30), "TV", "plan"), ("taken", 1, date(2026, 6, 2), D(-30), "GYM", "fees")]
+    charges = spark.createDataFrame(rows, f"id string, account_id long, posted date, amount {MONEY}, payee string, description string")
+    taken = spark.createDataFrame([("taken",), ("taken",), ("t99",)], "transaction_id string")
+    found = reconcile.after_cancellation(ended, charges, taken, reconcile.Options(amount_abs="50.00", amount_pct="0.100"))
+    assert sorted((r["obligation_id"], r["transaction_id"]) for r in found.collect()) == [("a", "t0"), ("a", "t1"), ("b", "t5"), ("b", "t7"), ("b", "t9")]
+    plan = _plan(found)
+    assert plan.index("LeftAnti") < plan.index("Inner")
