@@ -30,7 +30,7 @@ def statistics(transactions: DataFrame, accounts: DataFrame, min_n: int = 2, wit
     usage_said (whether a description names usage), typical_day and day_spread (of the month), display_name (the most frequent payee).
 
     Gaps come from one window; it and the aggregation share the partitioning on the group's key, so the rows
-    are shuffled once."""
+    are shuffled once. The window counts the charges too: most groups have fewer than `min_n`, and go before they are aggregated."""
     rows = transactions.where("coalesce(payee, '') <> '' and amount <> 0 and posted is not null").join(
         accounts.select("account_id", F.col("kind").alias("class")), "account_id"
     )
@@ -41,9 +41,11 @@ def statistics(transactions: DataFrame, accounts: DataFrame, min_n: int = 2, wit
     if not with_inflows:
         rows = rows.where("direction = 'outflow'")
     keys = ["account_id", "merchant_key", "class", "direction"]
-    gap = F.datediff("posted", F.lag("posted").over(Window.partitionBy(*keys).orderBy("posted", "id")))
+    order = Window.partitionBy(*keys).orderBy("posted", "id")
+    gap = F.datediff("posted", F.lag("posted").over(order))
+    charges = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     d = F.col("paid").cast("double")
-    stats = rows.withColumn("gap", gap).groupBy(*keys).agg(
+    stats = rows.withColumns({"gap": gap, "charges": charges}).where(F.col("charges") >= min_n).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(d).alias("mean"),
         F.median(d).alias("median_amount"),
@@ -59,7 +61,7 @@ def statistics(transactions: DataFrame, accounts: DataFrame, min_n: int = 2, wit
         F.bround(F.median(F.day("posted").cast("double")), 0).cast("int").alias("typical_day"),
         (F.max(F.day("posted")) - F.min(F.day("posted"))).alias("day_spread"),
         F.mode("payee", True).alias("display_name"),
-    ).where(F.col("n") >= min_n)
+    )
     return stats.withColumns(
         {
             "cv": F.when(F.col("mean") > 0, F.col("deviation") / F.col("mean")).otherwise(F.lit(0.0)),

@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from cashtide.operators import audit, estimates, reconcile
+from cashtide.operators import audit, estimates, reconcile, recurring
 from cashtide.plans import attention
 from cashtide.sources import adapters
 from cashtide.sources.tables import CLEANUP, saved
@@ -46,7 +46,7 @@ def test_amounts_and_days_are_made_before_the_joins(spark):
     assert plan.index("Join") < plan.index("l_returnflag") and "l_returnflag" not in plan.splitlines()[0]
 
 
-@pytest.mark.parametrize("query", [attention.surface_retire])
+@pytest.mark.parametrize("query", [attention.surface_retire, attention.surface_by_subject])
 def test_last_plan_reads_no_transactions(spark, query):
     plan = _plan(query(spark, SMALL))
     assert "l_orderkey" not in plan and len(plan.splitlines()) < 120
@@ -86,3 +86,13 @@ def test_only_charges_that_fit_a_bill_are_asked_whether_they_are_spoken_for(spar
     assert sorted((r["obligation_id"], r["transaction_id"]) for r in found.collect()) == [("a", "t0"), ("a", "t1"), ("b", "t5"), ("b", "t7"), ("b", "t9")]
     plan = _plan(found)
     assert plan.index("LeftAnti") < plan.index("Inner")
+
+
+def test_single_charges_are_not_aggregated(spark):
+    day = lambda k: date(2026, 6, k)
+    rows = [("1", 1, day(1), D(-5), "Gym", None), ("2", 1, day(1), D(-5), "gym", None), ("3", 1, day(1), D(-5), "TV", None), ("4", 1, day(2), D(5), "TV", None), ("5", 2, day(3), D(-5), "Gym", None)]
+    charges = spark.createDataFrame(rows, f"id string, account_id long, posted date, amount {MONEY}, payee string, description string")
+    found = recurring.statistics(charges, spark.createDataFrame([(1, "checking"), (2, "card")], "account_id long, kind string"))
+    assert [(r["account_id"], r["merchant_key"], r["n"]) for r in found.collect()] == [(1, "gym", 2)]
+    plan = _plan(found)
+    assert plan.index("Aggregate") < plan.index("charges#") and "(n#" not in plan.split("Aggregate")[0]
