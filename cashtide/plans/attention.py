@@ -45,11 +45,8 @@ def _band(spark, d):
     return t, projection.band(catalog.window_events(spark, d), t).join(t.select("entity_id", "low_date"), "entity_id")
 
 
-def _guardrails(spark, d):
+def _guardrails(spark, d, drift):
     """Warnings, the entities whose balance is old, and the drift warnings that are snoozed."""
-    from . import catalog
-
-    drift = catalog.drift_payment(spark, d)
     stale = _stale(spark, d).where("stale").select("entity_id")
     name = lambda rule: F.concat(F.lit(f"{rule}:"), F.col("entity_id").cast("string"))
     row = lambda rows, rule, severity, impact, advice: rows.select(name(rule).alias("id"), F.lit(rule).alias("rule_type"), F.lit(severity).alias("severity"), "entity_id", impact.cast(adapters.MONEY).alias("impact"), advice.alias("advisory"))
@@ -79,8 +76,9 @@ def _items(spark, d):
 
     i, day = adapters.instances(spark, d), F.date_add(F.lit("2024-05-01").cast("date"), (F.col("id") * 37 % 400).cast("int"))
     stale = findings.stale_estimates(i, DAY).select("id")
-    review = catalog.matches(spark, d).where("match_type = 'needs_review'").select(F.col("instance_id").alias("id"))
-    held = i.select(F.col("id").alias("instance_id"), "amount")
+    t, taken, asked, queue = _from_transactions(spark, d)
+    drift = saved(catalog.drift_payment(spark, d, t).select("id", "entity_id", "impact"))
+    review = taken.where("match_type = 'needs_review'").select(F.col("instance_id").alias("id"))
     runs = adapters.read(spark, d, "events").select(F.col("event_type").alias("run_type"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), F.col("ts").alias("finished_at"))
     return surface.united([
         surface.followups(_notes(spark, d), DAY),
@@ -90,11 +88,11 @@ def _items(spark, d):
         surface.snapshots(balances.latest(adapters.snapshots(spark, d)), OLD),
         surface.troughs(_band(spark, d)[1]),
         surface.stale_balances(_stale(spark, d)),
-        surface.guardrails(*_guardrails(spark, d)),
+        surface.guardrails(*_guardrails(spark, d, drift)),
         surface.matches(i.join(review, "id", "left_semi").withColumnRenamed("id", "instance_id")),
-        surface.check_questions(catalog.check_suggestions(spark, d).join(held, "instance_id")),
+        asked,
         surface.stale_jobs(runs, runs, NOW),
-        surface.onboarding(_candidates(spark, d)),
+        queue,
     ])
 
 

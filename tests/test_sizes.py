@@ -88,6 +88,11 @@ def test_only_charges_that_fit_a_bill_are_asked_whether_they_are_spoken_for(spar
     assert plan.index("LeftAnti") < plan.index("Inner")
 
 
+def test_guardrail_items_read_drift_once(spark):
+    plan = _plan(attention._items(spark, SMALL))
+    assert "l_orderkey" not in plan and len(plan.splitlines()) < 420
+
+
 def test_single_charges_are_not_aggregated(spark):
     day = lambda k: date(2026, 6, k)
     rows = [("1", 1, day(1), D(-5), "Gym", None), ("2", 1, day(1), D(-5), "gym", None), ("3", 1, day(1), D(-5), "TV", None), ("4", 1, day(2), D(5), "TV", None), ("5", 2, day(3), D(-5), "Gym", None)]
